@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op01_langid, op09_exact_dedup
+from . import op01_langid, op04_license, op05_warc, op08_pii, op09_exact_dedup, op10_html
 from .textkit import crc_mod, read
 
 
@@ -18,6 +18,22 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op04_license.digest(op04_license.scan(read(spark, sf_dir, "documents")))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op05_warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_html.extract(read(spark, sf_dir, "pages"))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op08_pii.digest(op08_pii.detect(read(spark, sf_dir, "documents")))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op09_exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -25,9 +41,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op4_license_scan": op4_license_scan,
+        "op5_warc": op5_warc,
+        "op8_personal_data": op8_personal_data,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_main_text": op10_main_text,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": op09_exact_dedup.ORACLE}
+    return {"op5_warc": op05_warc.ORACLE, "op9_exact_dedup": op09_exact_dedup.ORACLE}
