@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op01_langid, op04_license, op05_warc, op08_pii, op09_exact_dedup, op10_html
+from . import op01_langid, op04_license, op05_warc, op06_jaccard, op08_pii, op09_exact_dedup, op10_html
 from .textkit import crc_mod, read
 
 
@@ -26,6 +26,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_warc.round_trip(read(spark, sf_dir, "pages"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op06_jaccard.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_html.extract(read(spark, sf_dir, "pages"))
 
@@ -43,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": op1_language_id,
         "op4_license_scan": op4_license_scan,
         "op5_warc": op5_warc,
+        "op6_jaccard_join": op6_jaccard_join,
         "op8_personal_data": op8_personal_data,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_main_text": op10_main_text,
