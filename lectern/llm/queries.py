@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op01_langid, op04_license, op05_warc, op06_jaccard, op08_pii, op09_exact_dedup, op10_html
+from . import op01_langid, op03_lm, op04_license, op05_warc, op06_jaccard, op08_pii, op09_exact_dedup, op10_html
 from .textkit import crc_mod, read
 
 
@@ -18,6 +18,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op03_lm.score(read(spark, sf_dir, "documents"), crc_mod("doc_id", 5) != 1)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op04_license.digest(op04_license.scan(read(spark, sf_dir, "documents")))
 
@@ -45,6 +50,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op3_lm_score": op3_lm_score,
         "op4_license_scan": op4_license_scan,
         "op5_warc": op5_warc,
         "op6_jaccard_join": op6_jaccard_join,
