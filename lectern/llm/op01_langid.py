@@ -211,3 +211,20 @@ def detect(df: DataFrame, model: LangModel | None, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(labels, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+
+
+def accepted(df: DataFrame, model: LangModel | None, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is known and whose probability reaches the threshold."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            for part in slices(batch, text_col):
+                raw, off = buffers(part.column(text_col))
+                keep = has_letter(raw, off) if m is not None else np.zeros(part.num_rows, bool)
+                if keep.any():
+                    keep &= m.predict(raw, off)[1] >= m.threshold
+                yield part.filter(pa.array(keep))
+
+    return df.mapInArrow(run, df.schema)

@@ -310,3 +310,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     out = made.filter("n > 0").select("doc_id", "n", "d1", "d2").join(result, ["d1", "d2"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     empty = made.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(empty)
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows, with all their columns, whose id is the component of some row with that id: one document of each group."""
+    stay = jaccard_components(df, id_col, text_col, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    return df.join(stay, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
