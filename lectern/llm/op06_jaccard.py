@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import buffers, shingles, slices, words, written
+from .textkit import buffers, most_frequent, shingles, slices, words, written
 
 LEAST_BITS = 256
 
@@ -97,7 +97,8 @@ def frequent(docs: DataFrame, n: int, heavy_limit: int) -> tuple[np.ndarray, np.
                 h, c = h[c > 2], c[c > 2]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
 
-    table = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(heavy_limit).toPandas()
+    table = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    table = most_frequent(written(table, "frequent"), "c", heavy_limit).toPandas()
     h, c = table["h"].to_numpy(np.int64).view(np.uint64), table["c"].to_numpy(np.int64)
     order = np.argsort(h)
     return h[order], c[order]
