@@ -315,5 +315,5 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows, with all their columns, whose id is the component of some row with that id: one document of each group."""
-    stay = jaccard_components(df, id_col, text_col, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return df.join(stay, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    stay = jaccard_components(df, id_col, text_col, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay_id")).distinct()
+    return df.join(stay, F.col(id_col).eqNullSafe(F.col("__stay_id")), "left_semi")

@@ -67,11 +67,11 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows that stay, with all their columns; of repeated rows that stay, the one first in its other columns."""
-    stay = exact_dedup(df, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    rows = df.withColumn("_h", F.sha2(normalised(F.col(text_col)), 256))
-    rows = rows.join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_sha")), "left_semi")
+    stay = exact_dedup(df, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("__stay_id"), F.col("text_sha256").alias("__stay_sha")).distinct()
+    rows = df.withColumn("__norm_sha", F.sha2(normalised(F.col(text_col)), 256))
+    rows = rows.join(stay, F.col(id_col).eqNullSafe(F.col("__stay_id")) & (F.col("__norm_sha") == F.col("__stay_sha")), "left_semi")
     others = [F.length(text_col).desc(), *[F.col(c).asc_nulls_last() for c in df.columns]]
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(id_col, "_h").orderBy(*others))).filter("_n = 1").select(*df.columns)
+    return rows.withColumn("__place", F.row_number().over(W.partitionBy(id_col, "__norm_sha").orderBy(*others))).filter("__place = 1").select(*df.columns)
 
 
 ORACLE = r"""

@@ -1,0 +1,469 @@
+"""Each operator on awkward rows and against a plain version on a small table."""
+
+import gzip
+import hashlib
+import html
+import math
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lectern.llm import op01_langid as langid
+from lectern.llm import op02_decontaminate as decon
+from lectern.llm import op03_lm as lm
+from lectern.llm import op04_license as licences
+from lectern.llm import op05_warc as warc
+from lectern.llm import op06_jaccard as jaccard
+from lectern.llm import op07_mixing as mixing
+from lectern.llm import op08_pii as pii
+from lectern.llm import op09_exact_dedup as dedup
+from lectern.llm import op10_html as pages_
+from lectern.llm import queries as Q
+from lectern.llm import textkit as kit
+
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+SPACED = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, n int, score double, _text string"
+LONG = "word " * 60_000 + "x" * 300_000
+ROWS = [
+    (1, "The house is red and the garden is green. " * 3, "en", "a", 1, "x", 1, 0.0, "t"),
+    (2, "Das Haus ist rot und der Garten ist gruen. " * 3, "de", "a", 1, None, 1, 0.0, "t"),
+    (3, "The house is red and the garden is green. " * 3, "en", None, 1, "x", None, None, None),
+    (3, "The house is red and the garden is green. " * 3, "en", None, 1, "x", None, None, None),
+    (4, None, None, None, None, None, None, None, None),
+    (5, "", "en", "b", 0, "x", 1, 0.0, "t"),
+    (6, " \n\t ", "en", "b", 0, "x", 1, 0.0, "t"),
+    (None, "no id here 12345", "en", "b", 0, "x", 1, 0.0, "t"),
+    (None, None, None, None, None, None, None, None, None),
+    (7, LONG, "en", "b", 0, "x", 1, 0.0, "t"),
+    (8, "3.14159 ++ -- 42", None, "b", 0, "x", 1, 0.0, "t"),
+    (9, "naïve Ünïcödé 𝔘𝔫𝔦 word" * 5, "de", "c", 0, "x", 1, 0.0, "t"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ROWS, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+# ---- text primitives
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("aB \n\té1", max_size=30), max_size=6))
+def test_words_are_those_of_the_pattern(texts):
+    import pyarrow as pa
+
+    raw, off = kit.buffers(pa.array(texts, pa.string()))
+    h, begin, end, per = kit.words(raw, off)
+    want = [w for t in texts for w in SPACED.findall(t.translate(LOWER))]
+    got = [raw[a:b].tobytes().decode().translate(LOWER) for a, b in zip(begin, end, strict=True)]
+    assert got == want and list(np.diff(per)) == [len(SPACED.findall(t)) for t in texts]
+    names = dict(zip(want, h.tolist(), strict=True))
+    assert len(set(names.values())) == len(names) and all(names[w] == x for w, x in zip(want, h.tolist(), strict=True))
+
+
+def test_chunks_do_not_change_words(monkeypatch):
+    text = ("alpha beta " * 50 + "x" * 500 + "\n") * 20
+    raw = np.frombuffer(text.encode(), np.uint8)
+    off = np.array([0, 1000, 1000, 5003, len(raw)])
+    whole = kit.words(raw, off)
+    monkeypatch.setattr(kit, "CHUNK", 64)
+    parts = kit.words(raw, off)
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+
+
+# ---- 1
+
+
+def test_language(spark, odd, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    out = Q.op1_language_id(spark, sf).join(table.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in out) >= 0.95 * len(out)
+    model = langid.fit_on(odd, F.lit(True))
+    got = langid.detect(odd, model).collect()
+    assert len(got) == len(ROWS)
+    und = {r.doc_id for r in got if r.lang_pred == "und"}
+    assert und == {4, 5, 6, 8, None} and all(0 <= r.score <= 1 for r in got) and all(r.rejected for r in got if r.lang_pred == "und")
+    assert langid.accepted(odd, model).columns == odd.columns
+    empty = odd.limit(0)
+    assert langid.fit_on(empty, F.lit(True)) is None and langid.detect(empty, None).count() == 0
+    assert {r.lang_pred for r in langid.detect(odd, None).collect()} == {"und"}
+
+
+def test_language_chunks(monkeypatch):
+    rng = np.random.default_rng(1)
+    raw = rng.integers(97, 110, 5000).astype(np.uint8)
+    off = np.array([0, 0, 3, 1200, 1201, 5000])
+    t = rng.normal(size=(1 << 8, 3)).astype(np.float32)
+    whole = langid.row_logits(raw, off, t, 8)
+    monkeypatch.setattr(langid, "CHUNK", 97)
+    assert np.allclose(whole, langid.row_logits(raw, off, t, 8), atol=1e-4)
+    plain = np.concatenate([b for _, b in langid.grams(langid.letters(raw[3:1200]), 0, 1197, 8)])
+    assert np.allclose(whole[2], t[plain].mean(0), atol=1e-4)
+
+
+# ---- 2
+
+
+def test_decontamination(spark, odd, sf, docs):
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = {r.item_id: r.text for r in bench.collect()}
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    flat = {d: " " + " ".join(word.findall((t or "").translate(LOWER))) + " " for d, t in docs.items()}
+    want = {(d, i) for d, t in flat.items() for i, x in items.items() if " " + " ".join(word.findall(x.translate(LOWER))) + " " in t}
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {(r.doc_id, r.item_id) for r in decon.search(table, bench).collect()}
+    assert want and want <= got and len(got - want) <= 1
+    kept = {r.doc_id for r in decon.clean(table, bench).select("doc_id").collect()}
+    assert kept == set(docs) - {d for d, _ in got}
+    planted = spark.createDataFrame([(1, ROWS[0][1]), (2, None), (3, "")], "item_id long, text string")
+    hits = {(r.doc_id, r.item_id) for r in decon.search(odd, planted).collect()}
+    assert hits == {(1, 1), (3, 1)}
+    assert decon.search(odd, planted.limit(0)).count() == 0 and decon.search(odd.limit(0), planted).count() == 0
+    assert decon.clean(odd, planted.limit(0)).count() == len(ROWS) and decon.clean(odd.limit(0), planted).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=70), st.lists(st.integers(0, 4), max_size=40))
+def test_subsequence(a, b):
+    d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            d[i][j] = d[i - 1][j - 1] + 1 if x == y else max(d[i - 1][j], d[i][j - 1])
+    assert decon.lcs(decon._pattern(a), len(a), b) == d[-1][-1]
+
+
+# ---- 3
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 5000), max_size=60), st.lists(st.integers(0, 5100), min_size=1, max_size=20))
+def test_elias_fano(values, keys):
+    values = np.array(sorted(values), np.int64)
+    ef, _ = lm.EliasFano.view(np.frombuffer(lm.EliasFano.pack(values), np.uint8), 0)
+    assert (ef.get(np.arange(len(values))) == values).all()
+    k = np.array(keys, np.int64)
+    zero = np.zeros(len(k), np.int64)
+    assert (ef.successor(k, zero, zero + len(values)) == np.searchsorted(values, k)).all()
+
+
+def test_language_model(spark, odd, sf, docs):
+    data = [(d, SPACED.findall((t or "").translate(LOWER)) + [0], zlib.crc32(str(d).encode()) % 5 == 1) for d, t in docs.items()]
+    c, pair = Counter(), Counter()
+    for _, w, held in data:
+        if not held:
+            c.update(w)
+            pair.update(zip(w, w[1:], strict=False))
+    total, kinds = sum(c.values()), len(c)
+    stored = Counter()
+    for (m, _), k in pair.items():
+        stored[m] += (k - lm.DISCOUNT) / c[m]
+    p = lambda w: (c[w] + 0.5) / (total + 0.5 * (kinds + 1))
+    got = {r.doc_id: r for r in Q.op3_lm_score(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for d, w, held in data:
+        base = sum(math.log10(p(x)) for x in w)
+        score = math.log10(p(w[0])) + sum(math.log10(max(pair[m, r] - lm.DISCOUNT, 0) / c[m] + (1 - stored[m]) * p(r)) if c[m] else math.log10(p(r)) for m, r in zip(w, w[1:], strict=False))
+        r = got[d]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, len(w), sum(c[x] > 0 for x in w), total)
+        assert r.base_score == pytest.approx(base, rel=1e-9)
+        assert abs(r.score - score) <= 0.03 * len(w)  # 8-bit codes
+    out = lm.score(odd, F.coalesce(F.col("doc_id"), F.lit(0)) != 2).collect()
+    assert len(out) == len(ROWS) and all(r.n_tokens >= 1 and r.score < 0 for r in out)
+    assert len({(r.score, r.n_known) for r in out if r.doc_id == 3}) == 1
+    assert lm.score(odd.limit(0), F.lit(True)).count() == 0
+    assert {r.train_tokens for r in lm.score(odd, F.lit(False)).collect()} == {0}
+
+
+# ---- 4
+
+
+def test_licences(spark, odd, sf, docs):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    got = {r.doc_id: r for r in Q.op4_license_scan(spark, sf).collect()}
+    for d, t in docs.items():
+        w = word.findall((t or "").translate(LOWER))
+        at = [(i, x) for p, x in licences.BASE_PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        r = got[d]
+        assert (r.n_words, r.n_base, r.base_labels) == (len(w), len(at), ",".join(sorted({x for _, x in at})))
+        assert (r.first_word, r.last_word) == (min((i for i, _ in at), default=None), max((i for i, _ in at), default=None))
+    text = "Ü see: Releesed under the MIT  Licence! cc by cc by"
+    df = spark.createDataFrame([(1, text), (2, "Licensed under the Apache License, Version 1.1"), (3, None)], "doc_id long, text string")
+    out = {r.doc_id: r for r in licences.scan(df).collect()}
+    span = out[1].notices[0]
+    assert span.label == "mit" and text[span.start : span.end] == span.text == "Releesed under the MIT  Licence" and span.edits == 2 and span.word == 2
+    assert [p.word for p in out[1].places] == [7, 9] and out[2].notices == [] and out[3].n_words == 0
+    assert licences.digest(licences.scan(odd)).count() == len(ROWS) and licences.scan(odd.limit(0)).count() == 0
+
+
+# ---- 5
+
+
+def test_archives(spark, sf):
+    table = spark.createDataFrame([(1, "http://a/ b", "x" * 1200, "q"), (2, None, "x" * 1200, "q"), (3, "http://c", None, "q"), (4, "http://d", "é\r\n\r\nWARC/1.1\r\n" * 3, "q"), (5, "u", "y" * 999, "q"), (6, "u", "y" * 999, "q"), (None, "n", "x" * 1200, "q"), (2, "again", "x" * 1200, "q")], "page_id long, url string, html string, record string")
+    got = rows(warc.round_trip(table))
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    x = (1200, sha("x" * 1200))
+    assert got == sorted([(1, *x, "revisit", 2), (2, *x, "response", None), (2, *x, "response", None), (None, *x, "revisit", 2), (3, 0, sha(""), "response", None), (4, 48, sha("é\r\n\r\nWARC/1.1\r\n" * 3), "response", None), (5, 999, sha("y" * 999), "response", None), (6, 999, sha("y" * 999), "response", None)], key=repr)
+    assert warc.round_trip(table.limit(0)).count() == 0
+    heads = [list(warc.parse_arc(r.content)) for r in warc.arc_files(table).collect()]
+    assert {h["URL"] for part in heads for h, _ in part} >= {"http://a/%20b", "urn:unknown"}
+    for version in (1, 2):
+        body = warc.http_message(7, b"pay\nload")
+        blob = warc.arc_start(version, "n.arc", "20010203040506") + b"\n" + warc.arc_header(version, "http://x/", "20010203040506", "text/html", len(body)) + body + b"\nbroken line\n\n" + warc.arc_header(version, "dns:x", "20010203040506", "text/dns", 3) + b"abc"
+        (a, one), (b, two) = warc.parse_arc(blob)
+        assert one == body and two == b"abc" and a["Archive-length"] == str(len(body)) and b["URL"] == "dns:x" and len(a) == len(warc.ARC_FIELDS[version])
+    assert warc.iso_date("20010203040506") == "2001-02-03T04:05:06Z"
+
+
+def test_archive_payloads(spark, sf):
+    path = f"{kit.shared_dir(spark)}/payloads"
+    table = spark.read.parquet(f"{sf}/pages.parquet")
+    warc.write_warc(warc.add_revisits(warc.convert(warc.arc_files(table))), path)
+    got = {r.page_id: bytes(r.payload).decode() for r in warc.read_warc(spark, path, with_payload=True).filter("payload is not null").collect()}
+    assert all(r.html == got[r.page_id] for r in table.collect() if r.page_id in got) and len(got) > 40
+    raw = spark.read.format("binaryFile").load(path + "/*.gz").first().content
+    assert gzip.decompress(bytes(raw)).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+
+
+# ---- 6
+
+
+def brute_components(texts, n, num, den):
+    own = {}
+    for d, t in texts.items():
+        w = SPACED.findall((t or "").translate(LOWER))
+        own[d] = frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+    up = {d: d for d in own}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(own)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            k = len(own[a] & own[b])
+            if own[a] and own[b] and den * k >= num * (len(own[a]) + len(own[b]) - k):
+                x, y = top(a), top(b)
+                up[max(x, y)] = min(x, y)
+    return {d: (len(own[d]), top(d)) for d in own}
+
+
+def near_copies(seed=3, groups=6, size=9):
+    rng = np.random.default_rng(seed)
+    out, vocabulary = {}, [f"w{i}" for i in range(400)]
+    for g in range(groups):
+        base = list(rng.choice(vocabulary, 60 + 40 * g))
+        for _ in range(size):
+            w = list(base)
+            for _ in range(int(rng.integers(0, 4))):
+                w[int(rng.integers(len(w)))] = str(rng.choice(vocabulary))
+            out[len(out) + 100] = " ".join(w)
+    for s in ("a b c", "A b  c", "a b", "a", "a b c d", "", None):
+        out[len(out) + 100] = s
+    return out
+
+
+@pytest.mark.parametrize(("n", "num", "den", "block", "limit"), [(3, 90, 100, 512, 1 << 18), (3, 90, 100, 2, 3), (5, 80, 100, 4, 0)])
+def test_jaccard(spark, n, num, den, block, limit):
+    texts = near_copies()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, n=n, num=num, den=den, block=block, heavy_limit=limit).collect()}
+    assert got == brute_components(texts, n, num, den)
+
+
+def test_jaccard_odd(spark, odd):
+    got = jaccard.jaccard_components(odd)
+    assert got.count() == len(ROWS)
+    by = {r.doc_id: r.component_id for r in got.filter("doc_id is not null").collect()}
+    assert by[1] == by[3] == 1 and by[4] == 4 and by[5] == 5
+    assert jaccard.jaccard_components(odd.limit(0)).count() == 0
+    stay = jaccard.representatives(odd)
+    assert stay.columns == odd.columns and 3 not in {r.doc_id for r in stay.collect()}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.sets(st.integers(0, 2**63), max_size=80), st.sets(st.integers(0, 2**63), max_size=80))
+def test_bitmaps_bound_the_overlap(a, b):
+    import pyarrow as pa
+
+    maps = [pa.array([jaccard.bitmap(np.array(sorted(x), np.uint64))], pa.binary()) for x in (a, b)]
+    assert jaccard.differing_bits(*maps)[0] <= len(a ^ b)
+
+
+# ---- 7
+
+
+def test_mixing(spark, odd, sf, docs):
+    got = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    tokens = np.array([r.n_tokens for r in got], float)
+    assert len(got) == len(docs) and all(r.n_tokens == len(SPACED.findall(docs[r.doc_id] or "")) for r in got)
+    chance, weight = np.array([r.chance for r in got]), np.array([r.weight for r in got])
+    assert (tokens * chance).sum() == pytest.approx(mixing.RATE * tokens.sum(), rel=1e-6)
+    # expected weighted tokens meet the target of the last raked margin, the others nearly
+    for margin in mixing.MARGINS:
+        names = np.array([getattr(r, margin) for r in got])
+        seen = {x: tokens[names == x].sum() for x in set(names)}
+        goal = {x: v ** mixing.POWERS[margin] for x, v in seen.items()}
+        mass = tokens * chance * weight
+        for x in goal:
+            assert mass[names == x].sum() / mass.sum() == pytest.approx(goal[x] / sum(goal.values()), rel=1e-6 if margin == "topic" else 0.05)
+    for r in got:
+        assert r.sampled == (int(hashlib.md5(f"{r.doc_id}:mix".encode()).hexdigest()[:8], 16) / 2**32 < r.chance)
+    assert mixing.mix(odd).count() == len(ROWS) and mixing.mix(odd.limit(0)).count() == 0
+    few = mixing.mix(odd, categories=1, targets={"lang": {"en": 3, "xx": 9}})
+    assert {r.source for r in few.collect()} <= {"a", "b", "(none)", "(other)"}
+
+
+# ---- 8
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(t):
+    out = []
+    for kind, p in BASE.items():
+        for m in re.finditer(p, t):
+            d = [int(c) for c in m[0] if c in "0123456789"]
+            if kind == "ip" and max(map(int, m[0].split("."))) > 255:
+                continue
+            if kind == "card" and not (13 <= len(d) <= 19 and (sum(d[-1::-2]) + sum(sum(divmod(2 * x, 10)) for x in d[-2::-2])) % 10 == 0):
+                continue
+            if kind == "phone" and not 9 <= len(d) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("0159.-+@ a()_", max_size=40))
+def test_base_spans(t):
+    assert pii.base_spans(t) == plain_spans(t)
+
+
+def test_personal_data(spark, odd, sf, docs):
+    got = {r.doc_id: r for r in Q.op8_personal_data(spark, sf).collect()}
+    for d, t in docs.items():
+        line = ",".join(f"{k}:{a}:{b}" for k, a, b in plain_spans(t or ""))
+        assert got[d].base_sha256 == hashlib.sha256(line.encode()).hexdigest() and set(line.split(",")) - {""} <= set(got[d].spans.split(","))
+    found = pii.detect(spark.createDataFrame([(1, 'x token = "0cab398dc11d1a2a11dc6572c8df8bd228c864f3" y@z.de'), (2, "mail bob (at) site (dot) org"), (3, None)], "doc_id long, text string"), redacted=True)
+    out = {r.doc_id: r for r in found.collect()}
+    assert [s.kind for s in out[1].spans] == ["email", "secret"] and out[1].redacted == 'x token = "<secret>" <email>' and out[3].redacted is None
+    assert [s.kind for s in out[2].spans] == ["spelled_email"]
+    assert pii.detect(odd).count() == len(ROWS) and pii.detect(odd.limit(0)).count() == 0
+    assert pii.base_spans("1" * 200_000 + " " + "a" * 200_000 + "@") == []
+
+
+def test_trees_hold_out():
+    d = pii.train()
+    made = pii.examples(600, 99)
+    x = np.array([pii.features(t, k, a, b) for t, k, a, b, _ in made])
+    p = 1 / (1 + np.exp(-d.trees.margin(x)))
+    chosen = np.array([p[i] >= d.thresholds[k] for i, (_, k, *_) in enumerate(made)])
+    truth = np.array([r[-1] for r in made], bool)
+    assert truth[chosen].mean() > 0.9 and chosen[truth].mean() > 0.6
+
+
+# ---- 9
+
+
+@pytest.mark.parametrize("sample", [20_000, 6])
+def test_exact(spark, odd, sample):
+    got = dedup.exact_dedup(odd, sample_rows=sample, heavy_hits=2)
+    out = {}
+    for r in got.collect():
+        out.setdefault(r.doc_id, []).append((r.keep_id, r.group_size, r.kept))
+    assert sum(map(len, out.values())) == len(ROWS)
+    assert out[1] == [(1, 3, True)] and out[3] == [(1, 3, False)] * 2
+    # the empty texts: the longest original stays
+    assert out[6] == [(6, 4, True)] and out[5] == out[4] == [(6, 4, False)]
+    assert dedup.exact_dedup(odd.limit(0)).count() == 0
+    stay = dedup.deduplicated(odd)
+    assert stay.columns == odd.columns and sorted(r.doc_id or 0 for r in stay.collect()) == [0, 1, 2, 6, 7, 8, 9]
+
+
+# ---- 10
+
+
+def test_main_text(spark, sf):
+    table = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {r.page_id: r for r in Q.op10_main_text(spark, sf).collect()}
+    for r in table.collect():
+        body = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.S)[1]
+        parts = [" ".join(html.unescape(re.sub(r"</?b>|<br>", "", p)).split()) for p in re.split(r"</?(?:p|h1)>", body)]
+        assert got[r.page_id].text == "\n".join(p for p in parts if p) and got[r.page_id].n_chars == len(got[r.page_id].text)
+
+
+def test_boilerplate_by_suffix_array(spark):
+    menu = "<div>one two three four five six seven eight nine ten</div>"
+    odd = [
+        (1, "http://h/1", f"<body>{menu}<div>own words of page one</div><p class='comment'>hey</p></body>", "z"),
+        (2, "http://h/2", f"<body>{menu}<div>quite other text &amp; more&nbsp;of it <b>bold</b></div><script>x</script>", "z"),
+        (3, "http://other/3", f"<body>{menu}</body>", "z"),
+        (4, None, None, "z"),
+        (5, "u", "", "z"),
+        (None, "http://h/1", "<main><header>no</header><p>kept<p>too<aside>not</aside><div class='ad'><div>x</div>y</div> tail</main> outside", "z"),
+        (7, "http://h/9", "<article><p>cut &am", "z"),
+    ]
+    df = spark.createDataFrame(odd, "page_id long, url string, html string, host string")
+    got = {r.page_id: r.text for r in pages_.extract(df, partitions=1).collect()}
+    assert got == {1: "own words of page one", 2: "quite other text & more of it bold", 3: "one two three four five six seven eight nine ten", 4: "", 5: "", None: "kept\ntoo\ntail", 7: "cut &am"}
+    assert pages_.extract(df.limit(0)).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), max_size=20), max_size=5))
+def test_covered(streams):
+    tokens = np.array([t for s in streams for t in s], np.uint64)
+    page = np.repeat(np.arange(len(streams)), [len(s) for s in streams])
+    owners = {}
+    for p, s in enumerate(streams):
+        for i in range(len(s) - 3):
+            owners.setdefault(tuple(s[i : i + 4]), set()).add(p)
+    want = []
+    for s in streams:
+        flags = [False] * len(s)
+        for i in range(len(s) - 3):
+            if len(owners[tuple(s[i : i + 4])]) > 1:
+                flags[i : i + 4] = [True] * 4
+        want += flags
+    assert pages_.covered(tokens, page, 4).tolist() == want
+
+
+# ---- SQL
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_against_sql(spark, sf, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = con.sql(Q.oracle_sql()[name])
+    got = Q.queries()[name](spark, sf)
+    names = sorted(got.columns)
+    plain = lambda rs: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rs), key=repr)
+    assert names == sorted(want.columns) and plain(got.select(names).collect()) == plain(want.select(*names).fetchall())
