@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scalar import bin_label, ratio_or_null
+from .types import rows
 
 _BREAK = regex.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
-SPAN = "array<struct<tag:string,start:int,end:int,text:string,line:int,char_start:int,char_end:int,line_length:int>>"
+SPAN = rows("tag string, start int, end int, text string, line int, char_start int, char_end int, line_length int")
 
 
 def python_pattern(java: str) -> str:

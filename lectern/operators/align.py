@@ -5,15 +5,17 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import kernels
 from ..functions.scalar import ratio
 from ..functions.spans import Lines, touches
 from ..functions.storage import spread
+from ..functions.types import row, rows
 from .lines import line_structure
 from .rules import FIND, finish, rule_densities
 
-ISSUE = "array<struct<code:string,start:int,end:int,gt_text:string,htr_text:string,word_op:string,word_gt:string,word_htr:string,gt_start:int,gt_end:int,htr_start:int,htr_end:int,line:int,char_start:int,char_end:int,line_length:int>>"
+ISSUE = rows("code string, start int, end int, gt_text string, htr_text string, word_op string, word_gt string, word_htr string, gt_start int, gt_end int, htr_start int, htr_end int, line int, char_start int, char_end int, line_length int")
 COUNTS = "matches int, substitutions int, deletions int, insertions int, ref_chars_norm int, long_spans int, longest_span int, error_runs int, window_size int, window_count int, window_max_cer double, window_sd_cer double, window_max_sdr double, wer_edits int, ref_tokens_norm int, splits int, merges int, complex_boundary int, boundary_events int, gt_tokens int, htr_tokens int"
 
 
@@ -28,7 +30,7 @@ def align_issues(gt: pd.Series, htr: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("array<struct<op:string,gt:string,htr:string,run:int>>")
+@F.pandas_udf(rows("op string, gt string, htr string, run int"))
 def align_ops(gt: pd.Series, htr: pd.Series) -> pd.Series:
     out = []
     for g, h in zip(gt, htr, strict=True):
@@ -37,13 +39,13 @@ def align_ops(gt: pd.Series, htr: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf(COUNTS)
+@F.pandas_udf(row(COUNTS))
 def quality(gt: pd.Series, htr: pd.Series) -> pd.DataFrame:
     names = [c.split()[0] for c in COUNTS.split(", ")]
     return pd.DataFrame([kernels.quality_counts(g or "", h or "") for g, h in zip(gt, htr, strict=True)], columns=names)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([kernels.distance(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="int32")
 

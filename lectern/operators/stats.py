@@ -20,30 +20,30 @@ def melt(df: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
 
 
 def cumulative(long: DataFrame, by: list[str]) -> DataFrame:
-    """Distinct values with how many rows are below (before) and up to them (upto), and how many there are (n)."""
-    counts = long.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("k"))
+    """Distinct values with how often they occur, how many rows are below and up to them, and how many there are."""
+    counts = long.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("_k"))
     w = W.partitionBy(*by)
-    upto = F.sum("k").over(w.orderBy("value").rowsBetween(W.unboundedPreceding, 0))
-    return counts.select(*by, "value", "k", upto.alias("upto"), (upto - F.col("k")).alias("before"), F.sum("k").over(w).alias("n"))
+    upto = F.sum("_k").over(w.orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+    return counts.select(*by, "value", "_k", upto.alias("_upto"), (upto - F.col("_k")).alias("_before"), F.sum("_k").over(w).alias("_n"))
 
 
 def at_index(index: Column) -> Column:
     """The value at an index (from 0) of the sorted values."""
-    return F.max(F.when((F.col("before") <= index) & (index < F.col("upto")), F.col("value")))
+    return F.max(F.when((F.col("_before") <= index) & (index < F.col("_upto")), F.col("value")))
 
 
 def percentile(p: float) -> Column:
     """sorted[min(int(n p), n - 1)]"""
-    return at_index(F.least(F.floor(F.col("n") * F.lit(p)), F.col("n") - 1))
+    return at_index(F.least(F.floor(F.col("_n") * F.lit(p)), F.col("_n") - 1))
 
 
 def percentile_ceil(p: float) -> Column:
     """sorted[min(n - 1, ceil(n p) - 1)]"""
-    return at_index(F.least(F.col("n") - 1, F.ceil(F.col("n") * F.lit(p)) - 1))
+    return at_index(F.least(F.col("_n") - 1, F.ceil(F.col("_n") * F.lit(p)) - 1))
 
 
 def median() -> Column:
-    return (at_index(F.floor((F.col("n") - 1) / 2)) + at_index(F.floor(F.col("n") / 2))) / 2
+    return (at_index(F.floor((F.col("_n") - 1) / 2)) + at_index(F.floor(F.col("_n") / 2))) / 2
 
 
 def order_statistics(df: DataFrame, by: list[str], metrics: list[str], **stats: Column) -> DataFrame:
@@ -86,11 +86,11 @@ def tercile_band(rank: Column, n: Column) -> Column:
 def concentration(df: DataFrame, by: str, value: str) -> DataFrame:
     """Gini coefficient and the shares of the top tenth and the top five rows, from value counts alone."""
     c = cumulative(df.select(by, F.col(value).cast("double").alias("value")), [by])
-    v, k, n = F.col("value"), F.col("k"), F.col("n")
+    v, k, n = F.col("value"), F.col("_k"), F.col("_n")
     # ranks of equal values are before + 1 ... upto: their sum in closed form
-    weighted = F.sum(v * k * (F.col("before") + F.col("upto") + 1) / 2)
-    top = lambda m: F.sum(v * F.greatest(F.least(k, m - (n - F.col("upto"))), F.lit(0)))
-    agg = c.groupBy(by).agg(F.max("n").alias("docs"), F.sum(v * k).alias("total_edits"), weighted.alias("_w"), top(F.greatest(F.lit(1), F.ceil(n * F.lit(0.10)))).alias("_t10"), top(F.least(F.lit(5), n)).alias("_t5"))
+    weighted = F.sum(v * k * (F.col("_before") + F.col("_upto") + 1) / 2)
+    top = lambda m: F.sum(v * F.greatest(F.least(k, m - (n - F.col("_upto"))), F.lit(0)))
+    agg = c.groupBy(by).agg(F.max("_n").alias("docs"), F.sum(v * k).alias("total_edits"), weighted.alias("_w"), top(F.greatest(F.lit(1), F.ceil(n * F.lit(0.10)))).alias("_t10"), top(F.least(F.lit(5), n)).alias("_t5"))
     share = lambda x: F.when(F.col("total_edits") != 0, F.col(x) / F.col("total_edits")).otherwise(0.0)
     gini = F.when(F.col("total_edits") == 0, 0.0).otherwise(2 * F.col("_w") / (F.col("docs") * F.col("total_edits")) - (F.col("docs") + 1) / F.col("docs"))
     return agg.select(by, "docs", "total_edits", gini.alias("gini"), share("_t10").alias("top_10pct_docs_share"), share("_t5").alias("top_5_docs_share"))
