@@ -224,47 +224,39 @@ def _tile_pairs(rows: DataFrame, classes: DataFrame, num: int, den: int, block:
     dealt = dealt.join(classes.select("cid", "bits"), "cid")
     ready = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token", "tile", "lo", "hi").sortWithinPartitions("token", "tile", "lo", "hi", "cid")
 
-    def pairs_of(t: pa.Table):
-        k = t.num_rows
-        cid, n, comp, own, blk = (t.column(c).to_numpy() for c in ("cid", "n", "comp", "own", "block"))
-        own = own.astype(bool)
-        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        found_a, found_b = [], []
+    def pairs_of(t: pa.Table, edge: np.ndarray):
+        """All tiles of the table at once: rows are held against those one, two, three ... places further on in their tile."""
+        cid, n, comp, own, blk, lo, hi = (t.column(c).to_numpy() for c in ("cid", "n", "comp", "own", "block", "lo", "hi"))
+        own, n, across = own.astype(bool), n.astype(np.int64), lo != hi
         bits = t.column("bits").combine_chunks()
-        for i in range(k - 1):
-            j = np.arange(i + 1, k)
-            ok = (comp[j] != comp[i]) & (own[j] | own[i]) & (cid[j] != cid[i]) & (den * np.minimum(n[j], n[i]).astype(np.int64) >= num * np.maximum(n[j], n[i]).astype(np.int64))
-            if lo != hi:
-                ok &= blk[j] != blk[i]
-            j = j[ok]
-            if len(j):
-                differ = differing_bits(bits.take(pa.array(np.full(len(j), i))), bits.take(pa.array(j)))
-                j = j[may_link(n[i].astype(np.int64), n[j].astype(np.int64), differ, num, den)]
+        ends = np.append(edge, t.num_rows)
+        after = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
+        active, step, found_a, found_b = np.arange(t.num_rows), 1, [], []
+        while len(active := active[active + step < after[active]]):
+            j = active + step
+            ok = (comp[j] != comp[active]) & (own[j] | own[active]) & (cid[j] != cid[active]) & (den * np.minimum(n[j], n[active]) >= num * np.maximum(n[j], n[active])) & (~across[active] | (blk[j] != blk[active]))
+            i, j = active[ok], j[ok]
+            if len(i):
+                keep = may_link(n[i], n[j], differing_bits(bits.take(pa.array(i)), bits.take(pa.array(j))), num, den)
+                i, j = i[keep], j[keep]
                 found_a.append(np.minimum(cid[i], cid[j])), found_b.append(np.maximum(cid[i], cid[j]))
-        return found_a, found_b
+            step += 1
+        if found_a:
+            pair = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
     def run(batches):
         rest = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([rest, t]) if rest is not None else t
+            t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
             key = [t.column(c).to_numpy() for c in ("token", "tile", "lo", "hi")]
             edge = np.flatnonzero(np.logical_or.reduce([np.diff(x) != 0 for x in key])) + 1 if t.num_rows else np.zeros(0, np.int64)
-            starts = np.concatenate([[0], edge])
-            rest = t.slice(int(starts[-1]))
-            yield from emit(t, starts[:-1], starts[1:])
+            if len(edge):
+                yield from pairs_of(t.slice(0, int(edge[-1])), edge[:-1])
+            rest = t.slice(int(edge[-1]) if len(edge) else 0)
         if rest is not None and rest.num_rows:
-            yield from emit(rest, [0], [rest.num_rows])
-
-    def emit(t, starts, ends):
-        a, b = [], []
-        for s, e in zip(starts, ends, strict=True):
-            if e - s > 1:
-                x, y = pairs_of(t.slice(int(s), int(e - s)))
-                a += x
-                b += y
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            yield from pairs_of(rest, np.zeros(0, np.int64))
 
     return ready.mapInArrow(run, "a long, b long").distinct()
 
