@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .scalar import bin_label, ratio_or_null
 from .types import rows
 
-_BREAK = regex.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")
+_BREAK = regex.compile("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
 SPAN = rows("tag string, start int, end int, text string, line int, char_start int, char_end int, line_length int")
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-_ZWSP, _BROKEN = "​", "�"
+_ZWSP, _BROKEN = "\u200b", "\ufffd"
 HTR = f"""case doc_id % 5
  when 0 then text
  when 1 then replace(replace(translate(text, 'éèêçñ', 'eeecn'), ', ', ' , '), ' de ', ' ')

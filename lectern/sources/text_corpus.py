@@ -9,7 +9,7 @@ from ..functions.scalar import newlines
 from ..operators.corpus import prefix_pairs, stem
 
 #: Fixed value: a byte-order mark that some exports begin with.
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def read_texts(spark: SparkSession, path: str, suffix: str) -> DataFrame:
