@@ -6,6 +6,8 @@ batch with numpy, in chunks of about a megabyte, so memory stays bounded however
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -174,7 +176,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps: it does so when the driver's garbage is collected, else after half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def crc_mod(column: str, k: int) -> Column:
