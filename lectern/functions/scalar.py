@@ -81,3 +81,31 @@ def excel_safe(value: Column) -> Column:
 
 def display_percent(x: Column, digits: int = 2) -> Column:
     return F.concat(F.format_number(x * 100, digits), F.lit("%"))
+
+
+def compound_id(doc_id: Column) -> tuple[Column, Column]:
+    """The parts of 'stem:file' before and after the first colon; without one, the whole id twice."""
+    cut = F.locate(":", doc_id)
+    return F.when(cut > 0, F.substring(doc_id, F.lit(1), cut - 1)).otherwise(doc_id), F.when(cut > 0, F.substring(doc_id, cut + 1, F.length(doc_id))).otherwise(doc_id)
+
+
+def folder_name(value: Column, limit: int = 180) -> Column:
+    """Letters, digits, dots, hyphens and underscores; other runs become one underscore."""
+    return F.substring(F.regexp_replace(value, r"[^\w.\-]+", "_"), 1, limit)
+
+
+def reference_file(stem: Column) -> Column:
+    return F.concat(stem, F.lit("_GT.txt"))
+
+
+def display_count(x: Column) -> Column:
+    return F.format_number(x, 0)
+
+
+def display_number(x: Column, digits: int = 2) -> Column:
+    return F.format_number(x, digits)
+
+
+def display_points(x: Column, digits: int = 2) -> Column:
+    """Percentage points with their sign."""
+    return F.concat(F.when(x >= 0, "+").otherwise(""), F.format_number(x, digits), F.lit(" pp"))

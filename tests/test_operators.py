@@ -128,3 +128,23 @@ def test_against_sql(spark, sf, name):
         return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
 
     assert plain(got.select(names).collect()) == plain(want.select(*[f'"{n}"' for n in names]).fetchall())
+
+
+def test_report(spark, tmp_path):
+    from lectern.operators.report import report_tables, write_report
+    from lectern.sources.text_corpus import read_csv
+
+    df = spark.createDataFrame([("p", "s", "uno españa tres\nqu", "uno  espana tres\nkk"), ("q", "s", "a", ""), ("r", "t", "", "")], PAIR)
+    tables = report_tables(df)
+    some = ["document_status_index", "char_confusions", "operational_document_metrics_display", "stable_documents"]
+    write_report({k: tables[k] for k in some}, str(tmp_path))
+    assert read_csv(spark, f"{tmp_path}/document_status_index").count() == 3
+    assert read_csv(spark, f"{tmp_path}/char_confusions").first().htr_char == "n"
+    assert all(t.columns for t in tables.values())
+
+
+def test_names(spark):
+    one = spark.createDataFrame([("A_B:x:y.txt",)], "d string")
+    a, b = scalar.compound_id(F.col("d"))
+    assert tuple(one.select(a, b, scalar.folder_name(F.lit("a b/c")), scalar.excel_safe(F.lit("=1"))).first()) == ("A_B", "x:y.txt", "a_b_c", "'=1")
+    assert spark.range(1).select(scalar.number(F.lit("1,5x")), scalar.number(F.lit("1,234.5"))).first()[:] == (0.0, 1234.5)
