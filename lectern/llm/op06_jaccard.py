@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from .textkit import buffers, most_frequent, shingles, slices, words, written
 
 LEAST_BITS = 256
+BROADCAST_ROWS = 200_000
 
 
 def sets(batch: pa.RecordBatch, n: int):
@@ -134,18 +135,23 @@ def features(docs: DataFrame, n: int, num: int, den: int, heavy: tuple[np.ndarra
 
 
 def arrays(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """cid and sorted hashes (eight bytes each) of the wanted classes, from the text of one member."""
-    named = classes.join(wanted, "cid", "left_semi").select("cid", "rep", "d1", "d2")
-    texts = docs.join(named.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("text")
+    """cid and sorted hashes (eight bytes each) of the wanted classes, from the text of one member.
+
+    Up to ``BROADCAST_ROWS`` wanted classes (counted first, 40 bytes each) go to where the texts are; beyond that both sides
+    are shuffled by id. A repeated id may give a class twice, which does no harm.
+    """
+    named = written(classes.join(wanted, "cid", "left_semi").select("cid", "rep", "d1", "d2"), "wanted")
+    side = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    texts = docs.join(side, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "cid", "d1", "d2")
 
     def run(batches):
         for batch in batches:
-            for _, own in sets(batch, n):
+            for part, own in sets(batch, n):
                 d = [digest(s) for s in own]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in d], pa.int64()), pa.array([y for _, y in d], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], names=["d1", "d2", "hashes"])
+                same = np.array([x == y for x, y in zip(d, zip(part.column("d1").to_pylist(), part.column("d2").to_pylist(), strict=True), strict=True)], bool)
+                yield pa.RecordBatch.from_arrays([part.column("cid").filter(pa.array(same)), pa.array([s.tobytes() for s, ok in zip(own, same, strict=True) if ok], pa.binary())], names=["cid", "hashes"])
 
-    made = texts.mapInArrow(run, "d1 long, d2 long, hashes binary")
-    return made.join(named.select("cid", "d1", "d2"), ["d1", "d2"]).groupBy("cid").agg(F.first("hashes").alias("hashes"))
+    return texts.mapInArrow(run, "cid long, hashes binary")
 
 
 def exact_links(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
