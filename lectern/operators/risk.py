@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schemas import HIGH_INDEL_RATE, RISK_WEIGHTS, STATUS_OF_BAND, VERY_LOW_CONTINUITY, WIDE_RISK_WEIGHTS
-from .stats import median, order_statistics, percentile, percentile_ceil, ranked, robust_center, tercile_band, wide
+from .stats import median, order_statistics, percentile_ceil, ranked, robust_center, tercile_band, wide
 
 
 def z_scores(df: DataFrame, by: str, metrics: list[str], flat: float | None, prefix: str) -> DataFrame:
@@ -121,8 +122,6 @@ def per_group_top(df: DataFrame, by: str, metrics: list[str], id_: str, n: int =
     """For each metric the n rows of each group with the largest value: a bounded heap per task and group, then one merge."""
     long = df.select(by, id_, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x")).select(by, id_, "x.metric", "x.value")
     # Spark limits each group within every input partition before it shuffles for a filtered row_number
-    from pyspark.sql import Window as W
-
     rank = F.row_number().over(W.partitionBy(by, "metric").orderBy(F.desc("value"), id_))
     return long.withColumn("rank", rank).filter(F.col("rank") <= n)
 
@@ -140,5 +139,3 @@ def line_structure_flags(shape: DataFrame) -> DataFrame:
     """Documents that are not stable or have stray blank lines."""
     return shape.filter((F.col("line_structure_band") != "Stable") | (F.col("htr_blank_preserved_unmatched_count") > 0))
 
-
-__all__ = [name for name in dir() if not name.startswith("_")] + ["percentile"]
