@@ -54,9 +54,9 @@ def digest(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """Parity of the number of hashes at each of 256 or more bits, about a quarter of the set's size."""
+    """Parity of the number of hashes at each of 256 or more bits, as many as hashes at least: unlike sets then differ in about half of them, far more than linked ones may."""
     bits = LEAST_BITS
-    while bits * 4 < len(hashes):
+    while bits < len(hashes):
         bits *= 2
     place = ((hashes >> np.uint64(17)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(place, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
