@@ -117,7 +117,7 @@ def _features(piece: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     if not len(ids):
         return ids, np.zeros(0, np.float32)
     ids, n = np.unique(ids, return_counts=True)
-    return ids, (n / n.sum()).astype(np.float32)
+    return ids.astype(np.int32), (n / n.sum()).astype(np.float32)
 
 
 def fit(texts: list[bytes], labels: list[str], bits: int = 16, width: int = 16, epochs: int = 4, rate: float = 0.5, seed: int = 11, window: int = 6000, pieces: int = 2, reject_share: float = 0.001) -> LangModel | None:
