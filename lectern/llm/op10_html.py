@@ -1,10 +1,10 @@
 """HTML main text by structure and a host suffix array.
 
-Pages are range-partitioned by host and a hash of their id, so pages of a host lie together and a host with a large
-share of all pages spreads over many partitions. Within a partition consecutive pages of a host form a shard (at most
-``SHARD`` bytes of HTML). In a shard the token streams of all pages are concatenated, each closed by a token of its own, and a
-suffix array sorted to a depth of ``DEPTH`` tokens is built by prefix doubling; a run of suffixes with equal prefix that comes from two
-distinct pages at least is a repeated substring, and its tokens are covered.
+A suffix array of each host's pages, sorted to a depth of ``DEPTH`` tokens, is built in buckets: every suffix is dealt to a bucket
+by a code of its host and its first ``DEPTH`` tokens, so equal ones of the whole host meet whatever the partitions, and a bucket is
+sorted by code. The number of buckets rises with the bytes of HTML. A run of equal suffixes that comes from two distinct pages at
+least is a repeated substring; each page gets back its repeated codes with their numbers of pages, and the tokens of these runs are
+covered. Pages of a host with the same tokens are one page, so whole copies don't cover each other.
 
 What stays of a page: blocks of its article or main element are the page's own words even if another page quotes them,
 so they stay whole; menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments never stay;
@@ -18,6 +18,7 @@ of a page is read as far as it goes.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
@@ -26,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import words
+from .textkit import mix, shingles, slices, words
 
 DEPTH = 8
-SHARD = 4 << 20
+#: Bytes of HTML read at a time, and to a bucket of suffixes.
+SLICE, BUCKET = 8 << 20, 32 << 20
 
 #: Elements and attribute words.
 RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "audio", "video", "canvas", "select")
@@ -154,70 +156,178 @@ def covered(tokens: np.ndarray, page: np.ndarray, depth: int = DEPTH) -> np.ndar
     return np.delete(inside, last + 1 + np.arange(len(last)))
 
 
-def extract_shard(pages: list[str]) -> list[tuple[str, int]]:
-    """Main text and number of repeated tokens of each page of one host."""
+def _parse(pages: list[str], hosts: list[str]):
+    """Blocks of each page, token offsets of all blocks and of the pages, a code of each window, its page and place, and a key of each page.
+
+    Codes and keys hold the host. A page's key is that of its tokens, so whole copies of a page on its host count as one page.
+    """
     parsed = [blocks(p) for p in pages]
     texts = [t for bs in parsed for _, t in bs]
     joined = np.frombuffer("\n".join(texts).encode(), np.uint8)
-    size = np.array([len(t.encode()) + 1 for t in texts], np.int64)
-    off = np.concatenate([[0], np.cumsum(size)])
+    off = np.concatenate([[0], np.cumsum(np.array([len(t.encode()) + 1 for t in texts], np.int64))])
     if len(texts):
         off[-1] -= 1
     tokens, _, _, per_block = words(joined, off) if len(joined) else (np.zeros(0, np.uint64), None, None, np.zeros(len(off), np.int64))
-    page_of_block = np.repeat(np.arange(len(pages)), [len(bs) for bs in parsed])
-    page = np.repeat(page_of_block, np.diff(per_block))
-    inside = covered(tokens, page)
-    same: dict[str, int] = {}  # short blocks are boilerplate where another page has the same block
-    for p, t in zip(page_of_block, texts, strict=True):
-        if len(t) < 200:
-            same[t] = p if same.get(t, p) == p else -1
+    per_page = per_block[np.concatenate([[0], np.cumsum([len(bs) for bs in parsed])]).astype(np.int64)]
+    size = np.diff(per_page)
+    site = np.array([_code(h) for h in hosts], np.uint64)
+    row = np.repeat(np.arange(len(pages)), size)
+    place = np.arange(len(tokens)) - per_page[row]
+    with np.errstate(over="ignore"):
+        key = mix(tokens + mix(place.astype(np.uint64)))
+        key = np.array([key[a:b].sum(dtype=np.uint64) for a, b in zip(per_page, per_page[1:], strict=False)], np.uint64)
+        key = mix(mix(key + size.astype(np.uint64)) ^ site)
+        run, first = shingles(tokens, per_page, DEPTH)
+        of = np.repeat(np.arange(len(pages)), np.diff(first))
+        whole = (size >= DEPTH)[of]
+        at = np.arange(len(run)) - first[of] + per_page[of]
+        code = mix(mix(run) ^ site[of])
+    return parsed, per_block, code[whole], of[whole], at[whole], key, site
+
+
+def _code(text: str, host: int | None = None) -> int:
+    """A code of a host's name, or of a short block on a host."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, key=b"" if host is None else int(host).to_bytes(8, "little")).digest(), "little")
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _whole(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _short(text: str, n: int) -> bool:
+    return n < DEPTH and len(text) < 200
+
+
+def suffixes(pages: list[str], hosts: list[str], buckets: int):
+    """bucket, sorted codes, numbers of their pages in keys, keys: the distinct codes of each page, dealt to buckets by code."""
+    parsed, per_block, code, page, _, key, site = _parse(pages, hosts)
+    more, b = [], 0
+    for p, bs in enumerate(parsed):
+        more.append((int(site[p]), p))  # counts the host's pages
+        for _, text in bs:
+            if _short(text, per_block[b + 1] - per_block[b]):
+                more.append((_code(text, site[p]), p))
+            b += 1
+    code = np.append(code, np.array([c for c, _ in more], np.uint64))
+    page = np.append(page, np.array([p for _, p in more], np.int64))
+    order = np.lexsort((page, code))
+    code, page = code[order], page[order]
+    new = np.ones(len(code), bool)
+    new[1:] = (code[1:] != code[:-1]) | (page[1:] != page[:-1])
+    code, page = code[new], page[new]
+    bucket = ((code >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    for a, b in zip(starts, np.append(starts[1:], len(code)), strict=True):
+        own, number = np.unique(page[a:b], return_inverse=True)
+        yield int(bucket[a]), _planes(np.diff(code[a:b], prepend=np.uint64(0))), _planes(number.astype(np.uint32)), key[own].tobytes()
+
+
+def repeated(codes: np.ndarray, keys: np.ndarray):
+    """key, codes, counts: for each page key its codes that two distinct pages at least have, and how many have them."""
+    order = np.lexsort((keys, codes))
+    codes, keys = codes[order], keys[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = (codes[1:] != codes[:-1]) | (keys[1:] != keys[:-1])
+    codes, keys = codes[new], keys[new]
+    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    size = np.diff(np.append(starts, len(codes)))
+    count = np.repeat(size, size)
+    keep = count > 1
+    if not keep.any():
+        return
+    order = np.flatnonzero(keep)[np.argsort(keys[keep], kind="stable")]
+    codes, keys, count = codes[order], keys[order], count[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    for a, b in zip(starts, np.append(starts[1:], len(keys)), strict=True):
+        yield int(keys[a].view(np.int64)), codes[a:b].tobytes(), count[a:b].astype(np.uint32).tobytes()
+
+
+def _runs(at: np.ndarray, n: int) -> np.ndarray:
+    step = np.zeros(n + DEPTH + 1, np.int64)
+    np.add.at(step, at, 1)
+    np.add.at(step, at + DEPTH, -1)
+    return np.cumsum(step)[:n] > 0
+
+
+def decide(pages: list[str], hosts: list[str], found: list[dict[int, int]]) -> list[tuple[str, int]]:
+    """Main text and number of repeated tokens of each page; found: the page's repeated codes and on how many pages they stand."""
+    parsed, per_block, code, page, at, _, site = _parse(pages, hosts)
+    count = np.ones(len(code), np.int64)
+    first = np.searchsorted(page, np.arange(len(pages) + 1))
+    for p, shared in enumerate(found):
+        if shared:
+            names = np.sort(np.fromiter(shared, np.uint64, len(shared)))
+            own = code[first[p] : first[p + 1]]
+            hit = np.flatnonzero(names[np.minimum(np.searchsorted(names, own), len(names) - 1)] == own)
+            count[first[p] + hit] = [shared[c] for c in own[hit].tolist()]
+    inside = _runs(at[count > 1], int(per_block[-1]))
     out, b = [], 0
-    for bs in parsed:
+    for p, bs in enumerate(parsed):
         own = any(z == "own" for z, _ in bs)
-        kept, repeated = [], 0
+        kept, total = [], 0
         for zone, text in bs:
             flags = inside[per_block[b] : per_block[b + 1]]
             b += 1
-            repeated += int(flags.sum())
+            total += int(flags.sum())
             if own:
                 if zone == "own":
                     kept.append(text)
-            elif zone == "open" and not (len(flags) < DEPTH and same.get(text) == -1):
+            elif zone == "open" and not (_short(text, len(flags)) and found[p].get(_code(text, site[p]), 1) > 1):
                 unique = text if not flags.any() else " ".join(w for w, f in zip(text.split(" "), flags, strict=False) if not f)
                 if unique:
                     kept.append(unique)
-        out.append(("\n".join(kept), repeated))
+        out.append(("\n".join(kept), total))
     return out
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", partitions: int | None = None) -> DataFrame:
     """page_id, url, text, n_chars, n_repeated of each page."""
-    spark = pages.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = pages.schema[id_col].dataType.simpleString()
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"), F.xxhash64(id_col, url_col).alias("place"))
-    rows = rows.repartitionByRange(parts, "host", "place").sortWithinPartitions("host", "place")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
+    size = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    buckets = max(8, -(-size // BUCKET))
+
+    def deal(batches):
+        for batch in batches:
+            for part in slices(batch, "html", SLICE):
+                found = list(suffixes(part.column("html").to_pylist(), part.column("host").to_pylist(), buckets))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "codes", "pages", "keys"])
 
-    def flush(held):
-        ids, urls, docs = zip(*held, strict=True)
-        found = extract_shard(docs)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(urls, pa.string()), pa.array([t for t, _ in found], pa.string()), pa.array([len(t) for t, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_repeated"])
+    def count(table):
+        codes, keys = [], []
+        for c, p, k in zip(*(table.column(x).to_pylist() for x in ("codes", "pages", "keys")), strict=True):
+            codes.append(np.cumsum(_whole(c, np.uint64), dtype=np.uint64))
+            keys.append(np.frombuffer(k, np.uint64)[_whole(p, np.uint32)])
+        found = list(repeated(np.concatenate(codes), np.concatenate(keys)))
+        columns = zip(*found, strict=True) if found else ([], [], [])
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["key", "codes", "counts"])
+
+    def key_of(batches):
+        for batch in batches:
+            for part in slices(batch, "html", SLICE):
+                key = _parse(part.column("html").to_pylist(), part.column("host").to_pylist())[5]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(key.view(np.int64), pa.int64())], names=[*part.schema.names, "key"])
 
     def run(batches):
-        held, size, at = [], 0, None
         for batch in batches:
-            id_type = batch.schema.field("page_id").type
-            for i, u, h, site in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "host")), strict=True):
-                if held and (site != at or size >= SHARD):
-                    out = flush(held)
-                    yield out.set_column(0, "page_id", out.column(0).cast(id_type))
-                    held, size = [], 0
-                at = site
-                held.append((i, u, h or ""))
-                size += len(h or "")
-        if held:
-            out = flush(held)
-            yield out.set_column(0, "page_id", out.column(0).cast(id_type))
-
-    return rows.select("page_id", "url", "html", "host").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint, n_repeated bigint")
+            for part in slices(batch, "html", SLICE):
+                shares = [
+                    dict(zip(np.frombuffer(b"".join(c or ()), np.uint64).tolist(), np.frombuffer(b"".join(n or ()), np.uint32).tolist(), strict=True))
+                    for c, n in zip(part.column("codes").to_pylist(), part.column("counts").to_pylist(), strict=True)
+                ]
+                found = decide(part.column("html").to_pylist(), part.column("host").to_pylist(), shares)
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array([t for t, _ in found], pa.string()), pa.array([len(t) for t, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_repeated"])
+
+    dealt = rows.select("html", "host").mapInArrow(deal, "bucket long, codes binary, pages binary, keys binary")
+    dealt = dealt.repartition(partitions, "bucket") if partitions else dealt
+    shared = dealt.groupBy("bucket").applyInArrow(count, "key long, codes binary, counts binary")
+    shared = shared.groupBy("key").agg(F.collect_list("codes").alias("codes"), F.collect_list("counts").alias("counts"))
+    keyed = rows.mapInArrow(key_of, f"page_id {kind}, url string, html string, host string, key long")
+    return keyed.join(shared, "key", "left").select("page_id", "url", "html", "host", "codes", "counts").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint, n_repeated bigint")

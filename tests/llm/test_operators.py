@@ -435,6 +435,34 @@ def test_boilerplate_by_suffix_array(spark):
     assert pages_.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 40])
+def test_boilerplate_over_the_whole_host(spark, partitions):
+    menu = "<div>one two three four five six seven eight nine ten</div>"
+    table = [(i, f"http://h/{i}", f"<body>{menu}<div>page{i} has words of its own</div></body>") for i in range(30)]
+    table += [(100 + i, f"http://copies/{i}", f"<body><div>a whole page of text that stands twice on its host</div><script>{i}</script></body>") for i in range(2)]
+    got = {r.page_id: r for r in pages_.extract(spark.createDataFrame(table, "page_id long, url string, html string").repartition(8), partitions=partitions).collect()}
+    assert len(got) == 32 and all(got[i].text == f"page{i} has words of its own" and got[i].n_repeated == 10 for i in range(30))
+    assert all(got[100 + i].text == "a whole page of text that stands twice on its host" and got[100 + i].n_repeated == 0 for i in range(2))
+
+
+def test_repeats_against_covered(spark, sf):
+    table = [r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    got = {r.page_id: r.n_repeated for r in Q.op10_main_text(spark, sf).collect()}
+    by_host = {}
+    for r in table:
+        by_host.setdefault(r.url.split("/")[2].lower(), []).append(r)
+    for rs in by_host.values():
+        streams = [[w for _, t in pages_.blocks(r.html) for w in SPACED.findall(t.translate(LOWER))] for r in rs]
+        names = {w: i for i, w in enumerate(sorted({w for s in streams for w in s}))}
+        first = {}
+        page = np.repeat([first.setdefault(tuple(s), i) for i, s in enumerate(streams)], [len(s) for s in streams])
+        order = np.argsort(page, kind="stable")
+        hit = np.zeros(len(page), bool)
+        hit[order] = pages_.covered(np.array([names[w] for s in streams for w in s], np.uint64)[order], page[order])
+        off = np.cumsum([0, *map(len, streams)])
+        assert [got[r.page_id] for r in rs] == [int(hit[a:b].sum()) for a, b in zip(off, off[1:], strict=False)]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), max_size=20), max_size=5))
 def test_covered(streams):
