@@ -6,10 +6,11 @@ sorted by code. The number of buckets rises with the bytes of HTML. A run of equ
 least is a repeated substring; each page gets back its repeated codes with their numbers of pages, and the tokens of these runs are
 covered. Pages of a host with the same tokens are one page, so whole copies don't cover each other.
 
-What stays of a page: blocks of its article or main element are the page's own words even if another page quotes them,
-so they stay whole; menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments never stay;
-where a page names no article, the blocks in neither are decided by the suffix array: covered boilerplate goes, unique
-runs stay. ``n_repeated`` tells how many tokens of the page's whole stream are covered.
+What stays of a page: menus, headers, footers, sidebars, notices, adverts, forms, scripts and comments never stay; of its article or
+main element all that is not boilerplate of the host, that is, runs (and short blocks) that ``LEAST_PAGES`` pages and ``LEAST_SHARE``
+of the host's distinct pages have: what fewer pages share are quotations and copies, which stay. Where a page names no article,
+the blocks in neither go where any other page has them and unique runs stay. ``n_repeated`` tells how many tokens of the
+page's whole stream are covered.
 
 Nulls: null html is empty (text empty, 0 characters); a null url is a host of its own name ''. Repeated rows each get
 their row, an empty table gives an empty result, other columns are ignored. A cut tag, comment or reference at the end
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from .textkit import mix, shingles, slices, words
 
 DEPTH = 8
+#: A run in an article is boilerplate, not a quotation, where so many pages and this share of the host's pages have it.
+LEAST_PAGES, LEAST_SHARE = 5, 0.5
 #: Bytes of HTML read at a time, and to a bucket of suffixes.
 SLICE, BUCKET = 8 << 20, 32 << 20
 
@@ -266,18 +269,19 @@ def decide(pages: list[str], hosts: list[str], found: list[dict[int, int]]) -> l
             hit = np.flatnonzero(names[np.minimum(np.searchsorted(names, own), len(names) - 1)] == own)
             count[first[p] + hit] = [shared[c] for c in own[hit].tolist()]
     inside = _runs(at[count > 1], int(per_block[-1]))
+    least = np.array([max(LEAST_PAGES, LEAST_SHARE * f.get(int(x), 1)) for f, x in zip(found, site, strict=True)])
+    common = _runs(at[count >= least[page]], int(per_block[-1]))
     out, b = [], 0
     for p, bs in enumerate(parsed):
         own = any(z == "own" for z, _ in bs)
         kept, total = [], 0
         for zone, text in bs:
             flags = inside[per_block[b] : per_block[b + 1]]
-            b += 1
             total += int(flags.sum())
             if own:
-                if zone == "own":
-                    kept.append(text)
-            elif zone == "open" and not (_short(text, len(flags)) and found[p].get(_code(text, site[p]), 1) > 1):
+                flags = common[per_block[b] : per_block[b + 1]]
+            b += 1
+            if zone == ("own" if own else "open") and not (_short(text, len(flags)) and found[p].get(_code(text, site[p]), 1) >= (least[p] if own else 2)):
                 unique = text if not flags.any() else " ".join(w for w, f in zip(text.split(" "), flags, strict=False) if not f)
                 if unique:
                     kept.append(unique)

@@ -445,6 +445,13 @@ def test_boilerplate_over_the_whole_host(spark, partitions):
     assert all(got[100 + i].text == "a whole page of text that stands twice on its host" and got[100 + i].n_repeated == 0 for i in range(2))
 
 
+def test_boilerplate_in_articles(spark):
+    line, quote = "read more stories like this one in our weekly letter", "a saying of ten words that just two pages quote"
+    table = [(i, f"http://h/{i}", f"<article><p>words of page{i}</p>{f'<p>{quote}</p>' * (i < 2)}<p>{line}</p><p>Share this</p></article>") for i in range(12)]
+    got = {r.page_id: r.text for r in pages_.extract(spark.createDataFrame(table, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == {i: f"words of page{i}" + f"\n{quote}" * (i < 2) for i in range(12)}
+
+
 def test_repeats_against_covered(spark, sf):
     table = [r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     got = {r.page_id: r.n_repeated for r in Q.op10_main_text(spark, sf).collect()}
