@@ -5,9 +5,9 @@ have the target shares of sources, languages and topics. A document's chance to
 factor, at most 1; the factor is calibrated so that the expected number of sampled tokens is ``rate`` of all. ``weight`` is
 what a sampled document must count for where the chance was cut at 1, so that weighted margins stay on target.
 
-Each margin has at most ``categories`` values of its own (the largest by tokens; the rest are ``(other)``), so the cells that
-reach the driver and the table that is broadcast are bounded by that, whatever the number of rows. Documents are never shuffled; cells
-are pre-aggregated in each task.
+Every value of a margin has its own target. Cells are pre-aggregated in each task; one row a cell reaches the driver, and the table of
+chances is broadcast up to ``BROADCAST_CELLS`` cells and joined by a shuffle of rows without texts beyond. Only a caller who gives
+``categories`` gets margins of so many values (the largest by tokens), the rest as ``(other)`` with their targets added up.
 
 Targets not given are the observed shares to a power (1 keeps them, 0 makes them equal), by margin.
 Nulls: a null or empty text has no tokens and the chance of its cell; a null source or language is ``(none)``; a null id is drawn
@@ -26,6 +26,7 @@ POWERS = {"source": 0.7, "lang": 0.5, "topic": 0.7}
 ROUNDS = 12
 RATE = 0.6
 SEED = "mix"
+BROADCAST_CELLS = 100_000
 
 
 def topic_of(text: Column) -> Column:
@@ -71,7 +72,7 @@ def factor(tokens: np.ndarray, weights: np.ndarray, rate: float) -> float:
     return hi
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, targets: dict[str, dict[str, float]] | None = None, powers: dict[str, float] = POWERS, rate: float = RATE, rounds: int = ROUNDS, seed: str = SEED, categories: int = 200) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, targets: dict[str, dict[str, float]] | None = None, powers: dict[str, float] = POWERS, rate: float = RATE, rounds: int = ROUNDS, seed: str = SEED, categories: int | None = None) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, chance, weight, sampled of each row."""
     spark = df.sparkSession
     none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
@@ -82,24 +83,27 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         (none(topic_col) if topic_col else topic_of(F.col(text_col))).alias("topic"),
         tokens_of(F.col(text_col)).alias("n_tokens"),
     )
-    large: dict[str, set[str]] = {}
-    for m in MARGINS:
-        # only the margin's own column is read; a topic made from the text has few values
-        if m == "topic" and not topic_col:
-            continue
-        top = rows.groupBy(m).count().orderBy(F.desc("count"), m).limit(categories + 1).collect()
+    rest: dict[str, float] = {}
+    for m in MARGINS if categories is not None else ():
+        top = rows.groupBy(m).agg(F.sum("n_tokens").alias("tokens")).orderBy(F.desc("tokens"), m).limit(categories + 1).collect()
         if len(top) > categories:
-            large[m] = {r[m] for r in top[:categories]}
-            rows = rows.withColumn(m, F.when(F.col(m).isin(*large[m]), F.col(m)).otherwise("(other)"))
+            large = {r[m] for r in top[:categories]}
+            given = {x: float(v) for x, v in ((targets or {}).get(m) or {}).items() if x not in large}
+            if given:
+                there = rows.filter(F.col(m).isin(*given) & (F.col("n_tokens") > 0)).select(m).distinct().collect()
+                rest[m] = sum(given[r[m]] for r in there)
+            rows = rows.withColumn(m, F.when(F.col(m).isin(*large), F.col(m)).otherwise("(other)"))
     cells = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")).orderBy(*MARGINS).toPandas()
     tokens = cells["tokens"].to_numpy(float)
     if not len(cells) or not tokens.sum():
         return rows.withColumn("chance", F.lit(float(rate))).withColumn("weight", F.lit(1.0)).withColumn("sampled", draw(F.col("doc_id"), seed) < rate)
     codes, wanted = [], []
     for m in MARGINS:
-        names, code = np.unique(cells[m].to_numpy(str), return_inverse=True)
+        code, names = cells[m].factorize(sort=True)
         seen = np.bincount(code, tokens, len(names))
         given = (targets or {}).get(m)
+        if given and m in rest:
+            given = {**given, "(other)": rest[m]}
         goal = np.array([float(given.get(x, 0.0)) for x in names]) * (seen > 0) if given else np.power(seen, powers[m], out=np.zeros(len(seen)), where=seen > 0)
         if not goal.sum():
             raise ValueError(f"no target of {m} has tokens")
@@ -109,7 +113,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     f = factor(tokens, weights, rate)
     cells["chance"] = np.where(tokens > 0, np.minimum(1, f * weights), rate)
     cells["weight"] = np.where(tokens > 0, np.maximum(1, f * weights), 1.0)
-    table = F.broadcast(spark.createDataFrame(cells[[*MARGINS, "chance", "weight"]]))
+    table = spark.createDataFrame(cells[[*MARGINS, "chance", "weight"]])
+    if len(cells) <= BROADCAST_CELLS:
+        table = F.broadcast(table)
     out = rows.join(table, list(MARGINS))
     return out.select("doc_id", *MARGINS, "n_tokens", F.round("chance", 9).alias("chance"), F.round("weight", 9).alias("weight"), (draw(F.col("doc_id"), seed) < F.round("chance", 9)).alias("sampled"))
 

@@ -334,6 +334,21 @@ def test_mixing(spark, odd, sf, docs):
     assert {r.source for r in few.collect()} <= {"a", "b", "(none)", "(other)"}
 
 
+@pytest.mark.parametrize("cells", [mixing.BROADCAST_CELLS, 10])
+def test_mixing_rakes_every_value(spark, monkeypatch, cells):
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", cells)
+    table = [(i, "some words of a text " * (1 + i % 7), "en", f"s{i % 260}") for i in range(1040)]
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string, source string")
+    targets = {f"s{k}": 1 + k % 3 for k in range(260)}
+    got = mixing.mix(df, targets={"source": targets}).collect()
+    assert len(got) == len(table) and {r.source for r in got} == set(targets) and min(r.chance for r in got) > 0
+    mass = {}
+    for r in got:
+        mass[r.source] = mass.get(r.source, 0) + r.n_tokens * r.chance * r.weight
+    assert all(mass[x] / sum(mass.values()) == pytest.approx(targets[x] / sum(targets.values()), rel=0.01) for x in targets)
+    assert min(r.chance for r in mixing.mix(df, targets={"source": targets}, categories=5).collect()) > 0
+
+
 # ---- 8
 
 BASE = {
