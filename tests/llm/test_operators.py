@@ -192,6 +192,16 @@ def test_language_model(spark, odd, sf, docs):
     assert {r.train_tokens for r in lm.score(odd, F.lit(False)).collect()} == {0}
 
 
+def test_bigrams_of_words_outside_the_vocabulary(spark, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 60")
+    train = F.pmod(F.col("doc_id"), F.lit(5)) != 1
+    whole = {r.doc_id: r for r in lm.score(table, train).collect()}
+    for vocabulary in (0, 40):
+        few = {r.doc_id: r for r in lm.score(table, train, vocabulary=vocabulary).collect()}
+        assert few.keys() == whole.keys() and all(r.n_known == whole[d].n_known and r.base_score == pytest.approx(whole[d].base_score) for d, r in few.items())
+        assert all(abs(r.score - whole[d].score) <= 0.03 * r.n_tokens for d, r in few.items())
+
+
 # ---- 4
 
 
