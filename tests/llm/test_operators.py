@@ -140,6 +140,28 @@ def test_decontamination(spark, odd, sf, docs):
     assert decon.clean(odd, planted.limit(0)).count() == len(ROWS) and decon.clean(odd.limit(0), planted).count() == 0
 
 
+def test_paraphrases_at_the_least_share(spark, sf, docs):
+    import pyarrow as pa
+
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    own = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    m = decon.Matcher(decon.fit(table), decon.items_of([(r.item_id, r.text) for r in own]), 0.8, 0.6, 0.6, 8)
+    rng, pool, texts = np.random.default_rng(1), [w for t in docs.values() for w in (t or "").split()], []
+    foreign = lambda n: [pool[i] for i in rng.integers(len(pool), size=n)]
+    for i in range(200):
+        ws = re.findall(r"\w+", own[i % len(own)].text)
+        for j in rng.choice(len(ws), len(ws) * 3 // 10, replace=False):
+            ws[j] = foreign(1)[0]
+        for j in sorted(rng.integers(len(ws), size=len(ws) // 2), reverse=True):
+            ws.insert(j, foreign(1)[0])
+        texts.append(" ".join(foreign(100) + ws + foreign(100)))
+    raw, off = kit.buffers(pa.array(texts))
+    found = {x[:2] for x in m.find(raw, off)}
+    m.least_cosine[:] = -1  # every window, so all by common subsequence
+    every = {x[:2] for x in m.find(raw, off)}
+    assert len(every) > 100 and len(found & every) >= 0.95 * len(every)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=70), st.lists(st.integers(0, 4), max_size=40))
 def test_subsequence(a, b):
