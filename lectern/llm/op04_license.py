@@ -3,7 +3,8 @@
 A text is read as its words, A-Z lower-cased, joined by single spaces. A notice with room for k edits is cut into k + 1
 pieces; at least one of them stands unedited in any match, so one Aho-Corasick pass over the text for all pieces of all
 notices finds every candidate. The regex library's bounded-error matching then verifies the notice around each seed
-and counts its edits; digits (version numbers) are outside the fuzzy part and must be exact.
+and counts its edits; only digits (version numbers) must be exact, all other words share the edits. Each seed's window is searched
+for itself, also left and right of its best match.
 
 Each row is handled alone: no shuffle, memory bounded by one batch and one text.
 Nulls: a null text counts as empty (no words, no labels, score 0); a null id is carried through.
@@ -62,9 +63,11 @@ class Notice:
         runs = re.findall(r"[0-9 ]*[0-9][0-9 ]*|[^0-9]+", words)
         self.edits = max(1, sum(len(r) for r in runs if not re.search("[0-9]", r)) // CHARS_PER_EDIT)
         longest = max((r for r in runs if not re.search("[0-9]", r)), key=len)
-        self.pattern = regex.compile("(?b)" + "".join(f"(?:{regex.escape(r)}){{e<={self.edits}}}" if r is longest else regex.escape(r) for r in runs))
+        self.pattern = regex.compile("(?b)" + "".join(regex.escape(r) if re.search("[0-9]", r) else f"(?:{regex.escape(r)}){{e<={self.edits}}}" for r in runs))
+        # all runs share the edits, so of one more pieces of a single run one stands unedited wherever the edits are
         at, n = words.index(longest), self.edits + 1
         cuts = [len(longest) * i // n for i in range(n + 1)]
+        self.least = self.size - self.edits
         self.pieces = [(longest[a:b], at + a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
@@ -102,28 +105,24 @@ def phrase_places(norm: bytes, phrases: list[tuple[bytes, str]]) -> list[tuple[s
 
 def notice_matches(norm: bytes, seeds: ahocorasick.Automaton) -> list[tuple[Notice, int, int, int]]:
     """Notice, start and end in the normalised bytes, and edits of each verified match."""
-    windows: dict[Notice, list[list[int]]] = {}
+    begins: set[tuple[Notice, int]] = set()
     for end, where in seeds.iter(norm.decode("latin-1")):
-        for notice, at, size in where:
-            begin = end + 1 - size - at
-            spare = 4 * notice.edits + 2  # an inserted character may take up to four bytes
-            lo, hi = max(0, begin - spare), min(len(norm), begin + notice.size + spare)
-            own = windows.setdefault(notice, [])
-            if own and lo <= own[-1][1]:
-                own[-1][0], own[-1][1] = min(lo, own[-1][0]), max(hi, own[-1][1])
-            else:
-                own.append([lo, hi])
-    out = []
-    for notice, spans in windows.items():
-        for lo, hi in spans:
-            while lo > 0 and norm[lo] & 0xC0 == 0x80:
-                lo -= 1
-            window = norm[lo:hi].decode("utf-8", "ignore")
-            at = 0
-            while m := notice.pattern.search(window, at):
+        begins.update((notice, end + 1 - size - at) for notice, at, size in where)
+    out = set()
+    for notice, begin in begins:
+        spare = 4 * notice.edits + 2  # an inserted character may take up to four bytes
+        lo, hi = max(0, begin - spare), min(len(norm), begin + notice.size + spare)
+        while lo > 0 and norm[lo] & 0xC0 == 0x80:
+            lo -= 1
+        window = norm[lo:hi].decode("utf-8", "ignore")
+        parts = [(0, len(window))]  # what is left and right of the best match is searched too
+        while parts:
+            at, to = parts.pop()
+            m = notice.pattern.search(window, at, to)
+            if m and m.end() > m.start() and sum(m.fuzzy_counts) <= notice.edits:
                 a, b = lo + len(window[: m.start()].encode()), lo + len(window[: m.end()].encode())
-                out.append((notice, a, b, sum(m.fuzzy_counts)))
-                at = max(m.end(), at + 1)
+                out.add((notice, a, b, sum(m.fuzzy_counts)))
+                parts += [(x, y) for x, y in ((at, m.start()), (m.end(), to)) if y - x >= notice.least]
     best: list = []
     for x in sorted(out, key=lambda x: (x[3], x[1] - x[2], x[1], x[0].label)):
         if all(x[2] <= y[1] or y[2] <= x[1] for y in best):

@@ -245,6 +245,19 @@ def test_licences(spark, odd, sf, docs):
     assert licences.digest(licences.scan(odd)).count() == len(ROWS) and licences.scan(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("x creative commons attribution 4 0 international licence y", [("cc-by-4.0", 1)]),
+        ("all right reserved all rights reserved", [("all-rights-reserved", 1), ("all-rights-reserved", 0)]),
+        ("creative commons attribution 4 1 international license", []),
+    ],
+)
+def test_edits_in_any_word(text, want):
+    found = licences.notice_matches(text.encode(), licences.automaton(licences.NOTICES))
+    assert [(n.label, k) for n, a, _, k in sorted(found, key=lambda x: x[1])] == want
+
+
 # ---- 5
 
 
