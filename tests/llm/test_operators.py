@@ -175,36 +175,61 @@ def test_subsequence(a, b):
 # ---- 3
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 5000), max_size=60), st.lists(st.integers(0, 5100), min_size=1, max_size=20))
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 5000), st.integers(0, 2**62)), max_size=60), st.lists(st.one_of(st.integers(0, 5100), st.integers(0, 2**62)), min_size=1, max_size=20))
 def test_elias_fano(values, keys):
     values = np.array(sorted(values), np.int64)
-    ef, _ = lm.EliasFano.view(np.frombuffer(lm.EliasFano.pack(values), np.uint8), 0)
-    assert (ef.get(np.arange(len(values))) == values).all()
-    k = np.array(keys, np.int64)
+    packed = np.frombuffer(lm.EliasFano.pack(values), np.uint8)
+    ef, end = lm.EliasFano.view(packed, 0)
+    assert end == len(packed) and (ef.get(np.arange(len(values))) == values).all()
+    k = np.array(keys + values.tolist(), np.int64)
     zero = np.zeros(len(k), np.int64)
     assert (ef.successor(k, zero, zero + len(values)) == np.searchsorted(values, k)).all()
+    assert (ef.find(k, zero, zero + len(values))[1] == np.isin(k, values)).all()
+    some = zero + len(values) // 2
+    assert (ef.successor(k, some, zero + len(values)) == np.maximum(np.searchsorted(values, k), some)).all()
+
+
+def test_elias_fano_is_compact():
+    values = np.sort(np.random.default_rng(0).integers(0, 1 << 30, 200_000))
+    assert len(lm.EliasFano.pack(values)) * 8 < len(values) * (30 - 17 + 3)
+
+
+def plain_scores(data, classes=lambda w, i: 0):
+    """Base score, score and known tokens of each (words, held out) by counts in dictionaries; classes: that of the place i of a text."""
+    c, tri, ab, bc, b_, left = (Counter() for _ in range(6))
+    places = []
+    for w, held in data:
+        c.update(w if not held else ())
+        places.append([((w[i - 1], classes(w, i)), w[i - 2] if i > 1 else None, w[i]) if i else None for i in range(len(w))])
+        tri.update(x for x in places[-1] if x and not held)
+    for (b, a, x), k in tri.items():
+        ab[b, a] += k
+        bc[b, x] += k
+        b_[b] += k
+    total, kinds = sum(c.values()), len(c)
+    n3, n2 = Counter((b, a) for b, a, _ in tri), Counter(b for b, _ in bc)
+    p = lambda w: (c[w] + 0.5) / (total + 0.5 * (kinds + 1))
+    d = lm.DISCOUNT
+
+    def chance(b, a, x):
+        low = max(bc[b, x] - d, 0) / b_[b] + d * n2[b] / b_[b] * p(x) if b_[b] else p(x)
+        return max(tri[b, a, x] - d, 0) / ab[b, a] + d * n3[b, a] / ab[b, a] * low if ab[b, a] else low
+
+    out = []
+    for (w, _), own in zip(data, places, strict=True):
+        out.append((sum(math.log10(p(x)) for x in w), math.log10(p(w[0])) + sum(math.log10(chance(*x)) for x in own[1:]), sum(c[x] > 0 for x in w)))
+    return out, total
 
 
 def test_language_model(spark, odd, sf, docs):
-    data = [(d, SPACED.findall((t or "").translate(LOWER)) + [0], zlib.crc32(str(d).encode()) % 5 == 1) for d, t in docs.items()]
-    c, pair = Counter(), Counter()
-    for _, w, held in data:
-        if not held:
-            c.update(w)
-            pair.update(zip(w, w[1:], strict=False))
-    total, kinds = sum(c.values()), len(c)
-    stored = Counter()
-    for (m, _), k in pair.items():
-        stored[m] += (k - lm.DISCOUNT) / c[m]
-    p = lambda w: (c[w] + 0.5) / (total + 0.5 * (kinds + 1))
+    data = [(SPACED.findall((t or "").translate(LOWER)) + [0], zlib.crc32(str(d).encode()) % 5 == 1) for d, t in docs.items()]
+    want, total = plain_scores(data)
     got = {r.doc_id: r for r in Q.op3_lm_score(spark, sf).collect()}
     assert len(got) == len(docs)
-    for d, w, held in data:
-        base = sum(math.log10(p(x)) for x in w)
-        score = math.log10(p(w[0])) + sum(math.log10(max(pair[m, r] - lm.DISCOUNT, 0) / c[m] + (1 - stored[m]) * p(r)) if c[m] else math.log10(p(r)) for m, r in zip(w, w[1:], strict=False))
+    for d, (w, held), (base, score, known) in zip(docs, data, want, strict=True):
         r = got[d]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, len(w), sum(c[x] > 0 for x in w), total)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, len(w), known, total)
         assert r.base_score == pytest.approx(base, rel=1e-9)
         assert abs(r.score - score) <= 0.03 * len(w)  # 8-bit codes
     out = lm.score(odd, F.coalesce(F.col("doc_id"), F.lit(0)) != 2).collect()
@@ -214,14 +239,60 @@ def test_language_model(spark, odd, sf, docs):
     assert {r.train_tokens for r in lm.score(odd, F.lit(False)).collect()} == {0}
 
 
-def test_bigrams_of_words_outside_the_vocabulary(spark, sf):
+@pytest.mark.parametrize("options", [{"vocabulary": 0}, {"vocabulary": 40}, {"shard": 500}, {"shard": 500, "fan": 3, "batch": 200}])
+def test_scores_do_not_depend_on_the_layout(spark, sf, monkeypatch, options):
     table = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 60")
     train = F.pmod(F.col("doc_id"), F.lit(5)) != 1
     whole = {r.doc_id: r for r in lm.score(table, train).collect()}
-    for vocabulary in (0, 40):
-        few = {r.doc_id: r for r in lm.score(table, train, vocabulary=vocabulary).collect()}
-        assert few.keys() == whole.keys() and all(r.n_known == whole[d].n_known and r.base_score == pytest.approx(whole[d].base_score) for d, r in few.items())
-        assert all(abs(r.score - whole[d].score) <= 0.03 * r.n_tokens for d, r in few.items())
+    options = dict(options)
+    monkeypatch.setattr(lm, "FAN", options.pop("fan", lm.FAN))
+    size = options.pop("batch", lm.BATCH)
+    own = lm._places
+    monkeypatch.setattr(lm, "_places", lambda *a: own(*a, size))
+    few = {r.doc_id: r for r in lm.score(table.repartition(3), train, **options).collect()}
+    assert few.keys() == whole.keys() and all(r.n_known == whole[d].n_known and r.base_score == pytest.approx(whole[d].base_score) for d, r in few.items())
+    assert all(abs(r.score - whole[d].score) <= 0.03 * r.n_tokens for d, r in few.items())
+
+
+def test_split_words_pairs_and_triples(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    head = "a line that every text has of them all the same ".split()
+    texts = [" ".join(head + list(rng.choice(["the", "of", "and", "x", "y"], 30)) + [f"w{rng.integers(9)}"]) for _ in range(300)]
+    unit = 120
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = {}
+    own = lm.context
+
+    def spy(v, h, number, at):
+        seen["v"] = v
+        return own(v, h, number, at)
+
+    got = {r.doc_id: r.score for r in lm.score(df.repartition(5), F.col("doc_id") % 4 != 1, unit=unit, vocabulary=200).collect()}
+    # the same lists, made here
+    data = [(t.split() + [0], i % 4 == 1) for i, t in enumerate(texts)]
+    hashes = {w: int(kit.phrase_hash(w)[0]) for ws, _ in data for w in ws if w} | {0: int(lm.END)}
+    c = Counter(w for ws, held in data if not held for w in ws)
+    names = np.array(sorted(hashes[w] for w in c), np.uint64)
+    word = {h: w for w, h in hashes.items()}
+    v = lm.Vocabulary(names, np.array([c[word[int(h)]] for h in names]), sum(c.values()), len(c))
+    v.split(unit, len(texts))
+    hot = {w for w in c if c[w] > unit}
+    pairs = Counter((a, b) for ws, _ in data for a, b, _ in zip(ws, ws[1:], ws[2:], strict=False) if a in hot and b in hot)
+    pairs = {p: k for p, k in pairs.items() if k > unit}
+    assert len(hot) > 9 and len(pairs) > 5
+    place = {int(h): i for i, h in enumerate(names)}
+    v.split_pairs(np.array([place[hashes[a]] << 32 | place[hashes[b]] for a, b in pairs]), np.array(list(pairs.values())), unit)
+
+    def classes(w, i):
+        h = np.array([hashes[x] for x in w], np.uint64)
+        return int(spy(v, h, v.numbers(h), np.array([0, len(h)]))[1][i])
+
+    want, _ = plain_scores(data, classes)
+    assert all(abs(got[d] - s) <= 0.03 * len(data[d][0]) for d, (_, s, _) in enumerate(want))
+    # triples that go without their texts
+    monkeypatch.setattr(lm, "WIDE", 2)
+    spread = {r.doc_id: r.score for r in lm.score(df.repartition(5), F.col("doc_id") % 4 != 1, unit=unit, vocabulary=200).collect()}
+    assert all(spread[d] == pytest.approx(got[d], rel=1e-9) for d in got)
 
 
 # ---- 4
