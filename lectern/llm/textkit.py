@@ -1,7 +1,7 @@
 """Vectorised text primitives shared by the training-data operators.
 
 Everything here works on the raw buffers of Arrow string arrays: words are found and hashed for a whole
-batch with numpy, in chunks of about a megabyte, so memory stays bounded however long one text is.
+batch with numpy, in short stretches that stay in the cache, so memory stays bounded however long one text is.
 """
 
 from __future__ import annotations
@@ -33,10 +33,29 @@ NON_SPACE = ~_table(WHITE)
 #: bytes of words made of ASCII letters and digits and everything beyond ASCII
 ALNUM = _table([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
 
+#: bytes that are hashed at a time
+WORK = 1 << 17
 _rng = np.random.Generator(np.random.PCG64(20_26))
-_POSITIONS = 256
-#: one random 64-bit value for each place in a word and each byte
-_TAB = _rng.integers(1, 2**63, size=(_POSITIONS, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: one random 64-bit value for each byte, the same for A-Z and a-z
+_VALUES = (_rng.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[LOWER]
+_BASE = int(_rng.integers(1, 2**62)) * 8 + 5
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """The first n powers of an odd number modulo 2**64; those of a usual stretch are kept."""
+    if base not in _powers:
+        _powers[base] = np.full(4 * WORK, base, np.uint64)
+        _powers[base][0] = 1
+        np.multiply.accumulate(_powers[base], out=_powers[base])
+    kept = _powers[base]
+    if n <= len(kept):
+        return kept[:n]
+    with np.errstate(over="ignore"):
+        far = np.full(-(-n // len(kept)), pow(base, len(kept), 1 << 64), np.uint64)
+        far[0] = 1
+        return np.multiply.outer(np.multiply.accumulate(far), kept).ravel()[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -77,18 +96,18 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK):
 
 
 def _cuts(raw: np.ndarray, off: np.ndarray, inside: np.ndarray) -> list[int]:
-    """Places about CHUNK apart at which no word is cut."""
+    """Places about WORK apart at which no word is cut."""
     cuts, at, n = [0], 0, len(raw)
-    while n - at > 2 * CHUNK:
-        to = at + CHUNK
+    while n - at > 2 * WORK:
+        to = at + WORK
         while to < n:
             gap = np.flatnonzero(~inside[raw[to : to + 65536]])
             if len(gap):
                 to += int(gap[0])
                 break
             to += 65536
-        bound = off[np.searchsorted(off, at + CHUNK)] if off[-1] > at + CHUNK else n
-        at = int(min(to, max(bound, at + CHUNK), n))
+        bound = off[np.searchsorted(off, at + WORK)] if off[-1] > at + WORK else n
+        at = int(min(to, max(bound, at + WORK), n))
         cuts.append(at)
     if cuts[-1] != n:
         cuts.append(n)
@@ -96,36 +115,37 @@ def _cuts(raw: np.ndarray, off: np.ndarray, inside: np.ndarray) -> list[int]:
 
 
 def words(raw: np.ndarray, off: np.ndarray, inside: np.ndarray = NON_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end (byte offsets) of each word, A-Z lower-cased, and the word offsets of the rows."""
+    """Hash, start and end (byte offsets) of each word, A-Z lower-cased, and the word offsets of the rows.
+
+    A word's hash is the polynomial of its bytes' values modulo 2**64, from running sums over a stretch of text, mixed.
+    """
     hashes, begins, finishes = [], [], []
     cuts = _cuts(raw, off, inside)
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        low = LOWER[raw[a:b]]
-        word = inside[low]
-        first = word.copy()
-        first[1:] &= ~word[:-1]
-        last = word.copy()
-        last[:-1] &= ~word[1:]
-        own = off[np.searchsorted(off, a) : np.searchsorted(off, b)] - a
-        own = own[own < b - a]
-        first[own] = word[own]
-        before = own[own > 0] - 1
-        last[before] = word[before]
-        begin = np.flatnonzero(first)
-        if not len(begin):
-            continue
-        index = np.cumsum(first, dtype=np.int32)
-        index -= 1
-        place = np.arange(b - a, dtype=np.int32)
-        place -= begin.astype(np.int32)[np.maximum(index, 0)]
-        part = _TAB.ravel()[((place & (_POSITIONS - 1)) << 8) | low]
-        if (place[word] >= _POSITIONS).any():
-            with np.errstate(over="ignore"):
-                part = part * ((place >> 8).astype(np.uint64) * np.uint64(2) + np.uint64(1))
-        part[~word] = 0
-        hashes.append(mix(np.add.reduceat(part, begin)))
-        begins.append(begin + a)
-        finishes.append(np.flatnonzero(last) + a + 1)
+    value = np.where(inside, _VALUES, np.uint64(0))
+    with np.errstate(over="ignore"):
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part = raw[a:b]
+            sums = value[part]
+            word = np.zeros(b - a + 2, bool)
+            np.not_equal(sums, 0, out=word[1:-1])
+            turn = word[1:] != word[:-1]
+            first, last = turn[:-1] & word[1:-1], turn[1:] & word[1:-1]
+            own = off[np.searchsorted(off, a) : np.searchsorted(off, b)] - a
+            first[own] = word[own + 1]
+            before = own[own > 0] - 1
+            last[before] = word[before + 1]
+            begin, end = np.flatnonzero(first), np.flatnonzero(last)
+            if not len(begin):
+                continue
+            sums *= _power(_BASE, b - a)
+            np.cumsum(sums, out=sums)
+            h = sums[end]
+            h[1:] -= sums[begin[1:] - 1]
+            if begin[0]:
+                h[0] -= sums[begin[0] - 1]
+            hashes.append(mix(h * _power(_INVERSE, b - a)[begin]))
+            begins.append(begin + a)
+            finishes.append(end + a + 1)
     if not hashes:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, np.zeros(len(off), np.int64)
@@ -157,18 +177,23 @@ def shingles(h: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all run on this machine."""
     sc = spark.sparkContext
     jdir = sc._jsc.sc().getCheckpointDir()
     if jdir.isDefined():
         return str(jdir.get())
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         conf = f"file:///tmp/checkpoints/{sc.applicationId}"
     sc.setCheckpointDir(conf)
     return str(sc._jsc.sc().getCheckpointDir().get())
 
 
+_folders: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     import uuid
@@ -179,7 +204,58 @@ def written(df: DataFrame, name: str) -> DataFrame:
     schema = df.schema
     del df
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    _folders.append(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(*frames: DataFrame) -> None:
+    """Deletes what ``written`` wrote for these frames. Nothing that still depends on them may be evaluated afterwards."""
+    for df in frames:
+        path = df.__dict__.pop("written_to", None)
+        if path in _folders:
+            _folders.remove(path)
+            _delete(df.sparkSession, path)
+
+
+class Sweep:
+    """Deletes, at the end of a ``with`` block, what ``written`` wrote in it, but for the frame that is kept."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, None
+
+    def __enter__(self) -> Sweep:
+        self.before = len(_folders)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept = df.__dict__.get("written_to")
+        return df
+
+    def __exit__(self, *_) -> None:
+        for path in _folders[self.before :]:
+            if path != self.kept:
+                _folders.remove(path)
+                _delete(self.spark, path)
+
+
+def evenly(df: DataFrame, place, n: int, most: int = 4096) -> DataFrame:
+    """Rows dealt to n partitions by a number below n, one partition a number; beyond ``most`` by its hash."""
+    if not 1 < n <= most:
+        return df.repartition(n, place)
+    spark, found, tried = df.sparkSession, {}, 16 * n
+    while len(found) < n:
+        rows = spark.range(tried).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
+        found, tried = {r["p"]: r["id"] for r in rows}, tried * 4
+    keys = F.array(*[F.lit(found[k]).cast("long") for k in range(n)])
+    return df.repartition(n, F.element_at(keys, (place + 1).cast("int")))
 
 
 def release(spark: SparkSession) -> None:
