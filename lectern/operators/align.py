@@ -71,15 +71,20 @@ def orthographic_overlaps(pairs: DataFrame) -> DataFrame:
 
 
 def document_metrics(pairs: DataFrame) -> DataFrame:
-    """One row per pair: edit counts, rates, continuity, windows, words, boundaries, anomalies and lines."""
-    base = spread(pairs, "pair_id")
-    rows = base.select("pair_id", "style", F.length("gt").alias("gt_chars"), rule_densities("S1").alias("s1_issues"), rule_densities("S3").alias("s3_issues"), quality("gt", "htr").alias("q"))
-    rows = rows.select("pair_id", "style", "gt_chars", "s1_issues", "s3_issues", "q.*")
+    """One row per row: edit counts, rates, continuity, windows, words, boundaries, anomalies and lines. Null texts count as empty."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    rows = spread(pairs, "pair_id").withColumn("gt", text("gt")).withColumn("htr", text("htr"))
+    shape = ["gt_adjusted_line_count", "htr_adjusted_line_count", "adjusted_line_delta_abs", "htr_blank_preserved_unmatched_count", "line_structure_band", "line_structure_flag"]
+    rows = line_structure(rows, ("gt", "htr")).select("pair_id", "style", F.length("gt").alias("gt_chars"), rule_densities("S1").alias("s1_issues"), rule_densities("S3").alias("s3_issues"), quality("gt", "htr").alias("q"), *shape)
+    rows = rows.withColumnsRenamed({"gt_adjusted_line_count": "line_count", "htr_blank_preserved_unmatched_count": "unmatched_htr_blanks"})
+    lined = ["line_count", "htr_adjusted_line_count", F.col("adjusted_line_delta_abs").cast("double").alias("adjusted_line_delta"), "adjusted_line_delta_abs", "unmatched_htr_blanks", "line_structure_band", "line_structure_flag"]
+    rows = rows.select("pair_id", "style", "gt_chars", "s1_issues", "s3_issues", "q.*", *lined)
     c = F.col
     edits = c("substitutions") + c("deletions") + c("insertions")
     rows = rows.withColumn("edits", edits).withColumn("aligned_total", c("matches") + c("edits"))
     n = c("ref_chars_norm")
     shifts = c("insertions") + c("deletions")
+    low, high = F.least("line_count", "htr_adjusted_line_count"), F.greatest("line_count", "htr_adjusted_line_count")
     rows = rows.select(
         "*",
         ratio(c("edits"), n).alias("cer_norm"),
@@ -93,19 +98,7 @@ def document_metrics(pairs: DataFrame) -> DataFrame:
         ratio(c("boundary_events"), c("edits")).alias("boundary_burden_proportion"),
         (ratio(c("s1_issues"), n) * 1000).alias("basic_anomaly_density"),
         (ratio(c("s3_issues"), n) * 1000).alias("orthographic_violation_density"),
+        ratio(low, high).alias("line_count_ratio"),
+        ratio(c("unmatched_htr_blanks"), c("line_count")).alias("unmatched_htr_blank_density"),
     )
-    for m in ("coverage", "continuity", "lasr"):
-        rows = rows.withColumn(f"{m}_risk", 1 - F.col(m))
-    shape = line_structure(pairs).select(
-        "pair_id",
-        F.col("gt_adjusted_line_count").alias("line_count"),
-        "htr_adjusted_line_count",
-        F.col("adjusted_line_delta_abs").cast("double").alias("adjusted_line_delta"),
-        "adjusted_line_delta_abs",
-        F.col("htr_blank_preserved_unmatched_count").alias("unmatched_htr_blanks"),
-        "line_structure_band",
-        "line_structure_flag",
-    )
-    rows = rows.join(shape, "pair_id")
-    low, high = F.least("line_count", "htr_adjusted_line_count"), F.greatest("line_count", "htr_adjusted_line_count")
-    return rows.withColumn("line_count_ratio", ratio(low, high)).withColumn("unmatched_htr_blank_density", ratio(c("unmatched_htr_blanks"), c("line_count")))
+    return rows.select("*", *[(1 - c(m)).alias(f"{m}_risk") for m in ("coverage", "continuity", "lasr")])

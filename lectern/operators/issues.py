@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalar import normalised_char
+from ..functions.scalar import bin_label, normalised_char
+from ..functions.storage import small
 from ..schemas import STOPWORDS
 
 STAGES = ("S1", "S2", "S3")
+#: Fixed value: the sign of a missing character.
+GAP = "Ø"
 
 
 def issue_index(issues: DataFrame) -> DataFrame:
@@ -27,6 +30,14 @@ def alignment_diagnostics(issues: DataFrame, limit: float = 0.4) -> DataFrame:
     return rows.select("*", F.round(share("S2I"), 3).alias("insert_ratio"), F.round(share("S2D"), 3).alias("delete_ratio"), F.round(share("S2X"), 3).alias("replace_ratio"), flag.alias("flag"))
 
 
+def drift_report(diagnostics: DataFrame, n: int = 20) -> tuple[DataFrame, DataFrame]:
+    """One row with the documents analysed, those that drift and their rate in percent; the n drifting documents with most step 2 issues."""
+    drift = F.col("flag") == "ALIGNMENT_DRIFT"
+    docs, flagged = F.count(F.lit(1)), F.sum(F.when(drift, 1).otherwise(0))
+    rate = diagnostics.agg(docs.alias("docs"), F.coalesce(flagged, F.lit(0)).cast("long").alias("drifting"), F.when(docs > 0, F.round(flagged / docs * 100, 2)).otherwise(0.0).alias("rate"))
+    return rate, diagnostics.filter(drift).orderBy(F.desc("total_s2"), "pair_id").limit(n).select("pair_id", "style", "total_s2")
+
+
 def drift_histogram(diagnostics: DataFrame) -> DataFrame:
     return diagnostics.groupBy("flag").agg(F.count(F.lit(1)).alias("docs"))
 
@@ -80,7 +91,7 @@ def char_pairs(step2: DataFrame, normalise: bool = True) -> DataFrame:
     """Aligned characters of step 2 issues, the shorter side padded with a gap sign."""
     chars = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), ""), lambda x: x != "")
     zipped = F.arrays_zip(chars(F.col("gt_text")).alias("g"), chars(F.col("htr_text")).alias("h"))
-    rows = step2.select("pair_id", "style", "ordinal", F.posexplode(zipped).alias("place", "c")).select("pair_id", "style", "ordinal", "place", F.coalesce("c.g", F.lit("Ø")).alias("gt_char"), F.coalesce("c.h", F.lit("Ø")).alias("htr_char"))
+    rows = step2.select("pair_id", "style", "ordinal", F.posexplode(zipped).alias("place", "c")).select("pair_id", "style", "ordinal", "place", F.coalesce("c.g", F.lit(GAP)).alias("gt_char"), F.coalesce("c.h", F.lit(GAP)).alias("htr_char"))
     return rows.withColumn("gt_char", normalised_char(F.col("gt_char"))).withColumn("htr_char", normalised_char(F.col("htr_char"))) if normalise else rows
 
 
@@ -89,9 +100,16 @@ def confusion_matrix(step2: DataFrame) -> DataFrame:
     return char_pairs(step2).groupBy("style", "gt_char", "htr_char").agg(F.count(F.lit(1)).alias("n"))
 
 
-def dense_matrix(matrix: DataFrame, htr_chars: list[str]) -> DataFrame:
-    """The matrix with one column per transcription character, zeros filled in."""
-    return matrix.groupBy("style", "gt_char").pivot("htr_char", htr_chars).agg(F.sum("n")).na.fill(0)
+def dense_matrix(matrix: DataFrame, htr_chars: list[str] | None = None) -> DataFrame:
+    """The matrix with one column per transcription character and one for gaps, a row for gaps in each style, zeros filled in.
+
+    Columns are the distinct characters of the matrix, sorted, if none are given: an alphabet, not data.
+    """
+    if htr_chars is None:
+        htr_chars = sorted(r[0] for r in matrix.select("htr_char").distinct().collect())
+    chars = [*(c for c in htr_chars if c != GAP), GAP]
+    gaps = matrix.select("style").distinct().select("style", F.lit(GAP).alias("gt_char"), F.lit(GAP).alias("htr_char"), F.lit(0).cast("long").alias("n"))
+    return matrix.unionByName(gaps).groupBy("style", "gt_char").pivot("htr_char", chars).agg(F.sum("n")).na.fill(0)
 
 
 def top_confusions(rows: DataFrame, left: str, right: str, n: int = 10) -> DataFrame:
@@ -119,36 +137,71 @@ def bigram_confusions(step2: DataFrame, n: int = 10) -> DataFrame:
 
 def word_confusions(step2: DataFrame, n: int = 10, least: int = 3) -> DataFrame:
     rows = step2.filter(F.col("tag") == "S2X").select("pair_id", "style", "ordinal", F.lower(F.trim("word_gt")).alias("gt_word"), F.lower(F.trim("word_htr")).alias("htr_word"))
-    rows = rows.filter((F.col("gt_word") != F.col("htr_word")) & ~F.col("gt_word").isin(*STOPWORDS) & (F.length("gt_word") >= least))
+    rows = rows.filter((F.col("gt_word") != F.col("htr_word")) & (F.col("htr_word") != "") & ~F.col("gt_word").isin(*STOPWORDS) & (F.length("gt_word") >= least))
     return top_confusions(rows, "gt_word", "htr_word", n)
 
 
-def confusion_contexts(step2: DataFrame, n: int = 10) -> DataFrame:
-    """For each of the top character confusions of a style, the words it occurs in most often."""
-    rows = char_pairs(step2.filter(F.col("tag") == "S2X"), normalise=False).filter("gt_char <> htr_char")
-    top = top_confusions(rows, "gt_char", "htr_char", n).select("style", "gt_char", "htr_char")
-    words = step2.select("pair_id", "ordinal", F.coalesce(F.nullif(F.trim("word_gt"), F.lit("")), F.nullif(F.trim("word_htr"), F.lit("")), F.lit("")).alias("token"))
-    # at most styles x n rows are chosen
-    found = rows.join(F.broadcast(top), ["style", "gt_char", "htr_char"], "left_semi").join(words, ["pair_id", "ordinal"])
-    counts = found.groupBy("style", "gt_char", "htr_char", "token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pair_id", "ordinal", "place")).alias("seen"))
-    rank = F.row_number().over(W.partitionBy("style", "gt_char", "htr_char").orderBy(F.desc("n"), "seen"))
-    return counts.withColumn("rank", rank).filter(F.col("rank") <= n).drop("seen")
+def confusion_contexts(step2: DataFrame, n: int = 10, contexts: int = 10) -> DataFrame:
+    """kind, gt, htr, token, n, rank: for each of a style's top character and bigram confusions the words it occurs in most often.
+
+    An issue counts where its whole texts are the confusion; the word is the reference's, else the transcription's, and issues without one
+    don't count. The issues are read several times: they should be settled.
+    """
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    filled = lambda c: F.when(text(c) != "", text(c))
+    words = step2.select("*", F.coalesce(filled("word_gt"), filled("word_htr")).alias("token")).filter(F.col("token").isNotNull())
+    found = []
+    for kind, top, rows in (
+        ("char", char_confusions(step2, n).select("style", F.trim("gt_char").alias("gt"), F.trim("htr_char").alias("htr")), words.select("*", text("gt_text").alias("gt"), text("htr_text").alias("htr"))),
+        ("bigram", bigram_confusions(step2, n).select("style", F.col("gt_bigram").alias("gt"), F.col("htr_bigram").alias("htr")), bigram_rows(words).withColumnsRenamed({"gt_bigram": "gt", "htr_bigram": "htr"})),
+    ):
+        # at most styles x n confusions are chosen
+        hits = rows.join(F.broadcast(top.filter("gt <> '' or htr <> ''")), ["style", "gt", "htr"], "left_semi")
+        found.append(hits.select(F.lit(kind).alias("kind"), "style", "gt", "htr", "token", "pair_id", "ordinal"))
+    counts = found[0].unionByName(found[1]).groupBy("kind", "style", "gt", "htr", "token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pair_id", "ordinal")).alias("seen"))
+    rank = F.row_number().over(W.partitionBy("kind", "style", "gt", "htr").orderBy(F.desc("n"), "seen"))
+    return counts.withColumn("rank", rank).filter(F.col("rank") <= contexts).drop("seen")
+
+
+#: The operations of the topology, and how they are written.
+OPERATIONS = ("substitution", "deletion", "insertion")
+OPERATION_NAMES = {"substitution": ("sub", "subs", "substitution", "replace", "replacement", "s", "x"), "insertion": ("ins", "insert", "insertion", "i"), "deletion": ("del", "delete", "deletion", "d")}
+OPERATION_PARTS = {"substitution": ("sub", "replace"), "insertion": ("insert",), "deletion": ("delet",)}
+OPERATION_TAGS = {"substitution": ("X", "R"), "insertion": ("I",), "deletion": ("D",)}
 
 
 def operation(word_op=None, tag=None):
-    """The operation that counts for topology: the word's, not the character's."""
+    """The operation that counts for topology: the word's in any usual spelling, else what the tag's last letter says; null for other issues."""
     word_op, tag = F.col("word_op") if word_op is None else word_op, F.col("tag") if tag is None else tag
-    return F.when(word_op == "replace", "substitution").when(word_op == "insert", "insertion").when(word_op == "delete", "deletion").otherwise(F.when(tag == "S2X", "substitution").when(tag == "S2I", "insertion").when(tag == "S2D", "deletion"))
+    name, code = F.lower(F.trim(F.coalesce(word_op, F.lit("")))), F.upper(F.trim(F.coalesce(tag, F.lit(""))))
+    tests = [(name.isin(*names), op) for op, names in OPERATION_NAMES.items()]
+    tests += [(name.contains(part), op) for op, parts in OPERATION_PARTS.items() for part in parts]
+    tests += [(code == "S2S", "substitution")] + [(code.endswith(end), op) for op, ends in OPERATION_TAGS.items() for end in ends]
+    return F.coalesce(*[F.when(test, op) for test, op in tests])
 
 
-def topology(events: DataFrame, pairs: DataFrame, bin_col: str, op_col: str = "op", bins: int = 10) -> DataFrame:
-    """Events per document of each style, operation and position bin, zeros filled in."""
+def topology(events: DataFrame, pairs: DataFrame, bin_col: str, op_col: str = "op", bins: int = 10, ops: tuple[str, ...] = OPERATIONS, least: int = 1) -> DataFrame:
+    """Events per document of each style, operation and position bin, zeros filled in for all; empty with fewer than ``least`` events."""
     docs = pairs.groupBy("style").agg(F.count(F.lit(1)).alias("docs"))
-    counts = events.filter(F.col(bin_col).isNotNull() & F.col(op_col).isNotNull()).groupBy("style", F.col(op_col).alias("op"), F.col(bin_col).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    seen = counts.select("style", "op").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return seen.join(counts, ["style", "op", "bin"], "left").join(docs, "style").select("style", "op", "bin", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / F.col("docs")).alias("events_per_doc"))
+    counts = events.filter(F.col(bin_col).isNotNull() & F.col(op_col).isin(*ops)).groupBy("style", F.col(op_col).alias("op"), F.col(bin_col).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = small(counts)  # styles x operations x bins
+    usable = counts.agg((F.coalesce(F.sum("n"), F.lit(0)) >= least).alias("usable")).filter("usable").drop("usable")
+    styles = docs.select("style").union(counts.select("style")).distinct()
+    cells = styles.crossJoin(F.broadcast(usable)).withColumn("op", F.explode(F.array(*map(F.lit, ops)))).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    n = F.coalesce("n", F.lit(0))
+    return cells.join(counts, ["style", "op", "bin"], "left").join(docs, "style", "left").select("style", "op", "bin", n.alias("n"), (n / F.coalesce("docs", F.lit(1))).alias("events_per_doc"))
 
 
 def topology_peaks(table: DataFrame) -> DataFrame:
     """The bin with most events per document of each style and operation; the first of equals."""
     return table.groupBy("style", "op").agg(F.max_by("bin", F.struct("events_per_doc", (-F.col("bin")).alias("b"))).alias("peak_bin"), F.max("events_per_doc").alias("peak"))
+
+
+def topology_profiles(lines: DataFrame, places: DataFrame) -> DataFrame:
+    """Per style and operation and position kind: peak bin, peak, and all bins in order, for JSON."""
+    out = []
+    for kind, table in (("line", lines), ("document", places)):
+        bins = F.transform(F.array_sort(F.collect_list(F.struct("bin", "events_per_doc"))), lambda x: F.struct(bin_label(x["bin"]).alias("bin"), x["events_per_doc"].alias("events_per_document")))
+        rows = table.groupBy("style", "op").agg(bins.alias("bins")).join(topology_peaks(table), ["style", "op"])
+        out.append(rows.select("style", F.col("op").alias("operation"), F.lit(kind).alias("kind"), bin_label(F.col("peak_bin")).alias("peak_bin"), F.col("peak").alias("peak_events_per_document"), "bins"))
+    return out[0].unionByName(out[1])

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.scalar import blank, line_band, line_flag, lines, newlines
 
 
-def line_structure(pairs: DataFrame) -> DataFrame:
-    """Counts and line numbers of blank lines, before and after blank-line handling, per pair."""
-    both = pairs.withColumn("_g", lines(newlines(F.col("gt")))).withColumn("_h", lines(newlines(F.col("htr"))))
+def line_structure(pairs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Counts and line numbers of blank lines, before and after blank-line handling, per pair; a null text has no lines. Columns to ``keep`` are carried on."""
+    text = lambda c: lines(newlines(F.coalesce(F.col(c), F.lit(""))))
+    both = pairs.withColumn("_g", text("gt")).withColumn("_h", text("htr"))
     zipped = F.transform(F.arrays_zip(F.col("_g").alias("g"), F.col("_h").alias("h")), lambda x, i: F.struct((i + 1).alias("at"), F.coalesce(blank(x["g"]), F.lit(False)).alias("g"), F.coalesce(blank(x["h"]), F.lit(False)).alias("h")))
     numbers = lambda test: F.transform(F.filter("_z", test), lambda x: x["at"])
     rows = both.withColumn("_z", zipped).select(
         "pair_id",
         "style",
+        *keep,
         F.size("_g").alias("gt_original_line_count"),
         F.size("_h").alias("htr_original_line_count"),
         numbers(lambda x: x["g"]).alias("gt_blank_lines_removed"),

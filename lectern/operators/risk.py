@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.storage import settled, small
 from ..schemas import HIGH_INDEL_RATE, RISK_WEIGHTS, STATUS_OF_BAND, VERY_LOW_CONTINUITY, WIDE_RISK_WEIGHTS
-from .stats import median, order_statistics, percentile_ceil, ranked, robust_center, tercile_band, wide
+from .stats import median, order_statistics, percentile, percentile_ceil, ranked, robust_center, tercile_band, wide
 
 
 def z_scores(df: DataFrame, by: str, metrics: list[str], flat: float | None, prefix: str) -> DataFrame:
-    """Adds (value - median) / MAD of each metric within the group. flat: the MAD that stands for 0; none: the score is 0 then."""
+    """Adds (value - median) / MAD of each metric within the group. flat: the MAD that stands for 0; none: the score is 0 then.
+
+    The rows are settled first: they are read several times, and what makes them may be costly.
+    """
+    df = settled(df)
     center = robust_center(df, [by], metrics)
-    table = center.groupBy(by).agg(*wide(center, [by], metrics, "med", "_med_"), *wide(center, [by], metrics, "mad", "_mad_"))
-    rows = df.join(F.broadcast(table), by)
+    rows = df.join(small(center.groupBy(by).agg(*wide(center, [by], metrics, "med", "_med_"), *wide(center, [by], metrics, "mad", "_mad_"))), by)
     for m in metrics:
         away = F.col(m).cast("double") - F.col(f"_med_{m}")
         mad = F.col(f"_mad_{m}")
@@ -107,10 +111,25 @@ def style_rows(df: DataFrame) -> DataFrame:
     return sums.join(table, "style")
 
 
+#: The metrics of the style table, and those that get a 90th percentile.
+STYLE_METRICS = {"adjusted_line_delta": "adjusted_line_delta", "unmatched_htr_blank_density": "unmatched_htr_blank_density", "cer_norm": "cer", "wer_norm": "wer", "structural_drift_ratio": "sdr", "indel_disruption_rate": "idr", "coverage": "coverage", "continuity": "continuity", "wide_risk_score": "risk_score"}
+STYLE_P90 = ("adjusted_line_delta", "cer_norm", "wer_norm")
+
+
+def style_metrics(df: DataFrame) -> DataFrame:
+    """Per style of a table with the wide risk: sizes, medians, 90th percentiles by the floor rule, documents of each band."""
+    stats = order_statistics(df, ["style"], list(STYLE_METRICS), med=median(), p90=percentile(0.9))
+    pick = lambda m, s: F.max(F.when(F.col("metric") == m, F.col(s)))
+    table = stats.groupBy("style").agg(*[pick(m, "med").alias(f"median_{s}") for m, s in STYLE_METRICS.items()], *[pick(m, "p90").alias(f"p90_{STYLE_METRICS[m]}") for m in STYLE_P90])
+    n = lambda b: F.sum(F.when(F.col("wide_risk_band") == b, 1).otherwise(0)).alias(f"{b.lower()}_risk_docs")
+    sums = df.groupBy("style").agg(F.count(F.lit(1)).alias("docs"), F.sum("ref_chars_norm").alias("ref_chars_norm"), F.sum("ref_tokens_norm").alias("tokens"), F.sum("line_count").alias("lines"), n("High"), n("Medium"), n("Low"))
+    return sums.join(table, "style")
+
+
 def corpus_summary(df: DataFrame) -> DataFrame:
     """One row: sizes, mean and median error."""
     med = order_statistics(df.withColumn("_all", F.lit(1)), ["_all"], ["cer_norm"], med=median()).select(F.col("med").alias("median_cer"))
-    sums = df.agg(F.count(F.lit(1)).alias("docs"), F.sum("ref_chars_norm").alias("ref_chars_norm"), F.sum("edits").alias("edits"), F.avg("cer_norm").alias("mean_cer"), F.avg("wer_norm").alias("mean_wer"))
+    sums = df.agg(F.count(F.lit(1)).alias("docs"), F.sum("ref_chars_norm").alias("ref_chars_norm"), F.sum("ref_tokens_norm").alias("tokens"), F.sum("line_count").alias("lines"), F.sum("edits").alias("edits"), F.avg("cer_norm").alias("mean_cer"), F.avg("wer_norm").alias("mean_wer"))
     return sums.crossJoin(F.broadcast(med))
 
 
@@ -118,12 +137,18 @@ def top_by(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def per_group_top(df: DataFrame, by: str, metrics: list[str], id_: str, n: int = 10) -> DataFrame:
-    """For each metric the n rows of each group with the largest value: a bounded heap per task and group, then one merge."""
-    long = df.select(by, id_, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x")).select(by, id_, "x.metric", "x.value")
+#: The rankings of a style's documents, their metric, and whether the smallest come first.
+STYLE_RANKINGS = {"top_risk": ("wide_risk_score", False), "top_cer": ("cer_norm", False), "top_structural_drift": ("structural_drift_ratio", False), "lowest_coverage": ("coverage", True), "lowest_continuity": ("continuity", True)}
+
+
+def per_group_top(df: DataFrame, by: str, rankings: dict[str, tuple[str, bool]] | list[str], id_: str, n: int = 10) -> DataFrame:
+    """For each ranking (a metric, and whether the smallest come first) the first n rows of each group: a bounded heap per task and group, then one merge."""
+    named = rankings if isinstance(rankings, dict) else {m: (m, False) for m in rankings}
+    each = [F.struct(F.lit(name).alias("metric"), F.col(m).cast("double").alias("value"), (F.col(m).cast("double") * (1 if up else -1)).alias("key")) for name, (m, up) in named.items()]
+    long = df.select(by, id_, F.explode(F.array(*each)).alias("x")).select(by, id_, "x.metric", "x.value", "x.key")
     # Spark limits each group within every input partition before it shuffles for a filtered row_number
-    rank = F.row_number().over(W.partitionBy(by, "metric").orderBy(F.desc("value"), id_))
-    return long.withColumn("rank", rank).filter(F.col("rank") <= n)
+    rank = F.row_number().over(W.partitionBy(by, "metric").orderBy(F.asc_nulls_last("key"), id_))
+    return long.withColumn("rank", rank).filter(F.col("rank") <= n).drop("key")
 
 
 def line_structure_summary(shape: DataFrame) -> DataFrame:

@@ -6,30 +6,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalar import compound_id, folder_name, reference_file
+from ..functions.storage import settled
 from .risk import normal_status
 from .stats import ranked
 
 
-def governance_sample(df: DataFrame, target: int = 75, id_: str = "pair_id") -> DataFrame:
-    """Round robin over cells of style, status and band: each pass takes the next riskiest document of every cell."""
+def governance_sample(df: DataFrame, target: int = 75, id_: str = "pair_id", method: str = "extreme", seed: str = "20260101") -> DataFrame:
+    """Round robin over cells of style, status and band: each pass takes the next document of every cell.
+
+    method: the order within a cell: ``extreme`` and ``even`` by falling risk (an even sample of a whole cell is all of it), ``random`` by a
+    hash of seed and id.
+    """
+    falling = [F.desc("risk_score"), F.col(id_)]
+    order = {"extreme": falling, "even": falling, "random": [F.md5(F.concat_ws(":", F.lit(seed), F.col(id_).cast("string"))), F.col(id_)]}[method]
     rows = df.filter((F.col("governance_status") != "Unassigned") & (F.col("risk_band") != "Unassigned"))
     cell = ["style", "governance_status", "risk_band"]
-    turn = F.row_number().over(W.partitionBy(*cell).orderBy(F.desc("risk_score"), id_))
+    turn = F.row_number().over(W.partitionBy(*cell).orderBy(*order))
     # no cell gives more than the target, so each task hands on at most that many rows of a cell
     rows = rows.withColumn("turn", turn).filter(F.col("turn") <= target)
-    return rows.orderBy("turn", *cell).limit(target).withColumn("selection_layer", F.lit("governance_validation"))
+    return rows.orderBy("turn", *cell).limit(target).withColumn("selection_layer", F.lit("governance_validation")).withColumn("selection_reason", F.concat(F.lit("style="), "style", F.lit("; governance_status="), "governance_status", F.lit("; risk_band="), "risk_band", F.lit(f"; method={method}; target_total={target}")))
 
 
 def random_control(df: DataFrame, taken: DataFrame, per_style: int = 5, seed: str = "20260101", id_: str = "pair_id") -> DataFrame:
     """Per style documents in the order of a hash of seed and id, without those already taken."""
     rest = df.join(taken.select(id_), id_, "left_anti")
     place = F.row_number().over(W.partitionBy("style").orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(id_).cast("string"))), id_))
-    return rest.withColumn("turn", place).filter(F.col("turn") <= per_style).withColumn("selection_layer", F.lit("random_control"))
+    return rest.withColumn("turn", place).filter(F.col("turn") <= per_style).withColumn("selection_layer", F.lit("random_control")).withColumn("selection_reason", F.lit(f"style_stratified_random_control; controls_per_style={per_style}"))
 
 
 def case_score() -> tuple[Column, Column]:
     """Score and reasons of a document as a diagnostic case."""
     c, low = F.col, F.least
+    # Tests, points and names
     parts = [
         (c("line_structure_flag") == "review_line_structure", F.lit(5.0), "review_line_structure"),
         (c("line_structure_band") == "Severe instability", F.lit(5.0), "severe_line_instability"),
@@ -98,3 +107,53 @@ def subsets_summary(df: DataFrame) -> DataFrame:
     sets = rows.groupingSets([[], ["status"], ["style"], ["status", "style"]], "status", "style").agg(F.count(F.lit(1)).alias("docs"), F.grouping_id().alias("g"))
     category = F.when(F.col("g") == 3, "total").when(F.col("g") == 1, "status").when(F.col("g") == 2, "style").otherwise("status_style")
     return sets.select(category.alias("category"), F.concat_ws(":", "status", "style").alias("value"), "docs")
+
+
+LAYERS = ("governance_validation", "random_control", "diagnostic_case_study")
+
+
+def layers(df: DataFrame, target: int = 75, per_style: int = 5, cases: int = 10, method: str = "extreme", id_: str = "pair_id") -> DataFrame:
+    """The three layers one below the other, each without the documents of those before. ``df`` is read several times: it should be settled."""
+    extra = {"diagnostic_case_score": F.lit(None).cast("double")}
+    one = settled(governance_sample(df, target, id_, method).drop("turn").withColumns(extra))
+    two = settled(one.unionByName(random_control(df, one, per_style, id_=id_).drop("turn").withColumns(extra)))
+    return settled(two.unionByName(diagnostic_cases(df, two, cases, id_).drop("turn").select(two.columns)))
+
+
+def summary(sample: DataFrame) -> DataFrame:
+    """dimension, value, docs: by layer, style, status, band and reviewer, and the total."""
+    dims = {"layer": "selection_layer", "style": "style", "document_status": "governance_status", "risk_band": "risk_band", "reviewer": "reviewer_id"}
+    rows = sample.select(F.explode(F.array(F.struct(F.lit("total").alias("dimension"), F.lit("documents").alias("value")), *[F.struct(F.lit(d).alias("dimension"), F.col(c).alias("value")) for d, c in dims.items()])).alias("x"))
+    return rows.groupBy("x.dimension", "x.value").agg(F.count(F.lit(1)).alias("docs"))
+
+
+#: Columns of the review tables, and the dimensions that reviewers fill in.
+MASTER_COLUMNS = ("review_id", "reviewer_id", "doc_id", "packet_doc_id", "style", "selection_layer", "selection_reason", "review_order", "governance_status", "risk_band", "risk_score", "risk_rank_within_style", "escalation_flags", "cer_norm", "wer_norm", "indel_disruption_rate", "continuity", "adjusted_line_delta_abs", "line_structure_band", "line_structure_flag", "diagnostic_case_score")
+REVIEW_DIMENSIONS = ("fiabilidad_general_transcripcion", "correspondencia_con_gt", "severidad_omisiones", "conservacion_disposicion_documento", "utilidad_academica", "confianza_revisor", "estado_revision")
+WARNING_COLUMNS = ("reviewer_id", "doc_id", "packet_doc_id", "missing", "expected_htr_filename", "expected_gt_filename")
+
+
+def review_tables(sample: DataFrame, reviewers: int = 3, id_: str = "pair_id", listing: DataFrame | None = None, design: dict[str, object] | None = None) -> dict[str, DataFrame]:
+    """The tables of a review packet: the whole sample, one per layer, one to fill in per reviewer, missing files, the schema of labels, a summary.
+
+    listing: the paths of the files that exist; without one no file counts as missing.
+    """
+    spark = sample.sparkSession
+    assigned = assign_reviewers(sample, reviewers, id_).select(id_, "selection_layer", "reviewer_id", "review_order", "review_id")
+    stem, file = compound_id(F.col(id_).cast("string"))
+    rows = sample.join(F.broadcast(assigned), [id_, "selection_layer"]).withColumn("doc_id", F.col(id_).cast("string")).withColumn("packet_doc_id", folder_name(F.col("doc_id")))
+    every = settled(rows.select(*MASTER_COLUMNS, file.alias("expected_htr_filename"), reference_file(stem).alias("expected_gt_filename")))
+    out = {"review_sample_all": every.select(*MASTER_COLUMNS)}
+    out |= {f"review_sample_{'diagnostic_case_studies' if x == 'diagnostic_case_study' else x}": every.filter(F.col("selection_layer") == x).select(*MASTER_COLUMNS) for x in LAYERS}
+    for k in range(1, reviewers + 1):
+        own = every.filter(F.col("reviewer_id") == f"reviewer_{k}").orderBy("review_order")
+        out[f"reviewer_{k}_packet"] = own.select("review_id", "doc_id", "style", *[F.lit("").alias(d) for d in REVIEW_DIMENSIONS])
+    expected = every.select("reviewer_id", "doc_id", "packet_doc_id", "expected_htr_filename", "expected_gt_filename", F.explode(F.array(F.struct(F.lit("HTR").alias("missing"), F.col("expected_htr_filename").alias("name")), F.struct(F.lit("GT").alias("missing"), F.col("expected_gt_filename").alias("name")))).alias("x")).select("*", "x.*")
+    there = listing.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name")).distinct() if listing is not None else None
+    out["file_copy_warnings"] = (expected.join(there, "name", "left_anti") if there is not None else expected.filter(F.lit(False))).select(*WARNING_COLUMNS)
+    settings = {"seed": "20260101", "reviewers": reviewers, **(design or {})}
+    schema = [("review_column", c, "") for c in ("review_id", "doc_id", "style", *REVIEW_DIMENSIONS)] + [("sampling_design", k, str(v)) for k, v in settings.items()]
+    out["review_label_schema"] = spark.createDataFrame(schema, "section string, name string, value string")
+    warned = out["file_copy_warnings"].agg(F.count(F.lit(1)).alias("docs")).select(F.lit("file_copy_warnings").alias("dimension"), F.lit("files").alias("value"), "docs")
+    out["review_sample_summary"] = summary(every).unionByName(warned)
+    return out

@@ -1,8 +1,8 @@
 """Order statistics, ranks and concentration without gathering a group into one list.
 
 Values are first counted per group (combined on the map side); cumulative counts over distinct values then give any
-order statistic. Ranks come from one range-partitioned sort of all rows: a row's rank is its place in its partition plus
-the sizes of the partitions before, so a group that holds most rows is sorted by many tasks.
+order statistic. Cumulative counts and ranks come from one range-partitioned sort of all rows: what stands before a row is what stands before it in
+its partition plus the sums of the partitions before, so a group that holds most rows is sorted by many tasks.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.storage import settled
+from ..functions.storage import FEW, numbered, settled, small
 
 
 def melt(df: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
@@ -19,12 +19,36 @@ def melt(df: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     return df.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x")).select(*by, "x.metric", "x.value")
 
 
-def cumulative(long: DataFrame, by: list[str]) -> DataFrame:
-    """Distinct values with how often they occur, how many rows are below and up to them, and how many there are."""
-    counts = long.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("_k"))
-    w = W.partitionBy(*by)
-    upto = F.sum("_k").over(w.orderBy("value").rowsBetween(W.unboundedPreceding, 0))
-    return counts.select(*by, "value", "_k", upto.alias("_upto"), (upto - F.col("_k")).alias("_before"), F.sum("_k").over(w).alias("_n"))
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys that may be null."""
+    if not keys:
+        return left.crossJoin(right)
+    right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    test = F.lit(True)
+    for k in keys:
+        test = test & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(right, test).drop(*[f"_right_{k}" for k in keys])
+
+
+def cumulative(long: DataFrame, by: list[str], few: int = FEW) -> DataFrame:
+    """Distinct values with how often they occur, how many rows are below and up to them, and how many there are.
+
+    Up to ``few`` counted values one window per group adds them up; beyond that the sorted partitions do.
+    """
+    counts = settled(long.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("_k")))
+    before, w = (W.unboundedPreceding, 0), W.partitionBy(*by)
+    if counts.count() <= few:
+        upto = F.sum("_k").over(w.orderBy("value").rowsBetween(*before))
+        return counts.select(*by, "value", "_k", upto.alias("_upto"), (upto - F.col("_k")).alias("_before"), F.sum("_k").over(w).alias("_n"))
+    rows = numbered(counts.orderBy(*by, "value"))
+    own = W.partitionBy("_part", *by)
+    rows = rows.withColumn("_here", F.sum("_k").over(own.orderBy("_row").rowsBetween(*before)))
+    # one row per partition and group in it: fewer than partitions and groups together
+    parts = rows.groupBy("_part", *by).agg(F.sum("_k").alias("_sum"))
+    ahead = F.coalesce(F.sum("_sum").over(w.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = small(parts.select("_part", *by, ahead.alias("_ahead"), F.sum("_sum").over(w).alias("_n")))
+    upto = F.col("_ahead") + F.col("_here")
+    return _same(rows, parts, ["_part", *by]).select(*by, "value", "_k", upto.alias("_upto"), (upto - F.col("_k")).alias("_before"), "_n")
 
 
 def at_index(index: Column) -> Column:
@@ -56,25 +80,23 @@ def wide(long: DataFrame, by: list[str], metrics: list[str], stat: str, prefix:
 
 
 def robust_center(df: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
-    """by, metric, med and mad (median of the distances from the median)."""
+    """by, metric, med and mad (median of the distances from the median). The rows are read twice: they should be settled."""
     long = melt(df, by, metrics)
-    med = cumulative(long, [*by, "metric"]).groupBy(*by, "metric").agg(median().alias("med"))
-    away = long.join(F.broadcast(med), [*by, "metric"]).select(*by, "metric", F.abs(F.col("value") - F.col("med")).alias("value"))
+    med = small(cumulative(long, [*by, "metric"]).groupBy(*by, "metric").agg(median().alias("med")))
+    away = _same(long, med, [*by, "metric"]).select(*by, "metric", F.abs(F.col("value") - F.col("med")).alias("value"))
     mad = cumulative(away, [*by, "metric"]).groupBy(*by, "metric").agg(median().alias("mad"))
-    return med.join(mad, [*by, "metric"])
+    return _same(mad, med, [*by, "metric"]).select(*by, "metric", "med", "mad")
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], rank: str = "rank", size: str | None = None) -> DataFrame:
     """Adds each row's place (from 1) within its group; an empty ``by`` ranks all rows."""
-    rows = settled(df.orderBy(*[F.col(c) for c in by], *order)).withColumn("_id", F.monotonically_increasing_id())
-    rows = rows.withColumn("_part", F.shiftright("_id", 33)).withColumn("_row", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = numbered(df.orderBy(*[F.col(c) for c in by], *order))
     # one row per partition: their number doesn't grow with a group
-    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_k")).withColumn("_ahead", F.coalesce(F.sum("_k").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    placed = rows.join(F.broadcast(sizes.drop("_k")), "_part").withColumn("_place", F.col("_ahead") + F.col("_row"))
-    groups = placed.groupBy(*by).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_size"))
-    placed = placed.join(groups, by) if by else placed.crossJoin(F.broadcast(groups))
-    out = placed.withColumn(rank, F.col("_place") - F.col("_first") + 1)
-    return (out.withColumn(size, F.col("_size")) if size else out).drop("_id", "_part", "_row", "_ahead", "_place", "_first", "_size")
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_k")).select("_part", F.coalesce(F.sum("_k").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    placed = rows.join(small(sizes), "_part").withColumn("_place", F.col("_ahead") + F.col("_row"))
+    groups = small(placed.groupBy(*by).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_size")))
+    out = _same(placed, groups, by).withColumn(rank, F.col("_place") - F.col("_first") + 1)
+    return (out.withColumn(size, F.col("_size")) if size else out).drop("_part", "_row", "_ahead", "_place", "_first", "_size")
 
 
 def tercile_band(rank: Column, n: Column) -> Column:

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import lines, newlines, ratio
 from ..functions.storage import settled, spread
-from ..operators import align, corpus, issues, risk, rules, sampling, stats
+from ..operators import align, corpus, issues, report, risk, rules, sampling, stats
 from ..operators.lines import line_structure
 from ..schemas import RISK_WEIGHTS
 from .pairs import CTE, pairs
@@ -65,8 +66,8 @@ def step1_summary_pivot(spark, sf):
 _SPANS = "L", "T", "W", "SP", "P"
 
 
-def _spans_sql(codes=_SPANS) -> str:
-    each = " union all ".join(f"select pair_id, htr, 'S1{c}' as tag, string_split_regex(htr, '{RE2['S1'][c]}') as g, regexp_extract_all(htr, '{RE2['S1'][c]}') as m from pairs" for c in codes)
+def _spans_sql(codes=_SPANS, step="S1") -> str:
+    each = " union all ".join(f"select pair_id, htr, '{step}{c}' as tag, string_split_regex(htr, '{RE2[step][c]}') as g, regexp_extract_all(htr, '{RE2[step][c]}') as m from pairs" for c in codes)
     return f""", s as ({each}),
  x as (select pair_id, htr, tag, g, m, unnest(range(1, len(m) + 1)) as i from s),
  y as (select pair_id, htr, tag, m[i] as htr_text, (coalesce(list_sum([length(v) for v in g[1:i]]), 0) + coalesce(list_sum([length(v) for v in m[1:i - 1]]), 0))::int as a from x),
@@ -80,6 +81,34 @@ def step1_whitespace_spans(spark, sf):
     return rules.rule_issues(pairs(spark, sf), "S1", list(_SPANS)).select("pair_id", "tag", "start", "end", "line", "char_start", "char_end")
 
 
+_WHERE = "\nselect pair_id, tag, a as start, b as \"end\", (line0 + 1)::int as line, (a - base + 1)::int as char_start, (greatest(b - 1, a) - base1 + 1)::int as char_end from located"
+
+
+@query(_spans_sql(("C", "G", "M", "MP")) + _WHERE)
+def step1_character_spans(spark, sf):
+    return rules.rule_issues(pairs(spark, sf), "S1", ["C", "G", "M", "MP"]).select("pair_id", "tag", "start", "end", "line", "char_start", "char_end")
+
+
+#: the step 3 rules without look-around, whose spans SQL finds as they are
+_STEP3 = ("WK", "DC", "T")
+
+
+@query(_spans_sql(_STEP3, "S3") + _WHERE)
+def step3_letter_spans(spark, sf):
+    return rules.rule_issues(pairs(spark, sf), "S3", list(_STEP3)).select("pair_id", "tag", "start", "end", "line", "char_start", "char_end")
+
+
+@query(
+    _spans_sql(tuple(RE2["S1"]))
+    + ", one as (select pair_id, a, b from located)"
+    + _spans_sql(_STEP3, "S3").replace(", s as (", ", s3 as (").replace("from s)", "from s3)").replace(" x as (", " x3 as (").replace("from x)", "from x3)").replace(" y as (", " y3 as (").replace("from y)", "from y3)").replace(" spans as (", " spans3 as (").replace("from spans)", "from spans3)").replace(" located as (", " located3 as (")
+    + ", t as (select l.pair_id, l.tag, l.a, (select count(*) from one o where o.pair_id = l.pair_id and greatest(o.a, l.a) < least(o.b, l.b)) as n from located3 l)\nselect p.style, tag, sum(n)::bigint as s1_overlaps, sum((n > 0)::int)::bigint as with_s1 from t join pairs p on p.pair_id = t.pair_id group by p.style, tag"
+)
+def step3_touches_step1(spark, sf):
+    rows = issues.orthographic_overlap_totals(align.orthographic_overlaps(pairs(spark, sf)))
+    return rows.filter(F.col("tag").isin(*["S3" + c for c in _STEP3])).select("style", "tag", "s1_overlaps", "with_s1")
+
+
 @query(
     _spans_sql(("W", "P"))
     + """, p as (select pair_id, tag, a, b, length(htr) as dl, length(string_split(htr, chr(10))[line0 + 1]) as ll, (a - base + 1)::double as cs, (greatest(b - 1, a) - base1 + 1)::double as ce from located),
@@ -186,6 +215,11 @@ def train_distribution(spark, sf):
     return rounded(corpus.distribution(pairs(spark, sf)))
 
 
+@query("\nselect pair_id, style, row_number() over (order by style, pair_id) - 1 as pair_ord from pairs")
+def pair_order(spark, sf):
+    return corpus.ordered(pairs(spark, sf).select("pair_id", "style"))
+
+
 def _p(x: str, p: float) -> str:
     return f"list_sort(list({x}))[least(floor(count(*) * {p})::bigint, count(*) - 1) + 1]::bigint"
 
@@ -201,14 +235,21 @@ def corpus_geometry(spark, sf):
     return corpus.geometry(pairs(spark, sf))
 
 
+def _at(p: float) -> str:
+    return f"l[least(floor(n * {p})::bigint, n - 1) + 1]"
+
+
+_TEXT_STATS = {"total": "n::double", "min": "l[1]", "median": "med", "p90": _at(0.9), "p95": _at(0.95), "max": "l[n]", **{f"percentile_{int(p * 100)}": f"case when metric = 'document' then {_at(p)} end" for p in corpus.PERCENTILES}}
+
+
 @query(
     _LINES.split(",\n z as")[0]
-    + """, d as (select len(g)::double as lines, length(gt0)::double as chars from (select m.g, p.gt as gt0 from m join pairs p on m.pair_id = p.pair_id)),
- u as (select 'lines' as metric, lines as v from d union all select 'chars', chars from d),
- s as (select metric, list_sort(list(v)) as l, count(*) as n from u group by metric),
- t as (select metric, unnest([{'stat': 'min', 'value': l[1]}, {'stat': 'median', 'value': l[least(floor(n * 0.5)::bigint, n - 1) + 1]}, {'stat': 'p90', 'value': l[least(floor(n * 0.9)::bigint, n - 1) + 1]}, {'stat': 'p95', 'value': l[least(floor(n * 0.95)::bigint, n - 1) + 1]}, {'stat': 'max', 'value': l[n]}]) as x from s)
-select metric, x.stat as stat, x.value as value from t union all
-select 'line_bucket', case when lines = 1 then '1' when lines between 2 and 3 then '2-3' when lines between 4 and 6 then '4-6' when lines between 7 and 10 then '7-10' when lines between 11 and 15 then '11-15' when lines between 16 and 25 then '16-25' when lines between 26 and 999 then '26-999' else 'other' end, count(*)::double from d group by 2"""
+    + """, n as (select [length(x) for x in h if trim(x) <> ''] as l from m), u as (select 'line' as metric, unnest(l)::double as v from n union all select 'document', len(l)::double from n),
+ s as (select metric, list_sort(list(v)) as l, count(*) as n, median(v) as med from u group by metric), t as (select metric, unnest(["""
+    + ", ".join(f"{{'stat': '{k}', 'value': {v}}}" for k, v in _TEXT_STATS.items())
+    + """]) as x from s), k as (select metric, v, count(*) as c, row_number() over (partition by metric order by count(*) desc, v) as r from u group by metric, v)
+select metric, x.stat as stat, x.value as value from t where x.value is not null union all select metric || '_length', v::bigint::varchar, c::double from k where r <= 20 union all
+select 'line_bucket', case when v = 1 then '1' when v <= 3 then '2-3' when v <= 6 then '4-6' when v <= 10 then '7-10' when v <= 15 then '11-15' when v <= 25 then '16-25' else '26-999' end, count(*)::double from u where metric = 'document' and v between 1 and 999 group by 2"""
 )
 def text_diagnostics(spark, sf):
     return corpus.text_diagnostics(pairs(spark, sf))
@@ -251,6 +292,11 @@ def confusion_matrix(spark, sf):
     return issues.confusion_matrix(step2(spark, sf))
 
 
+@query()
+def dense_confusion_matrix(spark, sf):
+    return issues.dense_matrix(settled(issues.confusion_matrix(step2(spark, sf))), [*"abcdefghijklmnopqrstuvwxyz", "OTHER"])
+
+
 @query()
 def char_confusions(spark, sf):
     return rounded(issues.char_confusions(step2(spark, sf)))
@@ -319,6 +365,16 @@ def drift_histogram(spark, sf):
     return issues.drift_histogram(issues.alignment_diagnostics(step2(spark, sf)))
 
 
+@query()
+def drift_rate(spark, sf):
+    return issues.drift_report(settled(issues.alignment_diagnostics(step2(spark, sf))))[0]
+
+
+@query()
+def drift_top20(spark, sf):
+    return issues.drift_report(settled(issues.alignment_diagnostics(step2(spark, sf))))[1]
+
+
 @query()
 def stage_overview(spark, sf):
     return rounded(issues.stage_overview(all_issues(spark, sf)))
@@ -356,11 +412,17 @@ def topology_peaks(spark, sf):
 
 @query(
     _spans_sql(("W", "P"))
-    + ", e as (select p.style, tag as op, least(floor((a + (b - a) / 2.0) / length(l.htr) * 10), 9)::int as bin from located l join pairs p on p.pair_id = l.pair_id), d as (select style, count(*) as docs from pairs group by style), c as (select style, op, bin, count(*) as n from e group by all), q as (select distinct style, op from c)\nselect q.style, q.op, b.bin::int as bin, coalesce(n, 0)::bigint as n, round(coalesce(n, 0) / docs, 6) as events_per_doc from q cross join range(10) as b(bin) join d on d.style = q.style left join c on c.style = q.style and c.op = q.op and c.bin = b.bin"
+    + ", e as (select p.style, tag as op, least(floor((a + (b - a) / 2.0) / length(l.htr) * 10), 9)::int as bin from located l join pairs p on p.pair_id = l.pair_id), d as (select style, count(*) as docs from pairs group by style), c as (select style, op, bin, count(*) as n from e group by all), q as (select style, unnest(['S1W', 'S1P']) as op from d)\nselect q.style, q.op, b.bin::int as bin, coalesce(n, 0)::bigint as n, round(coalesce(n, 0) / docs, 6) as events_per_doc from q cross join range(10) as b(bin) join d on d.style = q.style left join c on c.style = q.style and c.op = q.op and c.bin = b.bin"
 )
 def rule_topology(spark, sf):
     p = pairs(spark, sf)
-    return rounded(issues.topology(rules.rule_issues(p, "S1", ["W", "P"]).select("style", "tag", "document_bin"), p, "document_bin", "tag"))
+    return rounded(issues.topology(rules.rule_issues(p, "S1", ["W", "P"]).select("style", "tag", "document_bin"), p, "document_bin", "tag", ops=("S1W", "S1P")))
+
+
+@query()
+def topology_profiles(spark, sf):
+    e, p = _events(spark, sf), pairs(spark, sf)
+    return issues.topology_profiles(*[settled(issues.topology(e, p, f"{k}_bin")) for k in ("line", "document")])
 
 
 # ---- document metrics, risk, governance --------------------------------------------------------------------------------
@@ -375,6 +437,50 @@ def doc_alignment_metrics(spark, sf):
     return rounded(metrics(spark, sf))
 
 
+#: Latin letters beyond ASCII in the tables, and one-byte stand-ins: DuckDB's distance compares bytes
+_NORM = "translate(regexp_replace(replace(lower({}), 'ß', 'ss'), '[^a-zéèñêíçóöüäáúàùôîâûëïœæ]', '', 'g'), 'éèñêíçóöüäáúàùôîâûëïœæ', 'ABCDEFGHIJKLMNOPQRSTUV')"
+_WORDS = "len(regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[a-zéèñêíçóöüäáúàùôîâûëïœæ]+'))"
+_EDITS_SQL = f", n as (select pair_id, style, {_NORM.format('gt')} as ga_, {_NORM.format('htr')} as ha_ from pairs), e as (select pair_id, style, length(ga_)::int as ref_chars_norm, levenshtein(ga_, ha_)::int as edits, case when length(ga_) > 0 then levenshtein(ga_, ha_) / length(ga_)::double else 0.0 end as cer_norm from n)"
+
+
+@query(_EDITS_SQL + "\nselect pair_id, style, ref_chars_norm, edits, round(cer_norm, 6) as cer_norm from e")
+def cer(spark, sf):
+    return rounded(metrics(spark, sf).select("pair_id", "style", "ref_chars_norm", "edits", "cer_norm"))
+
+
+@query(
+    _LINES
+    + f""", c as (select pair_id, length(gt)::int as gt_chars, ({_stage_sql("S1")})::bigint as s1_issues, ({_stage_sql("S3")})::bigint as s3_issues, length({_NORM.format("gt")})::int as ref_chars_norm, {_WORDS.format("gt")}::int as ref_tokens_norm,
+ len(regexp_extract_all(gt, '\\S+'))::int as gt_tokens, len(regexp_extract_all(htr, '\\S+'))::int as htr_tokens from pairs), w as (select *, case when ref_chars_norm > 0 then greatest(100, ceil(ref_chars_norm / 10.0))::int else 0 end as window_size from c)
+select l.pair_id, l.style, gt_chars, ref_chars_norm, ref_tokens_norm, gt_tokens, htr_tokens, s1_issues, s3_issues, round(case when ref_chars_norm > 0 then s1_issues / ref_chars_norm::double * 1000 else 0 end, 6) as basic_anomaly_density,
+ round(case when ref_chars_norm > 0 then s3_issues / ref_chars_norm::double * 1000 else 0 end, 6) as orthographic_violation_density, window_size, case when window_size > 0 then ceil(ref_chars_norm / window_size::double)::int else 0 end as window_count, ga::int as line_count,
+ round(case when greatest(ga, ha) > 0 then least(ga, ha) / greatest(ga, ha)::double else 0 end, 6) as line_count_ratio, round(case when ga > 0 then un / ga::double else 0 end, 6) as unmatched_htr_blank_density, d::double as adjusted_line_delta from lined l join w on w.pair_id = l.pair_id"""
+)
+def document_sizes_and_densities(spark, sf):
+    own = ["pair_id", "style", "gt_chars", "ref_chars_norm", "ref_tokens_norm", "gt_tokens", "htr_tokens", "s1_issues", "s3_issues", "basic_anomaly_density", "orthographic_violation_density", "window_size", "window_count", "line_count", "line_count_ratio", "unmatched_htr_blank_density", "adjusted_line_delta"]
+    return rounded(metrics(spark, sf).select(own))
+
+
+@query(
+    _EDITS_SQL
+    + "\nselect style, count(*) as docs, sum(ref_chars_norm)::bigint as ref_chars_norm, round(median(cer_norm), 6) as median_cer, round(list_sort(list(cer_norm))[least(count(*), ceil(0.9 * count(*))::bigint)], 6) as p90_cer, "
+    + ", ".join(f"round(avg((cer_norm < {p / 100})::int), 6) as clean_lt_{p}_pct" for p in (1, 2, 5))
+    + " from e group by style"
+)
+def style_cer(spark, sf):
+    return rounded(risk.style_rows(settled(governed(spark, sf))).select("style", "docs", "ref_chars_norm", "median_cer", "p90_cer", "clean_lt_1_pct", "clean_lt_2_pct", "clean_lt_5_pct"))
+
+
+@query(_EDITS_SQL + f"\nselect count(*) as docs, sum(ref_chars_norm)::bigint as ref_chars_norm, sum(edits)::bigint as edits, (select sum({_WORDS.format('gt')})::bigint from pairs) as tokens, round(avg(cer_norm), 6) as mean_cer, round(median(cer_norm), 6) as median_cer from e")
+def corpus_cer(spark, sf):
+    return rounded(risk.corpus_summary(settled(metrics(spark, sf))).select("docs", "ref_chars_norm", "edits", "tokens", "mean_cer", "median_cer"))
+
+
+@query(_EDITS_SQL + ", k as (select *, row_number() over (partition by style order by cer_norm desc, pair_id) as rank from e)\nselect style, pair_id, round(cer_norm, 6) as value, rank::int as rank from k where rank <= 10")
+def top_cer_by_style(spark, sf):
+    return rounded(risk.per_group_top(metrics(spark, sf), "style", {"top_cer": risk.STYLE_RANKINGS["top_cer"]}, "pair_id").drop("metric"))
+
+
 @query()
 def wer(spark, sf):
     return rounded(metrics(spark, sf).select("pair_id", "style", "wer_edits", "ref_tokens_norm", "wer_norm"))
@@ -404,29 +510,35 @@ def risk_index(spark, sf):
     return rounded(risk.risk_index(metrics(spark, sf)).select("pair_id", "style", *[f"risk_index_{m}_z" for m in RISK_WEIGHTS], "risk_score", "risk_rank_within_style", "risk_band", "risk_rank"))
 
 
-#: the same operators over columns that SQL has too
-_NATIVE = {"adjusted_line_delta_abs": 0.4, "s1_density": 0.35, "length_delta": 0.25}
+#: The index, its weights and its flags over stand-ins for the four metrics that SQL can work out from whole texts: letters that are too many or
+#: too few, the difference of lengths, lines that differ, the line delta.
+_LETTERS = "aeonrt"
 _NATIVE_SQL = (
     _LINES
-    + f", v0 as (select p.pair_id, p.style, l.d::double as adjusted_line_delta_abs, l.band, l.flag, case when length(gt) > 0 then ({_stage_sql('S1')}) / length(gt) * 1000 else 0.0 end as s1_density, abs(length(gt) - length(htr))::double as length_delta from pairs p join lined l on p.pair_id = l.pair_id)"
+    + ", q as (select pair_id, greatest(len(g), len(h)) as n_lines, len([i for i in range(1, greatest(len(g), len(h)) + 1) if g[i] is distinct from h[i]]) as n_other from m)"
+    + ", v0 as (select p.pair_id, p.style, l.d::double as adjusted_line_delta_abs, l.band, l.flag, case when length(gt) > 0 then ("
+    + " + ".join(f"abs((length(gt) - length(replace(gt, '{c}', ''))) - (length(htr) - length(replace(htr, '{c}', ''))))" for c in _LETTERS)
+    + ") / length(gt)::double else 0.0 end as cer_norm, case when greatest(length(gt), length(htr)) > 0 then abs(length(gt) - length(htr)) / greatest(length(gt), length(htr))::double else 0.0 end as indel_disruption_rate, case when n_lines > 0 then n_other / n_lines::double else 0.0 end as continuity_risk, case when length(gt) > 0 then (" + _stage_sql("S1") + ") / length(gt)::double * 1000 else 0.0 end as basic_anomaly_density, case when length(gt) > 0 then (" + _stage_sql("S3") + ") / length(gt)::double * 1000 else 0.0 end as orthographic_violation_density from pairs p join lined l on p.pair_id = l.pair_id join q on p.pair_id = q.pair_id)"
     + ", v1 as (select *, "
-    + ", ".join(f"median({m}) over (partition by style) as m_{m}" for m in _NATIVE)
+    + ", ".join(f"median({m}) over (partition by style) as m_{m}" for m in RISK_WEIGHTS)
     + " from v0), v2 as (select *, "
-    + ", ".join(f"median(abs({m} - m_{m})) over (partition by style) as d_{m}" for m in _NATIVE)
+    + ", ".join(f"median(abs({m} - m_{m})) over (partition by style) as d_{m}" for m in RISK_WEIGHTS)
     + " from v1), v3 as (select *, round("
-    + " + ".join(f"({m} - m_{m}) / (case when d_{m} > 0 then d_{m} else 1 end) * {w}" for m, w in _NATIVE.items())
+    + " + ".join(f"({m} - m_{m}) / (case when d_{m} > 0 then d_{m} else 1 end) * {w}" for m, w in RISK_WEIGHTS.items())
     + ", 9) as risk_score from v2), v4 as (select *, row_number() over (partition by style order by risk_score desc, pair_id) as r, count(*) over (partition by style) as n, row_number() over (order by risk_score desc, pair_id) as risk_rank from v3), scored as (select *, case when n <= 3 then (case r when 1 then 'High' when 2 then 'Medium' else 'Low' end) when r <= ceil(n / 3) then 'High' when r <= ceil(2 * n / 3) then 'Medium' else 'Low' end as risk_band from v4)"
-    + ", gov as (select *, case when flag = 'review_line_structure' or band = 'Severe instability' then 'severe_line_instability' else '' end as escalation_flags, case risk_band when 'Low' then 'Stable' when 'Medium' then 'Review' else 'Exclude' end as base, case when escalation_flags = '' then base when base = 'Stable' then 'Review' else 'Exclude' end as governance_status from scored)"
+    + ", gov as (select *, concat_ws(';', case when indel_disruption_rate >= 0.15 then 'high_idr' end, case when flag = 'review_line_structure' or band = 'Severe instability' then 'severe_line_instability' end, case when 1 - continuity_risk <= 0.15 then 'very_low_continuity' end) as escalation_flags, case risk_band when 'Low' then 'Stable' when 'Medium' then 'Review' else 'Exclude' end as base, case when escalation_flags = '' then base when base = 'Stable' then 'Review' else 'Exclude' end as governance_status from scored)"
 )
 
 
 def native(spark, sf):
-    p = pairs(spark, sf)
-    shape = line_structure(p).select("pair_id", "adjusted_line_delta_abs", "line_structure_band", "line_structure_flag")
-    n = F.length("gt")
-    rows = p.select("pair_id", "style", F.when(n > 0, rules.rule_densities("S1") / n * 1000).otherwise(0.0).alias("s1_density"), F.abs(n - F.length("htr")).alias("length_delta"))
-    rows = rows.join(shape, "pair_id").withColumn("continuity", F.lit(1.0)).withColumn("indel_disruption_rate", F.lit(0.0))
-    return risk.governance(risk.risk_index(rows, weights=_NATIVE))
+    p = line_structure(pairs(spark, sf), ("gt", "htr"))
+    a, b, g, h = F.length("gt"), F.length("htr"), lines(newlines(F.col("gt"))), lines(newlines(F.col("htr")))
+    letters = F.lit(0)
+    for c in _LETTERS:
+        letters = letters + F.abs((a - F.length(F.replace("gt", F.lit(c), F.lit("")))) - (b - F.length(F.replace("htr", F.lit(c), F.lit("")))))
+    other = F.size(F.filter(F.arrays_zip(g.alias("g"), h.alias("h")), lambda x: ~x["g"].eqNullSafe(x["h"])))
+    rows = p.select("pair_id", "style", "adjusted_line_delta_abs", "line_structure_band", "line_structure_flag", ratio(letters, a).alias("cer_norm"), ratio(F.abs(a - b), F.greatest(a, b)).alias("indel_disruption_rate"), ratio(other, F.greatest(F.size(g), F.size(h))).alias("continuity_risk"), *[(ratio(rules.rule_densities(step), a) * 1000).alias(name) for step, name in (("S1", "basic_anomaly_density"), ("S3", "orthographic_violation_density"))])
+    return risk.governance(risk.risk_index(rows.withColumn("continuity", 1 - F.col("continuity_risk"))))
 
 
 @query(_NATIVE_SQL + "\nselect pair_id, style, round(risk_score, 6) as risk_score, r as risk_rank_within_style, risk_band, risk_rank from scored")
@@ -444,7 +556,7 @@ def governance_status(spark, sf):
     return native(spark, sf).select("pair_id", "style", "base_governance_status", "escalation_flags", "governance_status")
 
 
-@query(_NATIVE_SQL + "\nselect style, case when escalation_flags = '' then 'no_escalation' else escalation_flags end as flag, count(*) as docs from gov group by all")
+@query(_NATIVE_SQL + ", f as (select style, unnest(string_split(case when escalation_flags = '' then 'no_escalation' else escalation_flags end, ';')) as flag from gov)\nselect style, flag, count(*) as docs from f group by all")
 def escalation_summary(spark, sf):
     return risk.escalation_summary(native(spark, sf))
 
@@ -461,15 +573,35 @@ def document_status_index(spark, sf):
 
 @query()
 def style_rows(spark, sf):
-    return rounded(risk.style_rows(governed(spark, sf)))
+    return rounded(risk.style_rows(settled(governed(spark, sf))))
 
 
 @query()
 def corpus_summary(spark, sf):
-    return rounded(risk.corpus_summary(metrics(spark, sf)))
+    return rounded(risk.corpus_summary(settled(metrics(spark, sf))))
+
+
+@query()
+def style_metrics(spark, sf):
+    return rounded(risk.style_metrics(settled(risk.wide_risk(metrics(spark, sf)))))
 
 
 @query()
+def style_rankings(spark, sf):
+    return rounded(risk.per_group_top(risk.wide_risk(metrics(spark, sf)), "style", risk.STYLE_RANKINGS, "pair_id"))
+
+
+@query()
+def report_metadata(spark, sf):
+    docs = settled(metrics(spark, sf))
+    return report.metadata(docs, all_issues(spark, sf), corpus.split(pairs(spark, sf)), "today", "documents", "2")
+
+
+@query(
+    _EDITS_SQL
+    + """, o as (select style, edits as v, row_number() over (partition by style order by edits) as i, row_number() over (partition by style order by edits desc) as j, count(*) over (partition by style) as n from e)
+select style, count(*) as docs, sum(v)::double as total_edits, round(case when sum(v) > 0 then 2 * sum(i * v) / (count(*) * sum(v)) - (count(*) + 1) / count(*) else 0 end, 6) as gini, round(sum(v) filter (j <= greatest(1, ceil(n * 0.10))) / sum(v), 6) as top_10pct_docs_share, round(sum(v) filter (j <= 5) / sum(v), 6) as top_5_docs_share from o group by style"""
+)
 def error_concentration(spark, sf):
     return rounded(stats.concentration(metrics(spark, sf), "style", "edits"))
 
@@ -495,9 +627,9 @@ def top_risk(spark, sf):
     return rounded(risk.top_by(native(spark, sf), [F.desc("risk_score"), F.col("style"), F.col("pair_id")], 25).select("pair_id", "style", "risk_score"))
 
 
-@query(_NATIVE_SQL + ", u as (select style, pair_id, 'risk_score' as metric, risk_score as value from scored union all select style, pair_id, 's1_density', s1_density from scored), k as (select *, row_number() over (partition by style, metric order by value desc, pair_id) as rank from u)\nselect style, pair_id, metric, round(value, 6) as value, rank::int as rank from k where rank <= 10")
+@query(_NATIVE_SQL + ", u as (select style, pair_id, 'risk_score' as metric, risk_score as value from scored union all select style, pair_id, 'cer_norm', cer_norm from scored), k as (select *, row_number() over (partition by style, metric order by value desc, pair_id) as rank from u)\nselect style, pair_id, metric, round(value, 6) as value, rank::int as rank from k where rank <= 10")
 def per_style_top10(spark, sf):
-    return rounded(risk.per_group_top(native(spark, sf), "style", ["risk_score", "s1_density"], "pair_id"))
+    return rounded(risk.per_group_top(native(spark, sf), "style", ["risk_score", "cer_norm"], "pair_id"))
 
 
 # ---- sampling ----------------------------------------------------------------------------------------------------------
@@ -517,12 +649,85 @@ def random_control(spark, sf):
 
 
 def layers(spark, sf):
-    df = settled(governed(spark, sf))
-    one = sampling.governance_sample(df)
-    two = sampling.random_control(df, one)
-    keep = ["pair_id", "style", "risk_band", "governance_status", "selection_layer"]
-    taken = settled(one.select(keep).unionByName(two.select(keep)))
-    return taken.unionByName(sampling.diagnostic_cases(df, taken).select(keep))
+    return sampling.layers(settled(governed(spark, sf)))
+
+
+@query(_SAMPLE_SQL.replace("order by risk_score desc, pair_id) as turn", "order by md5('20260101:' || pair_id), pair_id) as turn") + "\nselect pair_id, style, governance_status, risk_band, turn::int as turn from layer1")
+def governance_sample_random(spark, sf):
+    return sampling.governance_sample(native(spark, sf), method="random").select("pair_id", "style", "governance_status", "risk_band", "turn")
+
+
+@query()
+def review_sample(spark, sf):
+    return rounded(sampling.review_tables(layers(spark, sf))["review_sample_all"])
+
+
+@query()
+def review_packet(spark, sf):
+    return sampling.review_tables(layers(spark, sf))["reviewer_1_packet"]
+
+
+@query()
+def review_label_schema(spark, sf):
+    return sampling.review_tables(layers(spark, sf).limit(0))["review_label_schema"]
+
+
+@query()
+def file_copy_warnings(spark, sf):
+    there = pairs(spark, sf).filter("pair_id % 2 = 0").select(F.concat(F.lit("files/"), F.col("pair_id").cast("string"), F.lit("_GT.txt")).alias("path"))
+    return sampling.review_tables(layers(spark, sf), listing=there)["file_copy_warnings"]
+
+
+_CASES = (
+    ("flag = 'review_line_structure'", "5.0", "review_line_structure"),
+    ("band = 'Severe instability'", "5.0", "severe_line_instability"),
+    ("adjusted_line_delta_abs >= 4", "least(adjusted_line_delta_abs, 10)", "high_adjusted_line_delta"),
+    ("1 - continuity_risk <= 0.15", "4.0", "very_low_continuity"),
+    ("1 - continuity_risk > 0.15 and 1 - continuity_risk <= 0.35", "2.0", "low_continuity"),
+    ("indel_disruption_rate >= 0.15", "3.0", "high_idr"),
+    ("indel_disruption_rate < 0.15 and indel_disruption_rate >= 0.08", "1.5", "elevated_idr"),
+    ("cer_norm >= 0.35", "3.0", "high_cer"),
+    ("basic_anomaly_density > 0", "least(basic_anomaly_density / 5.0, 2)", "surface_anomaly_density"),
+    ("orthographic_violation_density >= 10", "least(orthographic_violation_density / 10.0, 2)", "orthographic_violation_density"),
+)
+_CASE_SQL = _SAMPLE_SQL + ", sc as (select *, round(" + " + ".join(f"case when {t} then {x} else 0.0 end" for t, x, _ in _CASES) + ", 4) as score, concat_ws(';', " + ", ".join(f"case when {t} then '{n}' end" for t, _, n in _CASES) + ") as reasons from gov)"
+
+
+@query(_CASE_SQL + "\nselect pair_id, style, score as diagnostic_case_score, reasons as selection_reason from sc")
+def diagnostic_case_scores(spark, sf):
+    score, reasons = sampling.case_score()
+    return native(spark, sf).select("pair_id", "style", F.round(score, 4).alias("diagnostic_case_score"), reasons.alias("selection_reason"))
+
+
+_LAYERS_SQL = (
+    _CASE_SQL
+    + ", r2 as (select *, row_number() over (partition by style order by md5('20260101:' || pair_id), pair_id) as place from gov where pair_id not in (select pair_id from layer1)), layer2 as (select * from r2 where place <= 5)"
+    + ", r3 as (select *, row_number() over (partition by style order by score desc, pair_id) as turn from sc where score > 0 and pair_id not in (select pair_id from layer1) and pair_id not in (select pair_id from layer2)), layer3 as (select * from r3 where turn <= 10 order by (turn = 1) desc, score desc, pair_id limit 10)"
+    + ", every as (select pair_id, style, governance_status, risk_band, 'governance_validation' as selection_layer from layer1 union all select pair_id, style, governance_status, risk_band, 'random_control' from layer2 union all select g.pair_id, g.style, g.governance_status, g.risk_band, 'diagnostic_case_study' from layer3 join gov g on g.pair_id = layer3.pair_id)"
+)
+
+
+@query(_LAYERS_SQL + "\nselect * from every")
+def sample_layers(spark, sf):
+    return sampling.layers(settled(native(spark, sf))).select("pair_id", "style", "governance_status", "risk_band", "selection_layer")
+
+
+@query(
+    _LAYERS_SQL
+    + "\nselect 'total' as dimension, 'documents' as value, count(*) as docs from every union all select 'layer', selection_layer, count(*) from every group by 2 union all select 'style', style, count(*) from every group by 2 union all select 'document_status', governance_status, count(*) from every group by 2 union all select 'risk_band', risk_band, count(*) from every group by 2"
+)
+def layer_summary(spark, sf):
+    return sampling.summary(sampling.layers(settled(native(spark, sf))).withColumn("reviewer_id", F.lit("none"))).filter("dimension <> 'reviewer'")
+
+
+@query(_NATIVE_SQL + "\nselect pair_id, style, governance_status, risk_band as index_derived_risk_band, escalation_flags, round(risk_score, 6) as risk_score, r as risk_rank_within_style, adjusted_line_delta_abs::int as adjusted_line_delta_abs, band as line_structure_band, flag as line_structure_flag from gov")
+def status_index(spark, sf):
+    return rounded(native(spark, sf).select("pair_id", "style", "governance_status", "index_derived_risk_band", "escalation_flags", "risk_score", "risk_rank_within_style", "adjusted_line_delta_abs", "line_structure_band", "line_structure_flag"))
+
+
+@query(_NATIVE_SQL + "\nselect pair_id, style, risk_band, governance_status as document_status from gov where governance_status = 'Review'")
+def review_subset(spark, sf):
+    return sampling.subsets(native(spark, sf))["Review"].select("pair_id", "style", "risk_band", "document_status")
 
 
 @query()
@@ -538,8 +743,7 @@ def reviewer_assignment(spark, sf):
 
 @query()
 def sample_summary(spark, sf):
-    dims = ["selection_layer", "style", "risk_band", "governance_status"]
-    return layers(spark, sf).groupingSets([[d] for d in dims], *dims).agg(F.count(F.lit(1)).alias("docs"))
+    return sampling.review_tables(layers(spark, sf))["review_sample_summary"]
 
 
 @query(_NATIVE_SQL + ", g as (select governance_status as s, style as y, count(*) as n from gov group by all)\nselect 'total' as category, '' as value, sum(n)::bigint as docs from g union all select 'status', s, sum(n)::bigint from g group by s union all select 'style', y, sum(n)::bigint from g group by y union all select 'status_style', s || ':' || y, n from g")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import newlines
+from ..functions.scalar import excel_safe, newlines
 from ..operators.corpus import prefix_pairs, stem
 
 #: Fixed value: a byte-order mark that some exports begin with.
@@ -13,10 +13,10 @@ BOM = "\ufeff"
 
 
 def read_texts(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """path, style (the folder's name), name, stem, text of each .txt file below the path, line ends as \\n."""
+    """path, style (the folder's name), name, stem, text of each .txt file below the path, line ends as \\n. Bytes that are not UTF-8 are an error."""
     rows = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
     where = F.col("_metadata.file_path")
-    rows = rows.select(where.alias("path"), F.regexp_extract(where, r"([^/]+)/[^/]+$", 1).alias("style"), F.url_decode(F.regexp_extract(where, r"([^/]+)$", 1)).alias("name"), newlines(F.col("value")).alias("text"))
+    rows = rows.select(where.alias("path"), F.regexp_extract(where, r"([^/]+)/[^/]+$", 1).alias("style"), F.url_decode(F.regexp_extract(where, r"([^/]+)$", 1)).alias("name"), newlines(F.validate_utf8("value")).alias("text"))
     return rows.withColumn("stem", stem(F.col("name"), suffix))
 
 
@@ -50,12 +50,20 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    flat(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, excel: bool = False) -> None:
+    """excel: text that a spreadsheet would read as a formula gets a quote in front."""
+    rows = flat(df)
+    if excel:
+        rows = rows.select(*[excel_safe(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes])
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def read_json(spark: SparkSession, path: str, schema: str, lines: bool = True) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", not lines).json(path)
+def read_json(spark: SparkSession, path: str, schema: str, lines: bool = True, default: DataFrame | None = None) -> DataFrame:
+    """The rows of a JSON file or folder; where there is none the default, or no rows. Lines that can't be read are left out."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema) if default is None else default
+    return spark.read.schema(schema).option("multiLine", not lines).option("mode", "DROPMALFORMED").json(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
