@@ -9,12 +9,16 @@ at least num/den; ``component_id`` is the smallest id reachable over links.
    n-grams found to be frequent last, by a table of at most ``heavy_limit`` of them (12 bytes each, broadcast); which ones
    are in the table changes the work, never the result.
 3. Classes that share such a hash meet in tiles: per hash and size band (a band's sizes differ by less than the ratio, so
-   links lie in one band or between neighbours). First each tile is held against one of its members, smallest and
+   links lie in one band or between neighbours). First each tile is held against its members of smallest and
    largest key, which joins up groups of near copies in linear work; then what is still apart meets pair by pair in blocks
    of at most ``block`` rows, so a large tile is many small tasks.
 4. A parity bitmap per class bounds the overlap from above: the bits in which two bitmaps differ are at most the
-   size of the symmetric difference. Only pairs that pass are intersected exactly, on sorted arrays made from the texts.
-5. Links become components by alternating large-star and small-star steps, each written to the shared folder.
+   size of the symmetric difference. A block gives back, for each class that may link with one of another component, the likeliest
+   such partner: rows, not pairs. These partners are intersected exactly, on sorted arrays made from the texts, and join up most of what belongs
+   together. The classes that were given back then meet again in the same blocks, those still of one component left out, with their sorted
+   arrays: all pairs of different components are intersected, and a block gives the links that join components, fewer than it has classes.
+5. Links become components by alternating large-star and small-star steps, each written to the shared folder. Nodes, hashes and tiles with
+   a large share of all rows are joined by a broadcast of these few (at most ``HUBS``), so none fills a task.
 
 No pair between different components is left unexamined, nothing is capped, and no links are collected.
 Nulls: a null or empty text, or one without words, has an empty set, no links, and its own id as component; a null id is
@@ -33,10 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import buffers, most_frequent, shingles, slices, words, written
+from .textkit import buffers, forget, most_frequent, shingles, slices, words, written
 
 LEAST_BITS = 256
 BROADCAST_ROWS = 200_000
+#: keys that are broadcast as they hold many rows, at most
+HUBS = 20_000
+#: hashes that a task holds at a time to count frequent ones, and those of one block of a tile
+HELD, CELLS = 1 << 21, 1 << 21
 
 
 def sets(batch: pa.RecordBatch, n: int):
@@ -80,26 +88,48 @@ def differing_bits(a, b) -> np.ndarray:
     return out
 
 
+def overlap_bound(na, nb, differ):
+    """Sets of these sizes whose bitmaps differ in so many bits have no more in common."""
+    return np.minimum((na + nb - differ) // 2, np.minimum(na, nb))
+
+
 def may_link(na, nb, differ, num: int, den: int):
-    """Whether sets of these sizes whose bitmaps differ in so many bits can link: the overlap is at most (na + nb - differ) / 2."""
-    overlap = (na + nb - differ) // 2
-    overlap = np.minimum(overlap, np.minimum(na, nb))
+    overlap = overlap_bound(na, nb, differ)
     return den * overlap >= num * (na + nb - overlap)
 
 
+def beside(rows: DataFrame, side: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join of rows with a table that has each key once, and k, how many of the ``total`` rows have it. Keys of many rows are broadcast."""
+    least = max(32, -(-total // HUBS))
+    heavy = F.broadcast(side.filter(F.col("k") > least))
+    light = rows.join(heavy.select(*keys), keys, "left_anti").join(side.filter(F.col("k") <= least), keys)
+    return light.unionByName(rows.join(heavy, keys))
+
+
 def frequent(docs: DataFrame, n: int, heavy_limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that several documents of a batch share, with the sum of their counts: the most frequent ones."""
+    """Hashes that several documents of a run of rows share, with the sum of their counts: the most frequent ones."""
+
+    def emit(held):
+        h, c = np.unique(np.concatenate(held), return_counts=True)
+        h, c = h[c > 2], c[c > 2]
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            every = [s for _, own in sets(batch, n) for s in own]
-            if every:
-                h, c = np.unique(np.concatenate(every), return_counts=True)
-                h, c = h[c > 2], c[c > 2]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
+            for _, own in sets(batch, n):
+                held += own
+                size += sum(map(len, own))
+                if size >= HELD:
+                    yield emit(held)
+                    held, size = [], 0
+        if held:
+            yield emit(held)
 
     table = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    table = most_frequent(written(table, "frequent"), "c", heavy_limit).toPandas()
+    counted = written(table, "frequent")
+    table = most_frequent(counted, "c", heavy_limit).toPandas()
+    forget(counted)
     h, c = table["h"].to_numpy(np.int64).view(np.uint64), table["c"].to_numpy(np.int64)
     order = np.argsort(h)
     return h[order], c[order]
@@ -182,17 +212,22 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     sign = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
     before = sign(edges)
     while before[0]:
+        total = 2 * before[0]
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select("e.u", F.col("e.m").alias("v")).filter("u <> v").distinct()
-        edges = written(small, name)
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")).select("u", F.least("u", "m").alias("m"), "k")
+        large = beside(both, least, ["u"], total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = written(large, name)
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k"))
+        small = beside(large, low, ["u"], total).select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")).select("e.u", F.col("e.m").alias("v")).filter("u <> v").distinct()
+        before_, edges = edges, written(small, name)
+        forget(before_, large)
         after = sign(edges)
         if after == before:
             break
         before = after
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    out.written_to = edges.written_to
+    return out
 
 
 def _bands(size, num: int, den: int):
@@ -220,93 +255,168 @@ def _passing(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFr
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long")
 
 
-def _tile_pairs(rows: DataFrame, classes: DataFrame, num: int, den: int, block: int, spark: SparkSession) -> DataFrame:
-    """Pairs (a, b) of different components in one tile that sizes and bitmaps allow."""
-    # a tile holds a band and the one below it; blocks of a tile meet each other and themselves
+_BLOCK = ("token", "tile", "lo", "hi")
+
+
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
+    """Rows of tiles that hold several components, dealt to the pairs of blocks of their tile: a tile holds a band and the one below it."""
     spread = rows.select("*", F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(True).alias("own")), F.struct((F.col("band") + 1).alias("tile"), F.lit(False).alias("own")))).alias("t")).select("token", "cid", "n", "comp", "t.tile", "t.own")
-    count = spread.groupBy("token", "tile").agg(F.count(F.lit(1)).alias("k"), F.max("own").alias("any"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("any and c1 < c2").select("token", "tile", F.ceil(F.col("k") / block).cast("int").alias("blocks"))
-    placed = spread.join(count, ["token", "tile"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", "tile", "own", "cid", "n", "comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
-    dealt = dealt.join(classes.select("cid", "bits"), "cid")
-    ready = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token", "tile", "lo", "hi").sortWithinPartitions("token", "tile", "lo", "hi", "cid")
-
-    def pairs_of(t: pa.Table, edge: np.ndarray):
-        """All tiles of the table at once: rows are held against those one, two, three ... places further on in their tile."""
+    count = spread.groupBy("token", "tile").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("cells"), F.max("own").alias("any"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("any and c1 < c2")
+    count = count.select("token", "tile", "k", F.ceil(F.greatest(F.col("k") / block, F.col("cells") / CELLS)).cast("int").alias("blocks"))
+    placed = beside(spread, count, ["token", "tile"], 2 * rows.count()).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("token", "tile", "own", "cid", "n", "comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
+
+
+def _by_block(rows: DataFrame, work, schema: str, spark: SparkSession) -> DataFrame:
+    """``work`` on tables of whole blocks, given with the places where a new block begins."""
+    ready = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *_BLOCK).sortWithinPartitions(*_BLOCK, "cid")
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
+            key = [t.column(c).to_numpy() for c in _BLOCK]
+            edge = np.flatnonzero(np.logical_or.reduce([np.diff(x) != 0 for x in key])) + 1 if t.num_rows else np.zeros(0, np.int64)
+            if len(edge):
+                yield from work(t.slice(0, int(edge[-1])), edge[:-1])
+            rest = t.slice(int(edge[-1]) if len(edge) else 0)
+        if rest is not None and rest.num_rows:
+            yield from work(rest, np.zeros(0, np.int64))
+
+    return ready.mapInArrow(run, schema)
+
+
+_CANDIDATE = "token long, tile int, lo int, hi int, block int, own boolean, cid long, n int, partner long"
+
+
+def _candidates(dealt: DataFrame, classes: DataFrame, num: int, den: int, spark: SparkSession) -> DataFrame:
+    """The rows of a block that sizes and bitmaps allow to link with one of another component, each with the likeliest such class."""
+    names = [c.split()[0] for c in _CANDIDATE.split(", ")]
+
+    def work(t: pa.Table, edge: np.ndarray):
+        # rows of all blocks at once are held against those one, two, three ... places further on in their block
         cid, n, comp, own, blk, lo, hi = (t.column(c).to_numpy() for c in ("cid", "n", "comp", "own", "block", "lo", "hi"))
         own, n, across = own.astype(bool), n.astype(np.int64), lo != hi
         bits = t.column("bits").combine_chunks()
         ends = np.append(edge, t.num_rows)
         after = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
-        active, step, found_a, found_b = np.arange(t.num_rows), 1, [], []
+        active, step = np.arange(t.num_rows), 1
+        partner, best = np.full(t.num_rows, -1), np.zeros(t.num_rows)
         while len(active := active[active + step < after[active]]):
             j = active + step
-            ok = (comp[j] != comp[active]) & (own[j] | own[active]) & (cid[j] != cid[active]) & (den * np.minimum(n[j], n[active]) >= num * np.maximum(n[j], n[active])) & (~across[active] | (blk[j] != blk[active]))
+            ok = (comp[j] != comp[active]) & (own[j] | own[active]) & (den * np.minimum(n[j], n[active]) >= num * np.maximum(n[j], n[active])) & (~across[active] | (blk[j] != blk[active]))
             i, j = active[ok], j[ok]
             if len(i):
-                keep = may_link(n[i], n[j], differing_bits(bits.take(pa.array(i)), bits.take(pa.array(j))), num, den)
-                i, j = i[keep], j[keep]
-                found_a.append(np.minimum(cid[i], cid[j])), found_b.append(np.maximum(cid[i], cid[j]))
+                overlap = overlap_bound(n[i], n[j], differing_bits(bits.take(pa.array(i)), bits.take(pa.array(j))))
+                union = n[i] + n[j] - overlap
+                keep = den * overlap >= num * union
+                i, j, share = i[keep], j[keep], overlap[keep] / union[keep]
+                for x, y in ((i, j), (j, i)):
+                    more = share > best[x]
+                    best[x[more]], partner[x[more]] = share[more], cid[y[more]]
             step += 1
-        if found_a:
-            pair = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+        found = np.flatnonzero(partner >= 0)
+        if len(found):
+            part = t.select(names[:-1]).take(pa.array(found)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*(c.chunk(0) for c in part.columns), pa.array(partner[found])], names=names)
+
+    return _by_block(dealt.join(classes.select("cid", "bits"), "cid"), work, _CANDIDATE, spark)
+
+
+def links_within(hashes: list[np.ndarray], comp: np.ndarray, allowed, num: int, den: int) -> list[tuple[int, int]]:
+    """Links between different components of a few sets, as many as join them up; allowed(i): which rows may link with row i."""
+    size = np.array([len(h) for h in hashes], np.int64)
+    flat, row = np.concatenate(hashes), np.repeat(np.arange(len(hashes)), size)
+    _, value = np.unique(flat, return_inverse=True)
+    posted = row[np.argsort(value, kind="stable")]
+    upto = np.concatenate([[0], np.cumsum(np.bincount(value))])
+    begin = np.concatenate([[0], np.cumsum(size)])
+    root, out = np.unique(comp, return_inverse=True)[1], []
+    for i in range(len(hashes) - 1):
+        wanted = allowed(i) & (root != root[i]) & (den * np.minimum(size, size[i]) >= num * np.maximum(size, size[i]))
+        wanted[: i + 1] = False
+        if not wanted.any():
+            continue
+        own = value[begin[i] : begin[i + 1]]
+        many = upto[own + 1] - upto[own]
+        at = np.repeat(upto[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        common = np.bincount(posted[at], minlength=len(hashes))
+        for j in np.flatnonzero(wanted & (den * common >= num * (size + size[i] - common))):
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                out.append((i, int(j)))
+    return out
 
-    def run(batches):
-        rest = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
-            key = [t.column(c).to_numpy() for c in ("token", "tile", "lo", "hi")]
-            edge = np.flatnonzero(np.logical_or.reduce([np.diff(x) != 0 for x in key])) + 1 if t.num_rows else np.zeros(0, np.int64)
-            if len(edge):
-                yield from pairs_of(t.slice(0, int(edge[-1])), edge[:-1])
-            rest = t.slice(int(edge[-1]) if len(edge) else 0)
-        if rest is not None and rest.num_rows:
-            yield from pairs_of(rest, np.zeros(0, np.int64))
 
-    return ready.mapInArrow(run, "a long, b long").distinct()
+def _exact_in_blocks(rows: DataFrame, held: DataFrame, num: int, den: int, spark: SparkSession) -> DataFrame:
+    """Links (a, b) of the rows' blocks that join different components."""
+
+    def work(t: pa.Table, edge: np.ndarray):
+        for x, y in zip(np.append(0, edge), np.append(edge, t.num_rows), strict=True):
+            part = t.slice(int(x), int(y - x))
+            cid, comp, own, blk, lo, hi = (part.column(c).to_numpy() for c in ("cid", "comp", "own", "block", "lo", "hi"))
+            raw, off = buffers(part.column("hashes"))
+            across, own = bool(lo[0] != hi[0]), own.astype(bool)
+            found = links_within([raw[p:q].view(np.uint64) for p, q in zip(off, off[1:], strict=False)], comp, lambda i: (own | own[i]) & ((blk != blk[i]) | (not across)), num, den)  # noqa: B023
+            if found:
+                a, b = (cid[list(z)] for z in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
+    several = rows.groupBy(*_BLOCK).agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select(*_BLOCK)
+    return _by_block(rows.join(several, list(_BLOCK)).join(held, "cid"), work, "a long, b long", spark)
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, heavy_limit: int = 1 << 18, block: int = 512) -> DataFrame:
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, heavy_limit: int = 1 << 18, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id of each row; links need den * intersection >= num * union."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     made = written(features(docs, n, num, den, frequent(docs, n, heavy_limit)), "shingles")
-    classes = made.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    classes = made.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("k"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     spread = classes.select(F.explode("prefix").alias("token"), "cid", "n")
-    shared = spread.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
-    rows = written(spread.join(shared, "token").withColumn("band", _bands(F.col("n"), num, den)), "tokens")
+    shared = spread.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    size = classes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    rows = written(beside(spread, shared, ["token"], size).select("token", "cid", "n", _bands(F.col("n"), num, den).alias("band")), "tokens")
 
-    ends = rows.groupBy("token", "band").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).filter("first < last")
-    stars = rows.join(ends, ["token", "band"]).select("cid", F.explode(F.array("first", "last")).alias("lead")).filter("cid <> lead").select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
+    ends = rows.groupBy("token", "band").agg(F.min("cid").alias("first"), F.max("cid").alias("last"), F.count(F.lit(1)).alias("k")).filter("first < last")
+    stars = beside(rows, ends, ["token", "band"], size).select("cid", F.explode(F.array("first", "last")).alias("lead")).filter("cid <> lead").select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
     stars = written(_passing(stars, classes, num, den), "stars")
     nodes = lambda p: p.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     held = written(arrays(docs, classes, nodes(stars), n), "sets")
 
-    # one pair per class first, then only what these have left apart
-    first = stars.groupBy("b").agg(F.min("a").alias("a"))
-    links = written(exact_links(first, held, num, den), "links")
-    labels = components(links)
-
-    def left(pairs: DataFrame) -> DataFrame:
+    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         side = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
         return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
 
-    more = written(exact_links(left(stars), held, num, den), "links")
-    links = links.unionByName(more)
-    labels = components(links)
+    def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+        links = written(links, "links")
+        out = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(links))
+        forget(labels, links)
+        return out
 
-    tiles = written(_tile_pairs(_apart(rows, labels), classes, num, den, block, spark), "pairs")
-    others = nodes(tiles).join(held.select("cid"), "cid", "left_anti")
-    rest = written(exact_links(tiles, held.unionByName(written(arrays(docs, classes, others, n), "sets")), num, den), "links")
-    labels = components(links.unionByName(rest))
-
-    named = classes.select("cid", "d1", "d2", "rep").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    result = named.join(smallest, "label").select("d1", "d2", "component_id")
-    out = made.filter("n > 0").select("doc_id", "n", "d1", "d2").join(result, ["d1", "d2"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    # one pair per class first, then only what these have left apart
+    labels = components(exact_links(stars.groupBy("b").agg(F.min("a").alias("a")), held, num, den))
+    labels = joined(labels, exact_links(apart(stars, labels), held, num, den))
+    forget(stars)
+
+    # then all that a tile's bitmaps allow: likeliest partners, and what these leave apart
+    found = written(_candidates(_dealt(_apart(rows, labels), block), classes, num, den, spark), "candidates")
+    forget(rows)
+    others = found.select("cid").distinct().join(held.select("cid"), "cid", "left_anti")
+    more = written(arrays(docs, classes, others, n), "sets")
+    first, held = held, held.unionByName(more)
+    partners = found.select(F.least("cid", "partner").alias("a"), F.greatest("cid", "partner").alias("b")).distinct()
+    labels = joined(labels, exact_links(partners, held, num, den))
+    labels = joined(labels, _exact_in_blocks(_apart(found.drop("partner"), labels), held, num, den, spark))
+    forget(found, first, more)
+
+    named = classes.select("cid", "d1", "d2", "rep", "k").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("k"))
+    result = beside(named.withColumnRenamed("k", "copies"), smallest, ["label"], classes.count()).select("d1", "d2", "component_id", F.col("copies").alias("k"))
+    full = made.filter("n > 0").select("doc_id", "n", "d1", "d2")
+    out = beside(full, result, ["d1", "d2"], full.count()).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     empty = made.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(empty)
 
