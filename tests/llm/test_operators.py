@@ -84,7 +84,8 @@ def test_chunks_do_not_change_words(monkeypatch):
     raw = np.frombuffer(text.encode(), np.uint8)
     off = np.array([0, 1000, 1000, 5003, len(raw)])
     whole = kit.words(raw, off)
-    monkeypatch.setattr(kit, "CHUNK", 64)
+    monkeypatch.setattr(kit, "WORK", 64)
+    monkeypatch.setattr(kit, "_powers", {})
     parts = kit.words(raw, off)
     assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
 
@@ -107,6 +108,31 @@ def test_language(spark, odd, sf):
     assert {r.lang_pred for r in langid.detect(odd, None).collect()} == {"und"}
 
 
+def test_language_sample_counts_copies_once(spark):
+    one, more = "the same text over and over again", [(f"ein anderer Text Nummer {i} ist hier", "de") for i in range(40)]
+    df = spark.createDataFrame([(one, "en")] * 3000 + more + [(f"texte {i} en francais voila", "fr") for i in range(5)], "text string, lang string")
+    seen = []
+    own = langid.fit
+    try:
+        langid.fit = lambda texts, labels, **o: seen.extend(zip(labels, texts, strict=True)) or own(texts, labels, **o)
+        model = langid.fit_on(df, F.lit(True), per_label=20)
+    finally:
+        langid.fit = own
+    assert seen.count(("en", one.encode())) == 1 and model.labels == ["de", "en", "fr"]
+    assert len(seen) == len(set(seen)) and 5 <= sum(y == "de" for y, _ in seen) <= 36
+
+
+def test_many_labels():
+    rng = np.random.default_rng(0)
+    words_ = {f"l{k:02d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)] for k in range(24)}
+    texts = [(y, " ".join(rng.choice(ws, 60)).encode()) for y, ws in words_.items() for _ in range(12)]
+    model = langid.fit([t for _, t in texts], [y for y, _ in texts])
+    assert len(model.labels) == 24 and model.table.shape[1] == 16
+    raw, off = kit.buffers(__import__("pyarrow").array([t for _, t in texts], "binary"))
+    best, _ = model.predict(raw, off)
+    assert np.mean([model.labels[b] == y for b, (y, _) in zip(best, texts, strict=True)]) > 0.9
+
+
 def test_language_chunks(monkeypatch):
     rng = np.random.default_rng(1)
     raw = rng.integers(97, 110, 5000).astype(np.uint8)
@@ -329,6 +355,54 @@ def test_edits_in_any_word(text, want):
     assert [(n.label, k) for n, a, _, k in sorted(found, key=lambda x: x[1])] == want
 
 
+def plain_notices(words_):
+    """Base phrases and whole notices, at most one letter of a word of three or more changed, by comparing word by word."""
+    near = lambda a, b: a == b or len(a) == len(b) > 2 and not a.isdigit() and sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    out = set()
+    for notice, label in licences.NOTICES.items():
+        own = notice.split()
+        for i in range(len(words_) - len(own) + 1):
+            part = words_[i : i + len(own)]
+            if all(map(near, own, part)) and sum(a != b for a, b in zip(own, part, strict=True)) <= 1:
+                out.add((label, i))
+    return out
+
+
+def test_edited_notices_are_found():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        words_ = [f"w{rng.integers(50)}" for _ in range(30)]
+        for notice in rng.choice(list(licences.NOTICES), 3):
+            own = notice.split()
+            k = int(rng.integers(len(own)))
+            if len(own[k]) > 2 and not own[k].isdigit():
+                j = int(rng.integers(len(own[k])))
+                own[k] = own[k][:j] + "q" + own[k][j + 1 :]
+            at = int(rng.integers(len(words_)))
+            words_[at:at] = own
+        norm = " ".join(words_).encode()
+        found = licences.notice_matches(norm, licences.automaton(licences.NOTICES))
+        spans = [(a, b) for _, a, b, _ in found]
+        assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+        for label, i in plain_notices(words_):
+            a = len(" ".join(words_[:i]).encode()) + (i > 0)
+            assert any(x < a + 12 and y > a for x, y in spans) or any(n.label == label for n, *_ in found)
+
+
+@pytest.mark.parametrize("text", [b"cc by ", b"all rights reserved ", b"all right reserved "])
+def test_long_texts_of_licences_end_soon(text):
+    import time
+
+    norm = licences.normalise(text * (4_000_000 // len(text)))
+    seeds, exact = licences.automaton(licences.NOTICES), [(p.encode(), x) for p, x in licences.BASE_PHRASES.items()]
+    began = time.process_time()
+    n = len(licences.phrase_places(norm, exact))
+    assert n == (0 if text == b"all right reserved " else 4_000_000 // len(text)) and time.process_time() - began < 10
+    small = norm[: 40_000 // len(text) * len(text) - 1]
+    found = licences.notice_matches(small, seeds)
+    assert len(licences._spans(small, small, found) if found else []) == (0 if text == b"cc by " else small.count(b"all"))
+
+
 # ---- 5
 
 
@@ -355,8 +429,59 @@ def test_archive_payloads(spark, sf):
     warc.write_warc(warc.add_revisits(warc.convert(warc.arc_files(table))), path)
     got = {r.page_id: bytes(r.payload).decode() for r in warc.read_warc(spark, path, with_payload=True).filter("payload is not null").collect()}
     assert all(r.html == got[r.page_id] for r in table.collect() if r.page_id in got) and len(got) > 40
-    raw = spark.read.format("binaryFile").load(path + "/*.gz").first().content
-    assert gzip.decompress(bytes(raw)).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+    raw = bytes(spark.read.format("binaryFile").load(path + "/*.gz").first().content)
+    assert gzip.decompress(raw).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+    parts = list(warc.members(raw, 100))
+    assert b"".join(parts) == gzip.decompress(raw) and len(parts) > 5 and all(x.startswith(b"WARC/1.1") and x.endswith(b"\r\n\r\n") for x in parts)
+
+
+ARC_1 = b"""filedesc://old.arc 0.0.0.0 19980102030405 text/plain 76
+1 0 Some Crawler
+URL IP-address Archive-date Content-type Archive-length
+
+http://one.example/a page 10.0.0.1 19980102030406 text/html 60
+HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\n<p>first</p>\nend
+this line is damaged
+http://two.example/ 10.0.0.2 19980102 text/plain 5
+plain
+"""
+ARC_2 = [
+    b"filedesc://new.arc 0.0.0.0 20050607080910 text/plain 200 - - 0 new.arc 122\n2 0 Other Crawler\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n",
+    b"\nhttp://three.example/ 10.0.0.3 20050607080911 text/html 200 abc - 300 new.arc 33\nHTTP/1.1 200 OK\r\n\r\n<b>third</b>\n!",
+    b"\nhttp://cut.example/ 10.0.0.4 20050607080912 text/html 200 abc - 300 new.arc 9999\nHTTP/1.1 200 OK\r\n",
+]
+
+
+def test_files_of_others(spark, tmp_path):
+    """ARC files not made by the module: plain and record by record, with a damaged line, a short date and a cut record."""
+    head = ARC_1.index(b"1 0 Some")
+    body = ARC_1[ARC_1.index(b"HTTP/1.0") : ARC_1.index(b"\nthis line")]
+    one = ARC_1.replace(b"text/plain 76", b"text/plain %d" % len(ARC_1[head : ARC_1.index(b"http://one")])).replace(b"text/html 60", b"text/html %d" % len(body))
+    two = [x for x in ARC_2]
+    two[0] = two[0].replace(b"new.arc 122", b"new.arc %d" % (len(two[0]) - two[0].index(b"\n") - 1))
+    (tmp_path / "one.arc").write_bytes(one)
+    (tmp_path / "two.arc.gz").write_bytes(b"".join(map(gzip.compress, two)))
+    (tmp_path / "note.txt").write_text("no archive")
+    records = warc.convert(warc.read_arcs(spark, str(tmp_path)))
+    got = {r.url: (r.date, r.kind, bytes(r.payload)) for r in records.collect()}
+    assert got == {
+        "http://one.example/a page": ("1998-01-02T03:04:06Z", "response", b"<p>first</p>\nend"),
+        "http://two.example/": ("1998-01-02T00:00:00Z", "resource", b"plain"),
+        "http://three.example/": ("2005-06-07T08:09:11Z", "response", b"<b>third</b>\n!"[: 33 - 19]),
+    }
+    path = f"{kit.shared_dir(spark)}/of-others"
+    warc.write_warc(warc.add_revisits(records), path)
+    back = {r.url: (r.date, r.record_type, r.payload and bytes(r.payload)) for r in warc.read_warc(spark, path, with_payload=True).collect()}
+    assert back == got
+    with pytest.raises(TypeError):
+        warc.arc_files(spark.createDataFrame([("a", "u", "h")], "page_id string, url string, html string"))
+
+
+def test_long_pages(spark):
+    html_ = "<p>" + "long page " * 600_000 + "</p>"
+    table = spark.createDataFrame([(1, "u", html_), (2, "u", html_), (3, "u", "short")], "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(table).collect()}
+    assert got == {1: (len(html_), "revisit", 2), 2: (len(html_), "response", None), 3: (5, "response", None)}
 
 
 # ---- 6
@@ -407,6 +532,58 @@ def test_jaccard(spark, n, num, den, block, limit):
     assert got == brute_components(texts, n, num, den)
 
 
+def test_jaccard_on_documents(spark, sf, docs):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in Q.op6_jaccard_join(spark, sf).collect()}
+    assert got == brute_components(docs, 3, 90, 100)
+
+
+def test_jaccard_in_a_wide_group(spark, monkeypatch):
+    """A group of near copies around the threshold, hubs and small blocks: components, and rows given back, not pairs."""
+    monkeypatch.setattr(jaccard, "HUBS", 40)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(90)]
+    texts = {}
+    for d in range(160):
+        w = list(base)
+        for _ in range(int(rng.integers(0, 9))):
+            w[int(rng.integers(len(w)))] = f"z{rng.integers(400)}"
+        texts[d] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sizes, own = [], jaccard._candidates
+
+    def spy(*a):
+        out = own(*a)
+        sizes.append((a[0].count(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "_candidates", spy)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, n=5, num=80, den=100, block=32).collect()}
+    assert got == brute_components(texts, 5, 80, 100) and len({c for _, c in got.values()}) > 3
+    assert sizes[0][1] <= sizes[0][0]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 25), min_size=1, max_size=14), min_size=1, max_size=14), st.integers(1, 10))
+def test_links_within(sets, num):
+    hashes = [np.array(sorted(x), np.uint64) for x in sets]
+    comp = np.arange(len(sets)) // 2
+    found = jaccard.links_within(hashes, comp, lambda i: np.ones(len(sets), bool), num, 10)
+    groups = {}
+    for i, c in enumerate(comp.tolist()):
+        groups.setdefault(c, set()).add(i)
+
+    def closed(pairs):
+        own = {i: set(groups[c]) for i, c in enumerate(comp.tolist())}
+        for i, j in pairs:
+            both = own[i] | own[j]
+            for k in both:
+                own[k] = both
+        return [frozenset(own[i]) for i in range(len(sets))]
+
+    links = [(i, j) for j in range(len(sets)) for i in range(j) if 10 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])]
+    assert set(found) <= set(links) and closed(found) == closed(links) and len(found) < max(2, len(groups))
+
+
 def test_jaccard_odd(spark, odd):
     got = jaccard.jaccard_components(odd)
     assert got.count() == len(ROWS)
@@ -543,6 +720,15 @@ def test_exact(spark, odd, sample):
     assert stay.columns == odd.columns and sorted(r.doc_id or 0 for r in stay.collect()) == [0, 1, 2, 6, 7, 8, 9]
 
 
+def test_exact_with_odd_columns(spark):
+    rows_ = [(1, "a b", {"x": 1}, "p"), (1, "a b", {"x": 0}, "q"), (2, "ab", None, "r"), (3, "c", {}, "s")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, m map<string,int>, `dotted.name` string")
+    stay = dedup.deduplicated(df)
+    assert stay.columns == df.columns and sorted((r.doc_id, r["dotted.name"]) for r in stay.collect()) == [(1, "q"), (3, "s")]
+    flat = df.select(F.col("doc_id").alias("an.id"), F.col("text").alias("a.text"))
+    assert sorted(r[0] for r in dedup.deduplicated(flat, "an.id", "a.text").collect()) == [1, 3]
+
+
 # ---- 10
 
 
@@ -582,29 +768,52 @@ def test_boilerplate_over_the_whole_host(spark, partitions):
     assert all(got[100 + i].text == "a whole page of text that stands twice on its host" and got[100 + i].n_repeated == 0 for i in range(2))
 
 
-def test_boilerplate_in_articles(spark):
+@pytest.mark.parametrize("codes", [pages_.BROADCAST_CODES, 0])
+def test_boilerplate_in_articles(spark, codes):
     line, quote = "read more stories like this one in our weekly letter", "a saying of ten words that just two pages quote"
     table = [(i, f"http://h/{i}", f"<article><p>words of page{i}</p>{f'<p>{quote}</p>' * (i < 2)}<p>{line}</p><p>Share this</p></article>") for i in range(12)]
-    got = {r.page_id: r.text for r in pages_.extract(spark.createDataFrame(table, "page_id long, url string, html string").repartition(4)).collect()}
-    assert got == {i: f"words of page{i}" + f"\n{quote}" * (i < 2) for i in range(12)}
+    table += [(100 + i, f"http://o/{i}", f"<div>{line}</div><div>page{i} has its own words</div>") for i in range(2)]
+    want = {i: f"words of page{i}" + f"\n{quote}" * (i < 2) for i in range(12)} | {100 + i: f"page{i} has its own words" for i in range(2)}
+    df = spark.createDataFrame(table, "page_id long, url string, html string")
+    for partitions in (1, 4, 64):
+        got = {r.page_id: r.text for r in pages_.extract(df.repartition(partitions), broadcast_codes=codes).collect()}
+        assert got == want
+
+
+def test_long_attributes():
+    for n in (500, 50_000):
+        assert pages_.blocks(f'<div class="sidebar" style="{"a" * n}">junk</div><p title="a > b" data=\'"\'>text</p>') == [("chrome", "junk"), ("open", "text")]
 
 
 def test_repeats_against_covered(spark, sf):
+    """Any run that two pages of a host have, removed from all kinds of pages: the same tokens as one suffix array over each host says."""
     table = [r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
-    got = {r.page_id: r.n_repeated for r in Q.op10_main_text(spark, sf).collect()}
+    got = {r.page_id: r.n_repeated for r in pages_.extract(spark.read.parquet(f"{sf}/pages.parquet"), least_pages=2, least_share=0).collect()}
     by_host = {}
     for r in table:
         by_host.setdefault(r.url.split("/")[2].lower(), []).append(r)
+    assert sum(got.values()) > 0
     for rs in by_host.values():
-        streams = [[w for _, t in pages_.blocks(r.html) for w in SPACED.findall(t.translate(LOWER))] for r in rs]
-        names = {w: i for i, w in enumerate(sorted({w for s in streams for w in s}))}
+        parsed = [pages_.content(r.html)[0] for r in rs]
+        words = [[SPACED.findall(t.translate(LOWER)) for t in bs] for bs in parsed]
+        flat = [[w for ws in bs for w in ws] for bs in words]
+        names = {w: i for i, w in enumerate(sorted({w for s in flat for w in s}))}
         first = {}
-        page = np.repeat([first.setdefault(tuple(s), i) for i, s in enumerate(streams)], [len(s) for s in streams])
+        page = np.repeat([first.setdefault(tuple(s), i) for i, s in enumerate(flat)], [len(s) for s in flat])
         order = np.argsort(page, kind="stable")
         hit = np.zeros(len(page), bool)
-        hit[order] = pages_.covered(np.array([names[w] for s in streams for w in s], np.uint64)[order], page[order])
-        off = np.cumsum([0, *map(len, streams)])
-        assert [got[r.page_id] for r in rs] == [int(hit[a:b].sum()) for a, b in zip(off, off[1:], strict=False)]
+        hit[order] = pages_.covered(np.array([names[w] for s in flat for w in s], np.uint64)[order], page[order])
+        seen = {}
+        for bs, s in zip(parsed, flat, strict=True):
+            for t in set(bs):
+                seen.setdefault(t, set()).add(tuple(s))
+        at = 0
+        for r, bs, ws in zip(rs, parsed, words, strict=True):
+            n = 0
+            for t, w in zip(bs, ws, strict=True):
+                n += len(w) if len(w) < pages_.DEPTH and len(seen[t]) > 1 else int(hit[at : at + len(w)].sum())
+                at += len(w)
+            assert got[r.page_id] == n
 
 
 @settings(max_examples=100, deadline=None)
