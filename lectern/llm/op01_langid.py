@@ -2,14 +2,14 @@
 
 A text is the mean of the embeddings of its hashed byte n-grams (2, 3 and 4 bytes, letters lower-cased, everything
 that is no letter read as a space). A linear softmax over that mean gives the label. As the mean and the linear layer
-commute, a trained model is folded into one table of a row of logits per bucket, and a text's logits are the mean of the
-rows of its n-grams: prediction is one pass over all bytes of all texts.
+commute, a model of few labels is folded into one table of a row of logits per bucket, and a text's logits are the mean of the
+rows of its n-grams; with more labels than dimensions the mean embedding is taken and then the linear layer. Prediction is one pass over all
+bytes of all texts.
 
-Training takes a bounded sample of the labelled rows, at most about ``per_label`` per label (chosen by a hash of text, whatever
-the size of the table), and learns from each whole text and from short pieces of it. A fifth of the sample is kept for
-calibration: a temperature by least log loss, and the rejection threshold that at most ``reject_share`` of rightly
-labelled calibration texts fall under. The table sent to the executors has 4 * buckets * labels bytes; labels are at most
-``max_labels``.
+Training takes a bounded sample of the labelled rows, about ``per_label`` distinct texts per label (chosen by a hash of text, so a group of
+copies counts once, whatever its size), and learns from each whole text and from short pieces of it. Every label is learned. A fifth of the
+sample is kept for calibration: a temperature by least log loss, and the rejection threshold that at most ``reject_share`` of rightly
+labelled calibration texts fall under. The table sent to the executors has 4 * buckets * min(labels, width) bytes.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0 and rejected; a null label is never learned from; a
 null id counts as the empty text for the split. Without any labelled row every text is ``und``.
@@ -102,9 +102,11 @@ class LangModel:
     temperature: float
     threshold: float
     bits: int
+    head: np.ndarray | None = None
 
     def predict(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        z = (row_logits(raw, off, self.table, self.bits) + self.bias) / self.temperature
+        z = row_logits(raw, off, self.table, self.bits)
+        z = ((z if self.head is None else z @ self.head.T) + self.bias) / self.temperature
         z = np.exp(z - z.max(1, keepdims=True))
         p = z / z.sum(1, keepdims=True)
         best = p.argmax(1)
@@ -120,8 +122,8 @@ def _features(piece: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.int32), (n / n.sum()).astype(np.float32)
 
 
-def fit(texts: list[bytes], labels: list[str], bits: int = 16, width: int = 16, epochs: int = 4, rate: float = 0.5, seed: int = 11, window: int = 6000, pieces: int = 2, reject_share: float = 0.001) -> LangModel | None:
-    """SGD over whole texts (a random window of a very long one) and short pieces; a fifth calibrates."""
+def fit(texts: list[bytes], labels: list[str], bits: int = 16, width: int = 16, epochs: int = 4, rate: float = 0.5, seed: int = 11, pieces: int = 2, reject_share: float = 0.001) -> LangModel | None:
+    """SGD over whole texts and short pieces of them; a fifth calibrates."""
     names = sorted(set(labels))
     if not names:
         return None
@@ -133,7 +135,7 @@ def fit(texts: list[bytes], labels: list[str], bits: int = 16, width: int = 16,
         raw = np.frombuffer(t, np.uint8)
         spare = int(rng.random() < 0.2)
         for k in range(1 + pieces):
-            size = window if k == 0 else int(rng.integers(12, 80))
+            size = int(rng.integers(12, 80)) if k else len(raw)
             start = int(rng.integers(0, len(raw) - size + 1)) if len(raw) > size else 0
             ids, w = _features(raw[start : start + size], bits)
             if len(ids):
@@ -157,10 +159,10 @@ def fit(texts: list[bytes], labels: list[str], bits: int = 16, width: int = 16,
             bias -= lr * 0.1 * p
             # the mean spreads the gradient thinly over many rows; each row moves by its share of the text
             table[ids] -= (lr * 30 * w)[:, None] * back
-    folded = np.ascontiguousarray(table @ head.T)
+    folded = np.ascontiguousarray(table @ head.T) if len(names) <= width else None
     held = sets[1] or sets[0]
     whole = whole if sets[1] else [True] * len(held)
-    z = np.array([w @ folded[ids] + bias for ids, w, _ in held])
+    z = np.array([(w @ folded[ids] if folded is not None else head @ (w @ table[ids])) + bias for ids, w, _ in held])
     y = np.array([y for *_, y in held])
 
     def probabilities(t: float) -> np.ndarray:
@@ -173,20 +175,19 @@ def fit(texts: list[bytes], labels: list[str], bits: int = 16, width: int = 16,
     right = (p.argmax(1) == y) & np.array(whole)
     floor = 1 / len(names)
     threshold = float(np.quantile(p.max(1)[right], reject_share)) if right.any() else 0.0
-    return LangModel(names, folded, bias, heat, min(threshold, 0.5) if len(names) > 1 else floor, bits)
+    threshold = min(threshold, 0.5) if len(names) > 1 else floor
+    return LangModel(names, table, bias, heat, threshold, bits, head) if folded is None else LangModel(names, folded, bias, heat, threshold, bits)
 
 
-def fit_on(df: DataFrame, learn: Column, text_col: str = "text", label_col: str = "lang", per_label: int = 1500, max_labels: int = 256, **options) -> LangModel | None:
-    """A model from at most about per_label rows of each label among the rows for which ``learn`` holds."""
-    usable = df.filter(learn & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
-    counts = usable.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).collect()
-    if not counts:
+def fit_on(df: DataFrame, learn: Column, text_col: str = "text", label_col: str = "lang", per_label: int = 1500, **options) -> LangModel | None:
+    """A model from about per_label distinct texts of each label among the rows for which ``learn`` holds."""
+    usable = df.filter(learn & F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"), F.xxhash64(text_col).alias("hash"))
+    counts = usable.select("label", "hash").distinct().groupBy("label").count()
+    if not counts.take(1):
         return None
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    bound = F.lit(0)
-    for r in counts:
-        bound = F.when(F.col("label") == r["label"], F.lit(int(min(1.0, per_label / r["count"]) * (1 << 30)))).otherwise(bound)
-    rows = sorted((r["label"], r["text"].encode()) for r in usable.filter(place < bound).collect())
+    place = F.pmod(F.xxhash64("hash"), F.lit(1 << 30))
+    sampled = usable.join(F.broadcast(counts), "label").filter(place < F.least(F.lit(1.0), F.lit(float(per_label)) / F.col("count")) * (1 << 30))
+    rows = sorted((r["label"], r["text"].encode()) for r in sampled.dropDuplicates(["label", "hash"]).select("label", "text").collect())
     return fit([t for _, t in rows], [y for y, _ in rows], **options)
 
 
