@@ -15,6 +15,7 @@ row, an empty table gives an empty result, other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import ahocorasick
 import pyarrow as pa
@@ -91,15 +92,17 @@ def normalise(text: bytes) -> bytes:
 
 
 def phrase_places(norm: bytes, phrases: list[tuple[bytes, str]]) -> list[tuple[str, int]]:
+    """Label and first word of each place, in time linear in the text for each phrase."""
     found, padded = [], b""
     for phrase, label in phrases:
         if norm.find(phrase) < 0:
             continue
         padded = padded or b" " + norm + b" "
-        at = padded.find(b" " + phrase + b" ")
+        at, word, last = padded.find(b" " + phrase + b" "), 0, 0
         while at >= 0:
-            found.append((label, padded.count(b" ", 0, at)))
-            at = padded.find(b" " + phrase + b" ", at + 1)
+            word += padded.count(b" ", last, at)
+            found.append((label, word))
+            last, at = at, padded.find(b" " + phrase + b" ", at + 1)
     return sorted(found, key=lambda x: (x[1], x[0]))
 
 
@@ -123,28 +126,36 @@ def notice_matches(norm: bytes, seeds: ahocorasick.Automaton) -> list[tuple[Noti
                 a, b = lo + len(window[: m.start()].encode()), lo + len(window[: m.end()].encode())
                 out.add((notice, a, b, sum(m.fuzzy_counts)))
                 parts += [(x, y) for x, y in ((at, m.start()), (m.end(), to)) if y - x >= notice.least]
-    best: list = []
+    # spans that stay never overlap, so in order of their starts only the neighbours of a new one can touch it
+    starts, best = [], []
     for x in sorted(out, key=lambda x: (x[3], x[1] - x[2], x[1], x[0].label)):
-        if all(x[2] <= y[1] or y[2] <= x[1] for y in best):
-            best.append(x)
+        k = bisect_left(starts, x[1])
+        if (k == 0 or best[k - 1][2] <= x[1]) and (k == len(best) or x[2] <= best[k][1]):
+            starts.insert(k, x[1])
+            best.insert(k, x)
     return best
 
 
 def _spans(raw: bytes, norm: bytes, matches: list) -> list[dict]:
-    """Matches as spans of code points of the original text, whole words."""
-    firsts = [norm.count(b" ", 0, a + (norm[a : a + 1] == b" ")) for _, a, _, _ in matches]
-    lasts = [norm.count(b" ", 0, max(b - 1, a)) for _, a, b, _ in matches]
-    wanted = {*firsts, *lasts}
-    top, places = max(wanted), {}
+    """Matches, in order and apart from each other, as spans of code points of the original text, whole words. Each text is read once."""
+    edges, done, word = [], 0, 0
+    for _, a, b, _ in matches:
+        for at in (a + (norm[a : a + 1] == b" "), max(b - 1, a)):
+            word += norm.count(b" ", done, at) if at >= done else -norm.count(b" ", at, done)
+            done = at
+            edges.append(word)
+    wanted, places = set(edges), {}
+    top = max(wanted)
     for i, m in enumerate(_RAW_WORD.finditer(raw)):
         if i in wanted:
             places[i] = m.span()
         if i >= top:
             break
-    out = []
-    for (notice, *_, edits), f, last in zip(matches, firsts, lasts, strict=True):
+    out, seen, before = [], 0, 0
+    for (notice, *_, edits), f, last in zip(matches, edges[::2], edges[1::2], strict=True):
         a, b = places[f][0], places[max(f, last)][1]
-        before = len(raw[:a].decode("utf-8", "ignore"))
+        before += len(raw[seen:a].decode("utf-8", "ignore")) if a >= seen else -len(raw[a:seen].decode("utf-8", "ignore"))
+        seen = a
         text = raw[a:b].decode("utf-8", "ignore")
         out.append({"label": notice.label, "start": before, "end": before + len(text), "word": f, "edits": edits, "confidence": 1 - edits / notice.size, "text": text})
     return sorted(out, key=lambda x: (x["start"], x["label"], x["end"]))
