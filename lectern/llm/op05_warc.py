@@ -1,32 +1,40 @@
 """Legacy archive converter: ARC files of version 1 and 2 become WARC 1.1 files.
 
-``arc_files`` packs pages into ARC files (a version block, then records with the header line of their version).
-``parse_arc`` reads them: the version block names the header fields, each record line is parsed by its version, and the
-declared length alone says where a record ends. ``convert`` makes the equivalent WARC records: identifiers
+``read_arcs`` takes ARC files from a folder, plain or gzipped as a whole or record by record; ``arc_files`` packs pages into such files (a version
+block, then records with the header line of their version). ``parse_arc`` reads them: the version block names the header fields, each record
+line is parsed by its version, and the declared length alone says where a record ends. ``convert`` makes the equivalent WARC records: identifiers
 (UUIDs of digest and page, so that reruns and retried tasks give the same ones), ISO timestamps, types, block and payload
-digests. ``add_revisits`` decides which records repeat an equal payload; ``write_warc`` writes gzipped WARC files to a shared
-folder with Spark's own committer, and ``read_warc`` reads them back, checking each payload against its digest.
+digests. ``add_revisits`` decides which records repeat an equal payload; ``write_warc`` writes WARC files to a shared
+folder, each record a gzip member of its own, and ``read_warc`` reads any such files back, checking each payload against its digest.
+
+Files are written under names of their own by each attempt of a task; the commit on the driver removes those of attempts that failed.
+A file is read as a whole by one task, so files are kept to ``FILE_BYTES`` of payload (one record at least), and those of others must be under 2 GB.
 
 Equal payloads are found by SHA-1 and length over small rows (id, digest, length), aggregated on the map side, so a
 group of copies of any size costs one row per task; payloads are shuffled once, by a key that is unique per page.
 
 Nulls: a null payload is empty; a null url is written as ``urn:unknown``; a null id stays null, and never becomes the record others
 refer to while another id has the same payload. Repeated ids with equal payloads are all responses if the id is the largest.
-An empty table gives an empty archive and no rows. A damaged ARC line is skipped up to the next line that parses.
+An empty table gives an empty archive and no rows. A damaged ARC line is skipped up to the next line that parses. Ids must be integers
+(TypeError else).
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from .textkit import shared_dir
 
@@ -36,7 +44,7 @@ ARC_FIELDS = {
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
 }
 SEGMENT = 4 << 20
-RECORDS_PER_FILE = 4000
+FILE_BYTES = 16 << 20
 LEAST_BYTES = 1000
 _BLANK = re.compile(r"[\x00-\x20\x7f]")
 _END = b"\r\n\r\n"
@@ -92,9 +100,38 @@ def arc_files(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", t
         if out:
             yield flush()
 
+    if pages.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must be an integer column")
     return pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(text_col).cast("binary")).mapInArrow(run, "name string, content binary")
 
 
+def members(raw: bytes, limit: int = 1 << 16) -> Iterator[bytes]:
+    """The contents of gzip members that follow each other, or the bytes as they are. A cut last member is read as far as it goes."""
+    if raw[:2] != b"\x1f\x8b":
+        yield raw
+        return
+    view, at = memoryview(raw), 0
+    while at < len(raw) and raw[at : at + 2] == b"\x1f\x8b":
+        engine, parts = zlib.decompressobj(31), []
+        while not engine.eof and at < len(raw):
+            piece = view[at : at + limit]
+            parts.append(engine.decompress(piece))
+            at += len(piece) - len(engine.unused_data)
+        yield b"".join(parts)
+
+
+def read_arcs(spark: SparkSession, path: str) -> DataFrame:
+    """name and content of the .arc and .arc.gz files below a path."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{arc,arc.gz}").load(path)
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(members(content.as_buffer().to_pybytes()))], pa.binary())], names=["name", "content"])
+
+    return rows.select(F.regexp_extract("path", "([^/]+)$", 1), "content").mapInArrow(run, "name string, content binary")
+
+
 def parse_arc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and body of each record after the version block."""
     fields, at, end = ARC_FIELDS[1], 0, len(content)
@@ -133,6 +170,7 @@ def iso_date(arc: str) -> str:
 
 _ROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("kind", pa.string()), ("head", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
 _ID = re.compile(rb"\r\nX-Page-Id: (-?[0-9]+)\r\n")
+_LENGTH = re.compile(rb"\r\nContent-Length: ([0-9]+)")
 
 
 def convert(arcs: DataFrame) -> DataFrame:
@@ -192,10 +230,68 @@ def warc_records(records: DataFrame) -> DataFrame:
     return records.mapInArrow(run, "record binary")
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    files: list[str]
+
+
+def _files(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path) if ":" in path else f"file://{path}")
+
+
+class WarcWriter(DataSourceArrowWriter):
+    """Writes the bytes of records, each as a gzip member with the blank lines that end it."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        system, folder = _files(self.path)
+        system.create_dir(folder)
+        names, out, size = [], None, 0
+        for batch in batches:
+            for record in batch.column(0):
+                raw = record.as_buffer().to_pybytes()
+                if out is not None and size + len(raw) > FILE_BYTES:
+                    out.close()
+                    out = None
+                if out is None:
+                    names.append(f"part-{uuid.uuid4().hex}.warc.gz")
+                    out, size = system.open_output_stream(f"{folder}/{names[-1]}", compression=None), 0
+                out.write(gzip.compress(raw + _END, 6, mtime=0))
+                size += len(raw)
+        if out is not None:
+            out.close()
+        return Written(names)
+
+    def commit(self, messages: list) -> None:
+        system, folder = _files(self.path)
+        system.create_dir(folder)
+        kept = {name for m in messages if m is not None for name in m.files}
+        for info in system.get_file_info(fs.FileSelector(folder)):
+            if info.is_file and info.base_name.endswith(".warc.gz") and info.base_name not in kept:
+                system.delete_file(info.path)
+        system.open_output_stream(f"{folder}/_SUCCESS", compression=None).close()
+
+    def abort(self, messages: list) -> None:
+        system, folder = _files(self.path)
+        system.delete_dir(folder)
+
+
+class WarcSink(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "lectern_warc"
+
+    def writer(self, schema, overwrite: bool) -> WarcWriter:
+        return WarcWriter(self.options["path"])
+
+
 def write_warc(records: DataFrame, path: str) -> None:
-    """Gzipped WARC files. Spark's text writer copies the bytes; its line separator is the end of a WARC record."""
-    rows = warc_records(records).select(F.col("record").cast("string").alias("value"))
-    rows.write.option("lineSep", _END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """WARC files in a new folder."""
+    spark = records.sparkSession
+    spark.dataSource.register(WarcSink)
+    warc_records(records).write.format(WarcSink.name()).mode("append").option("path", path).save()
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -223,29 +319,31 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
             for content in batch.column(0):
                 rows = []
                 raw = content.as_buffer().to_pybytes()
-                for head, block in parse_warc(zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw):
-                    if head["WARC-Type"] == "warcinfo":
+                for head, block in (x for part in members(raw) for x in parse_warc(part)):
+                    if head["WARC-Type"] not in ("response", "resource", "revisit"):
                         continue
-                    if head["WARC-Block-Digest"] != sha1_base32(block):
+                    if head.get("WARC-Block-Digest", sha1_base32(block)) != sha1_base32(block):
                         raise ValueError(f"{head['WARC-Record-ID']}: block digest differs")
                     cut = block.find(_END) + 4 if block.startswith(b"HTTP/") else 0
                     m = _ID.search(block, 0, cut)
                     revisit = head["WARC-Type"] == "revisit"
                     if revisit:
-                        size, payload = int(re.search(rb"\r\nContent-Length: ([0-9]+)", block)[1]), None
+                        length = _LENGTH.search(block)
+                        size, payload = int(length[1]) if length else None, None
                     else:
                         payload = block[cut:]
                         size = len(payload)
-                        if head["WARC-Payload-Digest"] != sha1_base32(payload):
+                        if head.get("WARC-Payload-Digest", sha1_base32(payload)) != sha1_base32(payload):
                             raise ValueError(f"{head['WARC-Record-ID']}: payload digest differs")
-                    digest = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                    target = int(head["WARC-Refers-To-Page"]) if revisit else None
-                    rows.append((int(m[1]) if m else None, head["WARC-Target-URI"], head["WARC-Date"], size, digest, head["WARC-Type"], target, *[payload] * with_payload))
+                    named = head.get("WARC-Payload-Digest") or (None if payload is None else sha1_base32(payload))
+                    digest = named and base64.b32decode(named.removeprefix("sha1:")).hex()
+                    target = int(head["WARC-Refers-To-Page"]) if "WARC-Refers-To-Page" in head else None
+                    rows.append((int(m[1]) if m else None, head.get("WARC-Target-URI"), head.get("WARC-Date"), size, digest, head["WARC-Type"], target, *[payload] * with_payload))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     schema = "page_id long, url string, date string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{warc,gz}").load(path).select("content").mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
