@@ -38,7 +38,10 @@ _LOOSE = {
     "national_id": re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"),
     "secret": re.compile(r"(?<![A-Za-z0-9/+_-])[A-Za-z0-9/+_-]{16,}+={0,2}(?![A-Za-z0-9/+_-])"),
 }
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,64}(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z]{2,20}){1,3}")
+_SPELLED = re.compile(r" ?[A-Za-z0-9-]++(?:(?: ?(?:\(dot\)|\[dot\]) ?| dot |\.)[A-Za-z]{2,20}(?![A-Za-z0-9]))+")
+#: Signs that stand for an @, and endings of addresses.
+_AT = ("(at)", "[at]", " at ")
+_ENDINGS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "it", "nl", "eu", "uk", "ch", "at")
 #: Words near a span that speak for a kind.
 _CUES = {
     "iban": ("iban", "account", "bank", "konto"),
@@ -118,12 +121,17 @@ def candidates(t: str) -> list[tuple[str, int, int]]:
     for kind, pattern in _LOOSE.items():
         if digits or kind == "secret":
             out += [(kind, *m.span()) for m in pattern.finditer(t)]
-    for word in ("(dot)", "[dot]", " dot ", "(at)", "[at]"):
-        at = t.find(word)
+    for sign in _AT:
+        at = t.find(sign)
         while at >= 0:
-            lo = max(0, at - 200)
-            out += [("spelled_email", lo + m.start(), lo + m.end()) for m in _SPELLED.finditer(t[lo : at + 200]) if m.start() <= at - lo < m.end()]
-            at = t.find(word, at + 1)
+            # the local part is a whole run before the sign, the domain follows it
+            b = at - (sign != " at " and t[at - 1 : at] == " ")
+            a = b
+            while a > 0 and t[a - 1] in _LOCAL_SET:
+                a -= 1
+            if a < b and (m := _SPELLED.match(t, at + len(sign) - (sign == " at "))):
+                out.append(("spelled_email", a, m.end()))
+            at = t.find(sign, at + 1)
     return list(dict.fromkeys(out))
 
 
@@ -143,6 +151,7 @@ def features(t: str, kind: str, a: int, b: int) -> list[float]:
     return [
         MORE.index(kind), n, digits / n, upper / n, lower / n, len(set(s)) / n, changes / n, run / n, float(valid),
         float(any(c in before for c in _CUES[kind])), float(any(c in before[-14:] for c in _CUES[kind])), float(before[-1:] in ("=", ":", '"', "'")), float(after[:1] in ('"', "'")),
+        float(s.lower().endswith(_ENDINGS)), float(re.fullmatch(r"\(?[2-9][0-9]{2}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}", s) is not None), float(before[-1:] not in ("", " ", "\n")),
         float(any(c in s.lower() for c in _CUES[kind])), sum(c in "-_/+. " for c in s) / n, float("(" in s or "[" in s), float(s.startswith(("AKIA", "ghp_", "sk-", "sk_", "xox"))), float(re.fullmatch("[0-9a-f]+", s) is not None),
     ]
 
@@ -227,20 +236,26 @@ def examples(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
         if kind == "iban":
             s = iban(good)
         elif kind == "local_phone":
-            a, b, c = pick(digits, 3), pick(digits, 3), pick(digits, 4)
-            s = [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a} {b} {c}", f"{a}.{b}.{c}"][int(rng.integers(4))]
-            cue = cue if cue else ("tel " if good and s[0] != "(" else "")
+            a, b, c = str(rng.integers(2, 10)) + pick(digits, 2), pick(digits, 3), pick(digits, 4)
+            if good:
+                s = [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a} {b} {c}", f"{a}.{b}.{c}"][int(rng.integers(4))]
+            else:  # tables of numbers, dates, parts of longer numbers
+                s = [f"{rng.integers(10, 100)} {b} {pick(digits, 3)}", f"{rng.integers(1000, 10000)}-{b}-{pick(digits, 3)}", f"{rng.integers(10, 100)}.{b}.{pick(digits, 3)}", f"{rng.integers(10000, 99999)} {c} {pick(digits, 4)}"][int(rng.integers(4))]
         elif kind == "national_id":
             s = f"{int(rng.integers(1, 899)):03d}-{int(rng.integers(1, 99)):02d}-{int(rng.integers(1, 9999)):04d}" if good else f"{rng.choice(['000', '666', '9' + pick(digits, 2)])}-{pick(digits, 2)}-{pick(digits, 4)}"
         elif kind == "secret":
             if good:
-                s = [pick(hexa, int(rng.integers(16, 48))), pick(alnum, int(rng.integers(18, 48))), "AKIA" + pick(digits + "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 16)][int(rng.integers(3))]
+                letters = "".join(x + y for x, y in zip(pick(lower.upper(), 12), pick(lower, 12), strict=True))
+                s = [pick(hexa, int(rng.integers(16, 48))), pick(alnum, int(rng.integers(18, 48))), "AKIA" + pick(digits + "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 16), letters][int(rng.integers(4))]
                 cue = cue or ("" if s.startswith("AKIA") else str(rng.choice(["token = \"", "password=", "secret: ", "key="])))
             else:
                 s = [f"{word()}-{word()}-{word()}-{pick(digits, 4)}", f"{word()}/{word()}/{pick(digits, 4)}/{word()}x", pick(digits, int(rng.integers(16, 30))), f"{word()}{word()}{word()}{word()}{pick(digits, 1)}"][int(rng.integers(4))]
         else:
-            s = f"{word()}.{word()} (at) {word()} (dot) com" if good and rng.random() < 0.5 else f"{word()} at {word()} dot org" if good else f"{word()} at {word()} dot {word()}"
-            cue = cue or ("mail " if good and " at " in s else "")
+            end = str(rng.choice(_ENDINGS))
+            if good:
+                s = [f"{word()}.{word()} (at) {word()} (dot) {end}", f"{word()}[at]{word()}.{end}", f"{word()} at {word()} dot {end}", f"{word()} at {word()}.{end}"][int(rng.integers(4))]
+            else:  # prose, files, sentences that run on
+                s = [f"{word()} at {word()} dot {word()}", f"{word()} at {word()}.{rng.choice(['txt', 'py', 'html', 'pdf', 'js', 'md'])}", f"{word()} at {word()}.{word()}"][int(rng.integers(3))]
         head = " ".join(word() for _ in range(int(rng.integers(0, 6))))
         text = f"{head} {cue}{s}{'\"' if cue.endswith('\"') else ''} {word()} {word()}"
         at = text.index(s, len(head))
