@@ -7,13 +7,14 @@ points, then the smallest identifier, stays.
 * The splitters are keys of at most 64 characters and a digest, so what Spark samples and broadcasts for them stays
   small; the sort then goes on to the full text, so rows are equal only if their full normalised texts are.
 * A text that holds a large share of all rows would fill one range. As in a sample sort with equality buckets, texts
-  that occur repeatedly in a bounded sample go to a bucket of their own, where they are counted by a hash aggregate that
-  combines on the map side (it too compares full texts). At most ``sample_rows / heavy_hits`` such texts exist,
-  so their digests are broadcast: 100 bytes each, under half a megabyte.
+  that occur repeatedly in a sample go to a bucket of their own, where they are counted by a hash aggregate that
+  combines on the map side (it too compares full texts). The sample grows with the number of ranges (``ROWS_PER_RANGE`` each, ``SAMPLE_ROWS`` at
+  least), so a text that would fill a quarter of a range is found; at most ``sample / heavy_hits`` such texts exist, and their digests
+  are broadcast: 100 bytes each. The list is written once and read by both paths, so they agree whatever rows the sample held.
 
 Nulls: a null text counts as empty, all empty texts are one group; a null id sorts after every other one.
 Repeated rows (same text and id) are members of the group; all rows with the id that stays are kept.
-An empty table gives an empty result. Other columns are ignored.
+An empty table gives an empty result. Other columns are ignored, whatever their types and names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .textkit import written
+
 WHITE = " \t\n\x0b\x0c\r"
+SAMPLE_ROWS, ROWS_PER_RANGE = 20_000, 32
+
+
+def quoted(name: str):
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def normalised(text):
@@ -30,26 +39,24 @@ def normalised(text):
 
 
 def heavy_digests(rows: DataFrame, sample_rows: int, heavy_hits: int) -> DataFrame:
-    """Digests of the texts that fill at least heavy_hits of about sample_rows rows chosen by a hash of id and place."""
-    total = rows.count()
-    share = min(1.0, sample_rows / max(total, 1))
+    """Digests of the texts that fill at least heavy_hits of about sample_rows rows, written."""
+    share = min(1.0, sample_rows / max(rows.count(), 1))
     sampled = rows if share == 1.0 else rows.sample(False, share, seed=7)
-    return sampled.select(F.sha2(normalised(F.col("_text")), 256).alias("h_sha")).groupBy("h_sha").count().filter(F.col("count") >= heavy_hits).select("h_sha")
+    return written(sampled.select(F.sha2(normalised(F.col("_text")), 256).alias("h_sha")).groupBy("h_sha").count().filter(F.col("count") >= heavy_hits).select("h_sha"), "heavy")
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000, heavy_hits: int = 8, partitions: int | None = None) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int | None = None, heavy_hits: int = 8, partitions: int | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     sample_rows and heavy_hits only choose the path of a text, never its result.
     """
-    spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    heavy = heavy_digests(rows, sample_rows, heavy_hits)
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("_text"))
+    heavy = heavy_digests(rows, sample_rows or max(SAMPLE_ROWS, ROWS_PER_RANGE * parts), heavy_hits)
     norm = normalised(F.col("_text"))
     keyed = rows.select("doc_id", F.char_length(F.coalesce("_text", F.lit(""))).cast("long").alias("n"), norm.alias("norm")).withColumn("sha", F.sha2("norm", 256))
     marked = keyed.join(F.broadcast(heavy), F.col("sha") == F.col("h_sha"), "left")
 
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     light = marked.filter("h_sha is null").select("doc_id", "n", "norm", "sha", F.substring("norm", 1, 64).alias("head"))
     light = light.repartitionByRange(parts, "head", "sha")
     run = W.partitionBy("head", "sha", "norm")
@@ -66,12 +73,19 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows that stay, with all their columns; of repeated rows that stay, the one first in its other columns."""
-    stay = exact_dedup(df, id_col, text_col, **options).filter("kept").select(F.col("doc_id").alias("__stay_id"), F.col("text_sha256").alias("__stay_sha")).distinct()
-    rows = df.withColumn("__norm_sha", F.sha2(normalised(F.col(text_col)), 256))
-    rows = rows.join(stay, F.col(id_col).eqNullSafe(F.col("__stay_id")) & (F.col("__norm_sha") == F.col("__stay_sha")), "left_semi")
-    others = [F.length(text_col).desc(), *[F.col(c).asc_nulls_last() for c in df.columns]]
-    return rows.withColumn("__place", F.row_number().over(W.partitionBy(id_col, "__norm_sha").orderBy(*others))).filter("__place = 1").select(*df.columns)
+    """The rows that stay, with all their columns; of repeated rows that stay, the one first in its other columns.
+
+    Only ids that repeat within their group need the last comparison, so only their rows are shuffled for it.
+    """
+    stay = exact_dedup(df, id_col, text_col, **options).filter("kept").groupBy(F.col("doc_id").alias("__stay_id"), F.col("text_sha256").alias("__stay_sha")).agg(F.count(F.lit(1)).alias("__members"))
+    rows = df.withColumn("__norm_sha", F.sha2(normalised(quoted(text_col)), 256))
+    rows = rows.join(stay, quoted(id_col).eqNullSafe(F.col("__stay_id")) & (F.col("__norm_sha") == F.col("__stay_sha")))
+    names = [quoted(c) for c in df.columns]
+    once, more = rows.filter("__members = 1").select(*names), rows.filter("__members > 1")
+    # maps have no order of their own
+    order = [F.length(quoted(text_col)).desc(), *[(F.to_json(F.struct(quoted(c))) if "map<" in t or t == "variant" else quoted(c)).asc_nulls_last() for c, t in df.dtypes]]
+    more = more.withColumn("__place", F.row_number().over(W.partitionBy(quoted(id_col), "__norm_sha").orderBy(*order))).filter("__place = 1").select(*names)
+    return once.unionByName(more)
 
 
 ORACLE = r"""
