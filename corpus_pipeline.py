@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import op01_langid, op02_decontaminate, op06_jaccard, op07_mixing, op09_exact_dedup
-from lectern.llm.textkit import read, written
+from lectern.llm.textkit import Sweep, forget, read, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +57,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with Sweep(spark) as sweep:
+            before, docs = docs, sweep.keep(written(stage(spark, docs, sf_dir), name))
+        forget(before)
     return docs
