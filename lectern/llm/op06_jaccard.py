@@ -15,8 +15,9 @@ at least num/den; ``component_id`` is the smallest id reachable over links.
 4. A parity bitmap per class bounds the overlap from above: the bits in which two bitmaps differ are at most the
    size of the symmetric difference. A block gives back, for each class that may link with one of another component, the likeliest
    such partner: rows, not pairs. These partners are intersected exactly, on sorted arrays made from the texts, and join up most of what belongs
-   together. The classes that were given back then meet again in the same blocks, those still of one component left out, with their sorted
-   arrays: all pairs of different components are intersected, and a block gives the links that join components, fewer than it has classes.
+   together. The rows that were given back meet again in the same blocks, with bitmaps of ``FINE`` bits a hash. What still may link across
+   components then meets with its sorted arrays: all pairs of different components are intersected, and a block gives the links that join
+   components, fewer than it has classes.
 5. Links become components by alternating large-star and small-star steps, each written to the shared folder. Nodes, hashes and tiles with
    a large share of all rows are joined by a broadcast of these few (at most ``HUBS``), so none fills a task.
 
@@ -45,6 +46,8 @@ BROADCAST_ROWS = 200_000
 HUBS = 20_000
 #: hashes that a task holds at a time to count frequent ones, and those of one block of a tile
 HELD, CELLS = 1 << 21, 1 << 21
+#: bits a hash of the second bitmaps
+FINE = 8
 
 
 def sets(batch: pa.RecordBatch, n: int):
@@ -61,10 +64,10 @@ def digest(hashes: np.ndarray) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
-def bitmap(hashes: np.ndarray) -> bytes:
-    """Parity of the number of hashes at each of 256 or more bits, as many as hashes at least: unlike sets then differ in about half of them, far more than linked ones may."""
+def bitmap(hashes: np.ndarray, per: int = 1) -> bytes:
+    """Parity of the number of hashes at each of 256 or more bits, ``per`` a hash at least: unlike sets then differ in about half of them, far more than linked ones may."""
     bits = LEAST_BITS
-    while bits < len(hashes):
+    while bits < per * len(hashes):
         bits *= 2
     place = ((hashes >> np.uint64(17)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits(np.bincount(place, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
@@ -184,6 +187,17 @@ def arrays(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int) -> Da
     return texts.mapInArrow(run, "cid long, hashes binary")
 
 
+def fine_bitmaps(held: DataFrame) -> DataFrame:
+    """cid and bits of sorted hashes."""
+
+    def run(batches):
+        for batch in batches:
+            raw, off = buffers(batch.column("hashes"))
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([bitmap(raw[a:b].view(np.uint64), FINE) for a, b in zip(off, off[1:], strict=False)], pa.binary())], names=["cid", "bits"])
+
+    return held.mapInArrow(run, "cid long, bits binary")
+
+
 def exact_links(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets link."""
 
@@ -349,6 +363,12 @@ def links_within(hashes: list[np.ndarray], comp: np.ndarray, allowed, num: int,
     return out
 
 
+def _several(rows: DataFrame) -> DataFrame:
+    """The rows of blocks that hold more than one component."""
+    blocks = rows.groupBy(*_BLOCK).agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select(*_BLOCK)
+    return rows.join(blocks, list(_BLOCK))
+
+
 def _exact_in_blocks(rows: DataFrame, held: DataFrame, num: int, den: int, spark: SparkSession) -> DataFrame:
     """Links (a, b) of the rows' blocks that join different components."""
 
@@ -363,8 +383,7 @@ def _exact_in_blocks(rows: DataFrame, held: DataFrame, num: int, den: int, spark
                 a, b = (cid[list(z)] for z in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    several = rows.groupBy(*_BLOCK).agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 < c2").select(*_BLOCK)
-    return _by_block(rows.join(several, list(_BLOCK)).join(held, "cid"), work, "a long, b long", spark)
+    return _by_block(_several(rows).join(held, "cid"), work, "a long, b long", spark)
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, num: int = 90, den: int = 100, heavy_limit: int = 1 << 18, block: int = 1024) -> DataFrame:
@@ -373,12 +392,17 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     made = written(features(docs, n, num, den, frequent(docs, n, heavy_limit)), "shingles")
     classes = made.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("k"))
-    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    whole = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    full, made = made, written(made.select("doc_id", "n", "d1", "d2"), "documents")
+    forget(full)
 
+    classes = whole
     spread = classes.select(F.explode("prefix").alias("token"), "cid", "n")
     shared = spread.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     size = classes.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     rows = written(beside(spread, shared, ["token"], size).select("token", "cid", "n", _bands(F.col("n"), num, den).alias("band")), "tokens")
+    classes = written(whole.drop("prefix"), "classes")
+    forget(whole)
 
     ends = rows.groupBy("token", "band").agg(F.min("cid").alias("first"), F.max("cid").alias("last"), F.count(F.lit(1)).alias("k")).filter("first < last")
     stars = beside(rows, ends, ["token", "band"], size).select("cid", F.explode(F.array("first", "last")).alias("lead")).filter("cid <> lead").select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
@@ -407,16 +431,21 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     others = found.select("cid").distinct().join(held.select("cid"), "cid", "left_anti")
     more = written(arrays(docs, classes, others, n), "sets")
     first, held = held, held.unionByName(more)
-    partners = found.select(F.least("cid", "partner").alias("a"), F.greatest("cid", "partner").alias("b")).distinct()
-    labels = joined(labels, exact_links(partners, held, num, den))
-    labels = joined(labels, _exact_in_blocks(_apart(found.drop("partner"), labels), held, num, den, spark))
-    forget(found, first, more)
+    partners = lambda df: df.select(F.least("cid", "partner").alias("a"), F.greatest("cid", "partner").alias("b")).distinct()
+    labels = joined(labels, exact_links(partners(found), held, num, den))
+    again = _several(_apart(found.drop("partner"), labels))
+    wanted = again.select("cid").distinct()
+    close = written(_candidates(again, fine_bitmaps(held.join(wanted, "cid", "left_semi")).dropDuplicates(["cid"]), num, den, spark), "candidates")
+    forget(found)
+    labels = joined(labels, exact_links(partners(close), held, num, den))
+    labels = joined(labels, _exact_in_blocks(_apart(close.drop("partner"), labels), held, num, den, spark))
+    forget(close, first, more)
 
     named = classes.select("cid", "d1", "d2", "rep", "k").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("k"))
     result = beside(named.withColumnRenamed("k", "copies"), smallest, ["label"], classes.count()).select("d1", "d2", "component_id", F.col("copies").alias("k"))
-    full = made.filter("n > 0").select("doc_id", "n", "d1", "d2")
-    out = beside(full, result, ["d1", "d2"], full.count()).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    rows = made.filter("n > 0")
+    out = beside(rows, result, ["d1", "d2"], rows.count()).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     empty = made.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(empty)
 
