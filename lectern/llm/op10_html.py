@@ -41,6 +41,8 @@ LEAST_PAGES, LEAST_SHARE = 5, 0.5
 #: Bytes of HTML read at a time, and to a bucket of suffixes.
 SLICE, BUCKET = 8 << 20, 32 << 20
 BROADCAST_CODES = 1 << 20
+#: Codes have 48 bits: they need to tell the windows of one host apart, as runs are told apart by host too.
+KEPT = np.uint64(0xFFFFFFFFFFFF0000)
 
 #: Elements and attribute words.
 RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "audio", "video", "canvas", "select")
@@ -213,10 +215,10 @@ def streams(pages: list[str], site: np.ndarray) -> Streams:
         of = np.repeat(np.arange(len(pages)), np.diff(first))
         whole = (size >= DEPTH)[of]
         at = np.arange(len(run)) - first[of] + per_page[of]
-        code = mix(mix(run) ^ site[of])
+        code = mix(mix(run) ^ site[of]) & KEPT
     block = np.flatnonzero(np.diff(per_block) < DEPTH)
     owner = np.searchsorted(first_block, block, "right") - 1
-    short = np.array([_code(texts[k], site[p]) for k, p in zip(block.tolist(), owner.tolist(), strict=True)], np.uint64)
+    short = np.array([_code(texts[k], site[p]) for k, p in zip(block.tolist(), owner.tolist(), strict=True)], np.uint64) & KEPT
     return Streams(texts, first_block, np.array([o for _, o in parsed], bool), site, key, per_block, (code[whole], of[whole], at[whole]), (short, owner, block))
 
 
@@ -259,7 +261,7 @@ def _sorted_suffixes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
         key, site, kind = np.frombuffer(raw, np.uint64, k, at), np.frombuffer(raw, np.uint64, k, at + 8 * k), np.frombuffer(raw, np.uint8, k, at + 16 * k)
         parts.append((np.cumsum(_whole(raw, np.uint64, n, 16), dtype=np.uint64), key[number], site[number], kind[number].astype(bool)))
     code, key, site, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((kind, key, code))
+    order = np.lexsort((kind, key, site, code))
     code, key, site, kind = code[order], key[order], site[order], kind[order]
     new = np.ones(len(code), bool)
     new[1:] = (code[1:] != code[:-1]) | (key[1:] != key[:-1])
@@ -268,7 +270,7 @@ def _sorted_suffixes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def runs(code: np.ndarray, site: np.ndarray, kind: np.ndarray, least_pages: int):
     """code, host, number of pages and whether one has no article, of each run that may be boilerplate or counts a host's pages."""
-    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (site[1:] != site[:-1])])) if len(code) else np.zeros(0, np.int64)
     n = np.diff(np.append(first, len(code)))
     any_open = np.add.reduceat(kind.astype(np.int64), first) > 0 if len(first) else np.zeros(0, bool)
     code, site = code[first], site[first]
