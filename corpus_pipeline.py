@@ -8,7 +8,8 @@ stay with the columns of ``documents``; the last returns the sampled documents w
 * exact_dedup: of texts equal but for white space one stays.
 * near_dedup: sets of five-word shingles with a similarity of 0.8 or more link; of each component the document with the smallest id stays.
 * decontamination: a text that holds a benchmark item, or a paraphrase of one, goes.
-* mixing: weights are raked to tempered shares of sources, languages and topics, and documents sampled.
+* mixing: weights are raked to tempered shares of sources, languages and topics, and documents sampled; they get topic, tokens, chance and
+  weight beside the columns of ``documents``. A null source or language reads ``(none)`` then.
 
 Empty input: every stage returns no rows. Nulls are handled as the operators state.
 """
@@ -22,6 +23,10 @@ from lectern.llm import op01_langid, op02_decontaminate, op06_jaccard, op07_mixi
 from lectern.llm.textkit import Sweep, forget, read, written
 
 
+#: what the last stage adds to the columns of documents
+MADE = ("topic", "n_tokens", "chance", "weight")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op01_langid.accepted(docs, op01_langid.fit_on(docs, F.lit(True)))
 
@@ -39,7 +44,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op07_mixing.mix(docs).filter("sampled").drop("sampled")
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "source", "lang", *MADE))
+    return op07_mixing.mix(docs, carry=rest).filter("sampled").select(*docs.columns, *[c for c in MADE if c not in docs.columns])
 
 
 STAGES = [

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from .textkit import shared_dir
+from .textkit import shared_dir, written
 
 #: Field names of the header line in each ARC version.
 ARC_FIELDS = {
@@ -194,7 +194,7 @@ def convert(arcs: DataFrame) -> DataFrame:
 
 def add_revisits(records: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """Adds refers_to: of equal payloads of at least ``least`` bytes, the largest page_id is kept and others refer to it."""
-    small = records.select("page_id", "payload_digest", "payload_bytes").filter(F.col("payload_bytes") >= least)
+    small = written(records.select("page_id", "payload_digest", "payload_bytes").filter(F.col("payload_bytes") >= least), "payloads")
     groups = small.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 and refers_to is not null").drop("n")
     plan = small.join(groups, ["payload_digest", "payload_bytes"]).filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.coalesce("page_id", F.lit(-1)).alias("p"), F.col("page_id").isNull().alias("none"), F.col("payload_digest").alias("d"), "refers_to").distinct()
     key = (F.coalesce("page_id", F.lit(-1)) == F.col("p")) & (F.col("payload_digest") == F.col("d")) & (F.col("page_id").isNull() == F.col("none"))
@@ -258,7 +258,7 @@ class WarcWriter(DataSourceArrowWriter):
                 if out is None:
                     names.append(f"part-{uuid.uuid4().hex}.warc.gz")
                     out, size = system.open_output_stream(f"{folder}/{names[-1]}", compression=None), 0
-                out.write(gzip.compress(raw + _END, 6, mtime=0))
+                out.write(gzip.compress(raw + _END, 4, mtime=0))
                 size += len(raw)
         if out is not None:
             out.close()

@@ -12,7 +12,8 @@ chances is broadcast up to ``BROADCAST_CELLS`` cells and joined by a shuffle of
 Targets not given are the observed shares to a power (1 keeps them, 0 makes them equal), by margin.
 Nulls: a null or empty text has no tokens and the chance of its cell; a null source or language is ``(none)``; a null id is drawn
 like the empty text. Repeated rows share one draw. An empty table gives an empty result. Other columns are ignored.
-A target for a value without tokens is left out and the others scaled up.
+A target for a value without tokens is left out and the others scaled up. A value that reads ``(none)`` is one with null.
+The margins are raked ``rounds`` times; with a ``tolerance`` for as long as a margin is off by more, up to ``MOST_ROUNDS`` times.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 MARGINS = ("source", "lang", "topic")
 POWERS = {"source": 0.7, "lang": 0.5, "topic": 0.7}
-ROUNDS = 12
+ROUNDS, MOST_ROUNDS = 12, 1000
 RATE = 0.6
 SEED = "mix"
 BROADCAST_CELLS = 100_000
@@ -50,10 +51,17 @@ def draw(id_: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
-    """Weights of the cells (1 on average over tokens) after that many rounds over all margins."""
+def off(mass: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray]) -> float:
+    """The largest difference between a share of a margin and its target."""
+    return max((float(np.abs(np.bincount(code, mass, len(target)) - target).max()) for code, target in zip(codes, targets, strict=True)), default=0.0)
+
+
+def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS, tolerance: float | None = None) -> np.ndarray:
+    """Weights of the cells (1 on average over tokens) after so many rounds over all margins, or as many as the tolerance needs."""
     mass = tokens / tokens.sum()
-    for _ in range(rounds):
+    for done in range(MOST_ROUNDS):
+        if done >= rounds and (tolerance is None or off(mass, codes, targets) <= tolerance):
+            break
         for code, target in zip(codes, targets, strict=True):
             now = np.bincount(code, mass, len(target))
             mass = mass * np.divide(target, now, out=np.zeros_like(target), where=now > 0)[code]
@@ -72,8 +80,8 @@ def factor(tokens: np.ndarray, weights: np.ndarray, rate: float) -> float:
     return hi
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, targets: dict[str, dict[str, float]] | None = None, powers: dict[str, float] = POWERS, rate: float = RATE, rounds: int = ROUNDS, seed: str = SEED, categories: int | None = None) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, chance, weight, sampled of each row."""
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, targets: dict[str, dict[str, float]] | None = None, powers: dict[str, float] = POWERS, rate: float = RATE, rounds: int = ROUNDS, seed: str = SEED, categories: int | None = None, tolerance: float | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, chance, weight, sampled of each row, and the columns to ``carry`` on."""
     spark = df.sparkSession
     none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
     rows = df.select(
@@ -82,7 +90,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         none(lang_col).alias("lang"),
         (none(topic_col) if topic_col else topic_of(F.col(text_col))).alias("topic"),
         tokens_of(F.col(text_col)).alias("n_tokens"),
+        *[F.col(c).alias(f"__carry_{c}") for c in carry],
     )
+    carried = [F.col(f"__carry_{c}").alias(c) for c in carry]
     rest: dict[str, float] = {}
     for m in MARGINS if categories is not None else ():
         top = rows.groupBy(m).agg(F.sum("n_tokens").alias("tokens")).orderBy(F.desc("tokens"), m).limit(categories + 1).collect()
@@ -96,7 +106,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     cells = rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")).orderBy(*MARGINS).toPandas()
     tokens = cells["tokens"].to_numpy(float)
     if not len(cells) or not tokens.sum():
-        return rows.withColumn("chance", F.lit(float(rate))).withColumn("weight", F.lit(1.0)).withColumn("sampled", draw(F.col("doc_id"), seed) < rate)
+        return rows.select("doc_id", *MARGINS, "n_tokens", F.lit(float(rate)).alias("chance"), F.lit(1.0).alias("weight"), (draw(F.col("doc_id"), seed) < rate).alias("sampled"), *carried)
     codes, wanted = [], []
     for m in MARGINS:
         code, names = cells[m].factorize(sort=True)
@@ -109,7 +119,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
             raise ValueError(f"no target of {m} has tokens")
         codes.append(code)
         wanted.append(goal / goal.sum())
-    weights = rake(tokens, codes, wanted, rounds)
+    weights = rake(tokens, codes, wanted, rounds, tolerance)
     f = factor(tokens, weights, rate)
     cells["chance"] = np.where(tokens > 0, np.minimum(1, f * weights), rate)
     cells["weight"] = np.where(tokens > 0, np.maximum(1, f * weights), 1.0)
@@ -117,7 +127,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     if len(cells) <= BROADCAST_CELLS:
         table = F.broadcast(table)
     out = rows.join(table, list(MARGINS))
-    return out.select("doc_id", *MARGINS, "n_tokens", F.round("chance", 9).alias("chance"), F.round("weight", 9).alias("weight"), (draw(F.col("doc_id"), seed) < F.round("chance", 9)).alias("sampled"))
+    return out.select("doc_id", *MARGINS, "n_tokens", F.round("chance", 9).alias("chance"), F.round("weight", 9).alias("weight"), (draw(F.col("doc_id"), seed) < F.round("chance", 9)).alias("sampled"), *carried)
 
 
 def oracle(powers: dict[str, float] = POWERS, rate: float = RATE, rounds: int = ROUNDS, seed: str = SEED) -> str:

@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import shared_dir
+
 CHUNK = 1 << 20
 WHITE = b" \t\n\x0b\x0c\r"
 _ORDER = np.arange(256, dtype=np.uint8)
@@ -176,21 +178,6 @@ def shingles(h: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return acc, out
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all run on this machine."""
-    sc = spark.sparkContext
-    jdir = sc._jsc.sc().getCheckpointDir()
-    if jdir.isDefined():
-        return str(jdir.get())
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        conf = f"file:///tmp/checkpoints/{sc.applicationId}"
-    sc.setCheckpointDir(conf)
-    return str(sc._jsc.sc().getCheckpointDir().get())
-
-
 _folders: list[str] = []
 
 

@@ -8,7 +8,7 @@ from lectern.llm import op01_langid as langid
 from lectern.llm import op07_mixing as mixing
 from pyspark.sql import functions as F
 
-from .test_operators import LOWER, brute_components
+from .test_operators import LOWER, brute_components, odd  # noqa: F401
 
 
 def test_pipeline(spark, sf):
@@ -44,3 +44,14 @@ def test_run_on_nothing(spark, tmp_path, sf):
     for t in ("documents", "benchmark"):
         spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_odd_rows(spark, odd, sf):
+    """Nulls, empty and long texts, repeated rows and columns with clashing names through every stage."""
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, sf)
+        assert out.columns[: len(odd.columns)] == odd.columns, name
+        kept = out.collect()
+        assert len(kept) <= odd.count(), name
+        if name == "exact_dedup":
+            assert len({(r.doc_id, r.text) for r in kept}) == len(kept)
