@@ -12,6 +12,8 @@ points, then the smallest identifier, stays.
   least), so a text that would fill a quarter of a range is found; at most ``sample / heavy_hits`` such texts exist, and their digests
   are broadcast: 100 bytes each. The list is written once and read by both paths, so they agree whatever rows the sample held.
 
+* Normalised texts and their digests are made once and written, as several passes read them.
+
 Nulls: a null text counts as empty, all empty texts are one group; a null id sorts after every other one.
 Repeated rows (same text and id) are members of the group; all rows with the id that stays are kept.
 An empty table gives an empty result. Other columns are ignored, whatever their types and names.
@@ -38,11 +40,11 @@ def normalised(text):
     return F.translate(F.coalesce(text, F.lit("")), WHITE, "")
 
 
-def heavy_digests(rows: DataFrame, sample_rows: int, heavy_hits: int) -> DataFrame:
+def heavy_digests(keyed: DataFrame, sample_rows: int, heavy_hits: int) -> DataFrame:
     """Digests of the texts that fill at least heavy_hits of about sample_rows rows, written."""
-    share = min(1.0, sample_rows / max(rows.count(), 1))
-    sampled = rows if share == 1.0 else rows.sample(False, share, seed=7)
-    return written(sampled.select(F.sha2(normalised(F.col("_text")), 256).alias("h_sha")).groupBy("h_sha").count().filter(F.col("count") >= heavy_hits).select("h_sha"), "heavy")
+    share = min(1.0, sample_rows / max(keyed.count(), 1))
+    sampled = keyed if share == 1.0 else keyed.sample(False, share, seed=7)
+    return written(sampled.groupBy(F.col("sha").alias("h_sha")).count().filter(F.col("count") >= heavy_hits).select("h_sha"), "heavy")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int | None = None, heavy_hits: int = 8, partitions: int | None = None) -> DataFrame:
@@ -52,9 +54,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """
     parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("_text"))
-    heavy = heavy_digests(rows, sample_rows or max(SAMPLE_ROWS, ROWS_PER_RANGE * parts), heavy_hits)
-    norm = normalised(F.col("_text"))
-    keyed = rows.select("doc_id", F.char_length(F.coalesce("_text", F.lit(""))).cast("long").alias("n"), norm.alias("norm")).withColumn("sha", F.sha2("norm", 256))
+    norm = rows.select("doc_id", F.char_length(F.coalesce("_text", F.lit(""))).cast("long").alias("n"), normalised(F.col("_text")).alias("norm"))
+    keyed = written(norm.withColumn("sha", F.sha2("norm", 256)), "normalised")
+    heavy = heavy_digests(keyed, sample_rows or max(SAMPLE_ROWS, ROWS_PER_RANGE * parts), heavy_hits)
     marked = keyed.join(F.broadcast(heavy), F.col("sha") == F.col("h_sha"), "left")
 
     light = marked.filter("h_sha is null").select("doc_id", "n", "norm", "sha", F.substring("norm", 1, 64).alias("head"))
