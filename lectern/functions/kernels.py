@@ -20,6 +20,7 @@ WINDOW, LONGEST_RUN, LEAST_LENGTH, LEAST_SCORE = 80, 4, 4, 90
 BOUNDARY_SPAN = 4
 CELLS = 30_000_000
 _WORD = re.compile(r"[^\W_]+(?:[’'\-][^\W_]+)*")
+_TOKEN = re.compile(_WORD.pattern + r"|\S")
 _KEY = re.compile("[^0-9a-z]+")
 _NOT_LATIN = regex.compile(r"[^\p{Latin}]+")
 _LATIN = regex.compile(r"\p{Latin}+")
@@ -34,8 +35,9 @@ def latin_words(text: str) -> list[str]:
     return _LATIN.findall(unicodedata.normalize("NFC", text.casefold()))
 
 
-def tokens(text: str) -> list[tuple[str, int, int]]:
-    return [(m[0], m.start(), m.end()) for m in _WORD.finditer(text)]
+def tokens(text: str, punctuation: bool = False) -> list[tuple[str, int, int]]:
+    """Words with their spans; if asked for, every other character that is no white space too."""
+    return [(m[0], m.start(), m.end()) for m in (_TOKEN if punctuation else _WORD).finditer(text)]
 
 
 @lru_cache(1 << 16)
@@ -294,11 +296,10 @@ def quality_counts(gt_text: str, htr_text: str) -> dict:
     }
 
 
-def boundaries(gt_text: str, htr_text: str) -> dict:
-    """Words split, merged or re-cut: runs of up to four words on either side that read the same when joined."""
+def boundary_spans(gt_text: str, htr_text: str):
+    """Words split, merged or re-cut: runs of up to four words on either side that read the same when joined. Kind and both texts of each."""
     gt, htr = gt_text.split(), htr_text.split()
     a, b = [w.casefold() for w in gt], [w.casefold() for w in htr]
-    counts = {"splits": 0, "merges": 0, "complex_boundary": 0}
     i = j = 0
     while i < len(a) and j < len(b):
         p = q = 1
@@ -310,7 +311,14 @@ def boundaries(gt_text: str, htr_text: str) -> dict:
                 y = right.get("".join(a[i : i + x]))
                 if y:
                     p, q = x, y
-                    counts["splits" if x == 1 else "merges" if y == 1 else "complex_boundary"] += 1
+                    yield "splits" if x == 1 else "merges" if y == 1 else "complex_boundary", " ".join(gt[i : i + x]), " ".join(htr[j : j + y])
                     break
         i, j = i + p, j + q
-    return {**counts, "boundary_events": sum(counts.values()), "gt_tokens": len(gt), "htr_tokens": len(htr)}
+
+
+def boundaries(gt_text: str, htr_text: str) -> dict:
+    """How many words are split, merged and re-cut, and the words of both sides."""
+    counts = {"splits": 0, "merges": 0, "complex_boundary": 0}
+    for kind, _, _ in boundary_spans(gt_text, htr_text):
+        counts[kind] += 1
+    return {**counts, "boundary_events": sum(counts.values()), "gt_tokens": len(gt_text.split()), "htr_tokens": len(htr_text.split())}

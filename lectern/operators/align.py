@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +46,18 @@ def quality(gt: pd.Series, htr: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([kernels.quality_counts(g or "", h or "") for g, h in zip(gt, htr, strict=True)], columns=names)
 
 
+@F.pandas_udf(rows("kind string, gt string, htr string"))
+def boundary_spans(gt: pd.Series, htr: pd.Series) -> pd.Series:
+    return pd.Series([[dict(zip(("kind", "gt", "htr"), x, strict=True)) for x in kernels.boundary_spans(g or "", h or "")] for g, h in zip(gt, htr, strict=True)])
+
+
+def boundary_examples(pairs: DataFrame, n: int = 20) -> DataFrame:
+    """Per style and kind of boundary event the n most frequent texts, the first in order on ties."""
+    found = spread(pairs, "pair_id").select("style", F.explode(boundary_spans("gt", "htr")).alias("x")).groupBy("style", "x.kind", "x.gt", "x.htr").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(W.partitionBy("style", "kind").orderBy(F.desc("n"), "gt", "htr"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= n)
+
+
 @F.pandas_udf(T.IntegerType())
 def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([kernels.distance(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="int32")

@@ -11,14 +11,35 @@ from pyspark.sql import functions as F
 from ..functions.scalar import display_count, display_number, display_percent
 from ..functions.storage import settled
 from . import corpus, issues, risk, rules, sampling, stats
-from .align import alignment_issues, document_metrics, orthographic_overlaps
+from .align import alignment_issues, boundary_examples, document_metrics, orthographic_overlaps
 from .lines import line_structure
 
 #: Columns of the document tables.
-METRIC_COLUMNS = ["pair_id", "style", "ref_chars_norm", "ref_tokens_norm", "line_count", "edits", "cer_norm", "wer_norm", "structural_drift_ratio", "indel_disruption_rate", "coverage", "continuity", "lasr", "fragmentation", "window_max_cer", "boundary_events", "adjusted_line_delta_abs", "risk_score", "risk_band", "risk_rank", "risk_rank_within_style"]
+METRIC_COLUMNS = ["pair_id", "style", "ref_chars_norm", "ref_tokens_norm", "line_count", "basic_anomaly_density", "orthographic_violation_density", "cer_norm", "wer_norm", "indel_disruption_rate", "continuity", "adjusted_line_delta_abs", "line_structure_band", "line_structure_flag", "risk_score", "risk_rank_within_style", "risk_band", "escalation_flags", "governance_status"]
+DISPLAY_NUMBERS = {"basic_anomaly_density": ("Basic anomaly density", 2), "orthographic_violation_density": ("Orthographic violation density", 2), "indel_disruption_rate": ("IDR", 4), "continuity": ("Continuity", 4), "risk_score": ("Risk score", 4)}
+DISPLAY_RATES = {"cer_norm": "CER (%)", "wer_norm": "WER (%)"}
+DISPLAY_COUNTS = {"ref_chars_norm": "ref_chars_norm", "ref_tokens_norm": "token_count", "line_count": "line_count", "adjusted_line_delta_abs": "Adjusted line delta", "risk_rank_within_style": "Risk rank within style"}
+DISPLAY_NAMES = {"line_structure_band": "Line-structure band", "line_structure_flag": "Line-structure flag", "risk_band": "Risk band", "escalation_flags": "Escalation flags", "governance_status": "Document status"}
+TOP_COLUMNS = ["style", "risk_rank_within_style", "pair_id", "risk_band", "risk_score", "cer_norm", "indel_disruption_rate", "continuity", "basic_anomaly_density", "orthographic_violation_density", "adjusted_line_delta_abs", "line_structure_band", "governance_status"]
 QUALITY_COLUMNS = ["pair_id", "style", "risk_band", "risk_score", "risk_rank_within_style", "escalation_flags", "governance_status", "cer_norm", "wer_norm", "indel_disruption_rate", "continuity", "adjusted_line_delta_abs", "line_structure_band", "line_structure_flag", "basic_anomaly_density", "orthographic_violation_density"]
 
 
+def displayed(rows: DataFrame) -> DataFrame:
+    """Columns with the names and in the forms that readers see: grouped counts, rounded numbers, rates in percent."""
+    out = []
+    for c in rows.columns:
+        if c in DISPLAY_NUMBERS:
+            name, digits = DISPLAY_NUMBERS[c]
+            out.append(display_number(F.col(c), digits).alias(name))
+        elif c in DISPLAY_RATES:
+            out.append(display_percent(F.col(c)).alias(DISPLAY_RATES[c]))
+        elif c in DISPLAY_COUNTS:
+            out.append(display_count(F.col(c)).alias(DISPLAY_COUNTS[c]))
+        else:
+            out.append(F.col(c).alias(DISPLAY_NAMES.get(c, c)))
+    return rows.select(*out)
+
+
 def metadata(docs: DataFrame, facts: DataFrame, assigned: DataFrame, generated: str, corpus_name: str, version: str) -> DataFrame:
     """place, key, value: what was assessed, as text. One row of sums is turned into thirteen."""
     n = lambda df, test, name: df.agg(F.sum(F.when(test, 1).otherwise(0)).alias(name)).select(F.coalesce(name, F.lit(0)).alias(name))
@@ -70,7 +91,7 @@ def report_tables(pairs: DataFrame, top: int = 50, generated: str = "", corpus_n
         "alignment_diagnostics": by(issues.alignment_diagnostics(two), "style", "pair_id"),
         "posthoc_summary": by(issues.posthoc(two, overlaps), "style"),
         "operational_document_metrics": by(docs.select(METRIC_COLUMNS), "style", "risk_rank_within_style"),
-        "operational_document_metrics_display": by(docs.select("pair_id", "style", display_count(F.col("ref_chars_norm")).alias("Characters"), display_percent(F.col("cer_norm")).alias("CER (%)"), display_percent(F.col("wer_norm")).alias("WER (%)"), display_number(F.col("risk_score"), 3).alias("Risk score"), "risk_band", "risk_rank_within_style"), "style", "risk_rank_within_style"),
+        "operational_document_metrics_display": displayed(by(docs.select(METRIC_COLUMNS), "style", "risk_rank_within_style")),
         "style_intelligence_overview": by(risk.style_rows(docs), F.desc("median_cer")),
         "style_metrics": by(risk.style_metrics(wide), "style"),
         "style_document_rankings": by(risk.per_group_top(wide, "style", risk.STYLE_RANKINGS, "pair_id"), "style", "metric", "rank"),
@@ -81,7 +102,7 @@ def report_tables(pairs: DataFrame, top: int = 50, generated: str = "", corpus_n
         "document_status_summary_by_style": by(risk.band_summary(docs, "governance_status", ["Stable", "Review", "Exclude"]), "style"),
         "document_status_escalation_flags": by(risk.escalation_summary(docs), "style", "flag"),
         "document_status_index": by(docs.select(*QUALITY_COLUMNS, "risk_score", "risk_rank_within_style"), "style", "governance_status", "risk_rank_within_style"),
-        f"top_{top}_documents_by_simplified_risk": risk.top_by(docs.select(METRIC_COLUMNS), [F.desc("risk_score"), F.col("style"), F.col("pair_id")], top),
+        f"top_{top}_documents_by_simplified_risk": displayed(risk.top_by(docs.select(TOP_COLUMNS), [F.desc("risk_score"), F.col("style"), F.col("pair_id")], top)),
         "line_structure_by_style": by(risk.line_structure_summary(shape), "style"),
         "line_structure_document_flags": by(risk.line_structure_flags(shape).join(docs.select("pair_id", "risk_band", "risk_score", "risk_rank").dropDuplicates(["pair_id"]), "pair_id"), "style", F.desc("adjusted_line_delta_abs"), "risk_rank", "pair_id"),
         "rag_document_quality": docs.select(QUALITY_COLUMNS),
@@ -96,6 +117,7 @@ def report_tables(pairs: DataFrame, top: int = 50, generated: str = "", corpus_n
         "topology_line_position_by_style": by(lines, "style", "op", "bin"),
         "topology_document_position_by_style": by(places, "style", "op", "bin"),
         "topology_summary_by_style": by(peaks, "style", "op", "position"),
+        "boundary_examples": by(boundary_examples(pairs), "style", "kind", "rank"),
         "document_subsets_summary": by(sampling.subsets_summary(docs), "category", "value"),
         **{f"{s.lower()}_documents": rows.select(QUALITY_COLUMNS) for s, rows in sampling.subsets(docs).items()},
         **sampling.review_tables(sampling.layers(docs)),

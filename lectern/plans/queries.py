@@ -491,6 +491,11 @@ def boundary_events(spark, sf):
     return metrics(spark, sf).groupBy("style").agg(*[F.sum(c).alias(c) for c in ("splits", "merges", "complex_boundary", "boundary_events", "gt_tokens", "htr_tokens")])
 
 
+@query()
+def boundary_examples(spark, sf):
+    return align.boundary_examples(pairs(spark, sf))
+
+
 @query()
 def windowed_cer(spark, sf):
     return rounded(metrics(spark, sf).select("pair_id", "style", "window_size", "window_count", "window_max_cer", "window_sd_cer", "window_max_sdr"))

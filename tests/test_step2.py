@@ -120,6 +120,16 @@ def plain_quality(gt, htr):
     }
 
 
+def test_tokens_with_punctuation():
+    assert [t for t, _, _ in K.tokens("rey, (d'oro)")] == ["rey", "d'oro"]
+    assert K.tokens("rey, (d'oro)", True) == [("rey", 0, 3), (",", 3, 4), ("(", 5, 6), ("d'oro", 6, 11), (")", 11, 12)]
+
+
+def test_boundary_examples(spark):
+    df = spark.createDataFrame([("p", "s", "porque no porque", "por que no por que"), ("q", "s", "a la", "ala")], PAIR)
+    assert sorted((r.kind, r.gt, r.htr, r.n, r["rank"]) for r in align.boundary_examples(df).collect()) == [("merges", "a la", "ala", 1, 1), ("splits", "porque", "por que", 2, 1)]
+
+
 def plain_boundaries(gt, htr):
     a, b = gt.casefold().split(), htr.casefold().split()
     i = j = 0
