@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import CHUNK, LOWER, buffers, slices
+from .textkit import CHUNK, LOWER, buffers, lean, slices, trim
 
 _ORDERS = (2, 3, 4)
 _ODD = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -114,12 +114,44 @@ class LangModel:
 
 
 def _features(piece: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a piece's n-grams and their counts."""
     low = letters(piece)
-    ids = np.concatenate([b for _, b in grams(low, 0, len(low), bits)])
-    if not len(ids):
-        return ids, np.zeros(0, np.float32)
-    ids, n = np.unique(ids, return_counts=True)
-    return ids.astype(np.int32), (n / n.sum()).astype(np.float32)
+    ids, n = np.unique(np.concatenate([b for _, b in grams(low, 0, len(low), bits)]), return_counts=True)
+    return ids.astype(np.uint16 if bits <= 16 else np.uint32), n.astype(np.uint32)
+
+
+class Pieces:
+    """Features of many pieces in a few long arrays, and their labels."""
+
+    def __init__(self):
+        self.parts: list[list[tuple]] = []
+        self.joined: list[tuple[np.ndarray, np.ndarray]] = []
+        self.at, self.labels = [0], []
+
+    def add(self, ids: np.ndarray, n: np.ndarray, label: int) -> None:
+        self.parts.append((ids, n))
+        self.at.append(self.at[-1] + len(ids))
+        self.labels.append(label)
+        if len(self.parts) >= 256:
+            self._join()
+
+    def _join(self) -> None:
+        if self.parts:
+            self.joined.append(tuple(np.concatenate(x) for x in zip(*self.parts, strict=True)))
+            self.parts = []
+
+    def done(self) -> Pieces:
+        self._join()
+        self.ids, self.n = (np.concatenate(x) for x in zip(*self.joined, strict=True)) if self.joined else (np.zeros(0, np.uint16), np.zeros(0, np.uint32))
+        self.joined = []
+        return self
+
+    def __len__(self) -> int:
+        return len(self.labels)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray, int]:
+        n = self.n[self.at[i] : self.at[i + 1]]
+        return self.ids[self.at[i] : self.at[i + 1]], (n / n.sum()).astype(np.float32), self.labels[i]
 
 
 def fit(texts: list[bytes], labels: list[str], bits: int = 16, width: int = 16, epochs: int = 4, rate: float = 0.5, seed: int = 11, pieces: int = 2, reject_share: float = 0.001) -> LangModel | None:
@@ -129,7 +161,7 @@ def fit(texts: list[bytes], labels: list[str], bits: int = 16, width: int = 16,
         return None
     rng = np.random.default_rng(seed)
     code = {x: i for i, x in enumerate(names)}
-    sets: list[list] = [[], []]
+    sets = [Pieces(), Pieces()]
     whole: list[bool] = []
     for t, y in zip(texts, labels, strict=True):
         raw = np.frombuffer(t, np.uint8)
@@ -137,11 +169,12 @@ def fit(texts: list[bytes], labels: list[str], bits: int = 16, width: int = 16,
         for k in range(1 + pieces):
             size = int(rng.integers(12, 80)) if k else len(raw)
             start = int(rng.integers(0, len(raw) - size + 1)) if len(raw) > size else 0
-            ids, w = _features(raw[start : start + size], bits)
+            ids, n = _features(raw[start : start + size], bits)
             if len(ids):
-                sets[spare].append((ids, w, code[y]))
+                sets[spare].add(ids, n, code[y])
                 if spare:
                     whole.append(k == 0)
+    sets = [s.done() for s in sets]
     table, head, bias = rng.normal(0, 0.1, (1 << bits, width)).astype(np.float32), rng.normal(0, 0.1, (len(names), width)).astype(np.float32), np.zeros(len(names), np.float32)
     steps, done = max(1, epochs * len(sets[0])), 0
     for _ in range(epochs):
@@ -160,8 +193,8 @@ def fit(texts: list[bytes], labels: list[str], bits: int = 16, width: int = 16,
             # the mean spreads the gradient thinly over many rows; each row moves by its share of the text
             table[ids] -= (lr * 30 * w)[:, None] * back
     folded = np.ascontiguousarray(table @ head.T) if len(names) <= width else None
-    held = sets[1] or sets[0]
-    whole = whole if sets[1] else [True] * len(held)
+    whole = whole if len(sets[1]) else [True] * len(sets[0])
+    held = [sets[1][i] for i in range(len(sets[1]))] if len(sets[1]) else [sets[0][i] for i in range(len(sets[0]))]
     z = np.array([(w @ folded[ids] if folded is not None else head @ (w @ table[ids])) + bias for ids, w, _ in held])
     y = np.array([y for *_, y in held])
 
@@ -188,7 +221,10 @@ def fit_on(df: DataFrame, learn: Column, text_col: str = "text", label_col: str
     place = F.pmod(F.xxhash64("hash"), F.lit(1 << 30))
     sampled = usable.join(F.broadcast(counts), "label").filter(place < F.least(F.lit(1.0), F.lit(float(per_label)) / F.col("count")) * (1 << 30))
     rows = sorted((r["label"], r["text"].encode()) for r in sampled.dropDuplicates(["label", "hash"]).select("label", "text").collect())
-    return fit([t for _, t in rows], [y for y, _ in rows], **options)
+    model = fit([t for _, t in rows], [y for y, _ in rows], **options)
+    del rows
+    trim()
+    return model
 
 
 def detect(df: DataFrame, model: LangModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,7 +247,7 @@ def detect(df: DataFrame, model: LangModel | None, id_col: str = "doc_id", text_
                     rejected[known] = p[known] < m.threshold
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(labels, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, lang_pred string, score double, rejected boolean")
 
 
 def accepted(df: DataFrame, model: LangModel | None, text_col: str = "text") -> DataFrame:
@@ -228,4 +264,4 @@ def accepted(df: DataFrame, model: LangModel | None, text_col: str = "text") ->
                     keep &= m.predict(raw, off)[1] >= m.threshold
                 yield part.filter(pa.array(keep))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)

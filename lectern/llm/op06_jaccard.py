@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textkit import buffers, forget, most_frequent, shingles, slices, words, written
+from .textkit import buffers, forget, lean, most_frequent, shingles, slices, words, written
 
 LEAST_BITS = 256
 BROADCAST_ROWS = 200_000
@@ -129,7 +129,7 @@ def frequent(docs: DataFrame, n: int, heavy_limit: int) -> tuple[np.ndarray, np.
         if held:
             yield emit(held)
 
-    table = docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    table = docs.select("text").mapInArrow(lean(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     counted = written(table, "frequent")
     table = most_frequent(counted, "c", heavy_limit).toPandas()
     forget(counted)
@@ -164,7 +164,7 @@ def features(docs: DataFrame, n: int, num: int, den: int, heavy: tuple[np.ndarra
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int32()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists, pa.array(maps, pa.binary())], names=["doc_id", "n", "d1", "d2", "prefix", "bits"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n int, d1 long, d2 long, prefix array<bigint>, bits binary")
+    return docs.mapInArrow(lean(run), f"doc_id {kind}, n int, d1 long, d2 long, prefix array<bigint>, bits binary")
 
 
 def arrays(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -184,7 +184,7 @@ def arrays(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int) -> Da
                 same = np.array([x == y for x, y in zip(d, zip(part.column("d1").to_pylist(), part.column("d2").to_pylist(), strict=True), strict=True)], bool)
                 yield pa.RecordBatch.from_arrays([part.column("cid").filter(pa.array(same)), pa.array([s.tobytes() for s, ok in zip(own, same, strict=True) if ok], pa.binary())], names=["cid", "hashes"])
 
-    return texts.mapInArrow(run, "cid long, hashes binary")
+    return texts.mapInArrow(lean(run), "cid long, hashes binary")
 
 
 def fine_bitmaps(held: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def fine_bitmaps(held: DataFrame) -> DataFrame:
             raw, off = buffers(batch.column("hashes"))
             yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([bitmap(raw[a:b].view(np.uint64), FINE) for a, b in zip(off, off[1:], strict=False)], pa.binary())], names=["cid", "bits"])
 
-    return held.mapInArrow(run, "cid long, bits binary")
+    return held.mapInArrow(lean(run), "cid long, bits binary")
 
 
 def exact_links(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFrame:
@@ -217,7 +217,7 @@ def exact_links(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     left, right = held.select(F.col("cid").alias("a"), F.col("hashes").alias("ha")), held.select(F.col("cid").alias("b"), F.col("hashes").alias("hb"))
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ha", "hb").mapInArrow(lean(run), "a long, b long")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -266,7 +266,7 @@ def _passing(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     left, right = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(lean(run), "a long, b long")
 
 
 _BLOCK = ("token", "tile", "lo", "hi")
@@ -298,7 +298,7 @@ def _by_block(rows: DataFrame, work, schema: str, spark: SparkSession) -> DataFr
         if rest is not None and rest.num_rows:
             yield from work(rest, np.zeros(0, np.int64))
 
-    return ready.mapInArrow(run, schema)
+    return ready.mapInArrow(lean(run), schema)
 
 
 _CANDIDATE = "token long, tile int, lo int, hi int, block int, own boolean, cid long, n int, partner long"
