@@ -117,7 +117,7 @@ def _features(piece: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a piece's n-grams and their counts."""
     low = letters(piece)
     ids, n = np.unique(np.concatenate([b for _, b in grams(low, 0, len(low), bits)]), return_counts=True)
-    return ids.astype(np.uint16 if bits <= 16 else np.uint32), n.astype(np.uint32)
+    return ids.astype(np.uint16 if bits <= 16 else np.uint32), n.astype(np.uint16 if n.max(initial=0) < 1 << 16 else np.uint32)
 
 
 class Pieces:
@@ -142,8 +142,13 @@ class Pieces:
 
     def done(self) -> Pieces:
         self._join()
-        self.ids, self.n = (np.concatenate(x) for x in zip(*self.joined, strict=True)) if self.joined else (np.zeros(0, np.uint16), np.zeros(0, np.uint32))
-        self.joined = []
+        kinds = [np.result_type(np.uint16, *(x[k] for x in self.joined)) for k in (0, 1)]
+        self.ids, self.n = (np.empty(self.at[-1], kind) for kind in kinds)
+        at = self.at[-1]
+        while self.joined:  # what is copied goes at once
+            ids, n = self.joined.pop()
+            self.ids[at - len(ids) : at], self.n[at - len(ids) : at] = ids, n
+            at -= len(ids)
         return self
 
     def __len__(self) -> int:
@@ -220,7 +225,9 @@ def fit_on(df: DataFrame, learn: Column, text_col: str = "text", label_col: str
         return None
     place = F.pmod(F.xxhash64("hash"), F.lit(1 << 30))
     sampled = usable.join(F.broadcast(counts), "label").filter(place < F.least(F.lit(1.0), F.lit(float(per_label)) / F.col("count")) * (1 << 30))
-    rows = sorted((r["label"], r["text"].encode()) for r in sampled.dropDuplicates(["label", "hash"]).select("label", "text").collect())
+    table = sampled.dropDuplicates(["label", "hash"]).select("label", F.col("text").cast("binary").alias("text")).toArrow()
+    rows = sorted(zip(table.column("label").to_pylist(), table.column("text").to_pylist(), strict=True))
+    del table
     model = fit([t for _, t in rows], [y for y, _ in rows], **options)
     del rows
     trim()

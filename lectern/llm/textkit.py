@@ -248,7 +248,8 @@ def evenly(df: DataFrame, place, n: int, most: int = 4096) -> DataFrame:
 
 
 def trim() -> None:
-    """Gives freed pages back to the system, where the C library can: arrays of a few megabytes stay in its heap else."""
+    """Gives freed pages back to the system, where the libraries can: arrays of a few megabytes stay in their heaps else."""
+    pa.default_memory_pool().release_unused()
     give = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if give is not None:
         give(0)
