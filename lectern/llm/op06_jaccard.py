@@ -80,7 +80,7 @@ def _matrix(column) -> np.ndarray:
 
 def differing_bits(a, b) -> np.ndarray:
     """Differing bits of two columns of bitmaps; the longer one is folded, which keeps parity."""
-    la, lb = (pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (a, b))
+    la, lb = (pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b))  # the product of two lengths needs them
     out = np.zeros(len(la), np.int64)
     for size in np.unique(la * (1 << 20) + lb):
         own = np.flatnonzero(la * (1 << 20) + lb == size)
@@ -223,7 +223,7 @@ def exact_links(pairs: DataFrame, held: DataFrame, num: int, den: int) -> DataFr
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """node and label (the smallest node reachable) for each node of the links but the smallest ones themselves."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), name)
-    sign = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
+    sign = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())  # noqa: E731  # a sum would overflow
     before = sign(edges)
     while before[0]:
         total = 2 * before[0]

@@ -603,6 +603,33 @@ def test_bitmaps_bound_the_overlap(a, b):
     assert jaccard.differing_bits(*maps)[0] <= len(a ^ b)
 
 
+def test_bitmaps_of_long_texts_in_one_batch():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**62, n).astype(np.uint64)) for n in (3000, 5000, 3500, 9000, 40, 5200)]
+    maps = pa.array([jaccard.bitmap(s, jaccard.FINE) for s in sets], pa.binary())
+    assert len({len(m.as_py()) for m in maps}) == 4
+    i, j = (x.ravel() for x in np.indices((6, 6)))
+    together = jaccard.differing_bits(maps.take(pa.array(i)), maps.take(pa.array(j)))
+    assert together.tolist() == [int(jaccard.differing_bits(maps.slice(a, 1), maps.slice(b, 1))[0]) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+
+
+def test_jaccard_of_long_texts(spark, monkeypatch):
+    """Near copies whose fine bitmaps have two lengths, in one tile, with the sets shuffled to their texts."""
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    rng = np.random.default_rng(6)
+    base, texts = [f"w{i}" for i in range(4112)], {}
+    for d in range(24):
+        w = base[: 4112 - int(rng.integers(0, 24))]
+        for at in rng.choice(len(w), int(rng.integers(44, 58)), replace=False):
+            w[at] = f"z{rng.integers(10**6)}"
+        texts[d] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, n=5, num=80, den=100).collect()}
+    assert got == brute_components(texts, 5, 80, 100) and len({c for _, c in got.values()}) > 1
+
+
 # ---- 7
 
 
