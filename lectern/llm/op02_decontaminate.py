@@ -3,8 +3,7 @@
 1. Documents are cut into passages; hashed words get inverse passage frequencies counted over all passages.
 2. A randomised SVD of the TF-IDF matrix of passages: every task multiplies its passages A with a fixed
    random matrix and adds up its share of A^T (A W); the sum over tasks (buckets x columns, of fixed size) goes to the driver, where
-   a Nystrom factorisation gives the leading right singular vectors and values. The space is fitted on the passages of about
-   ``fit_docs`` documents, chosen by a hash (a bounded sample; frequencies and search cover everything).
+   a Nystrom factorisation gives the leading right singular vectors and values. The space is fitted on the passages of all documents.
 3. Projecting a run of words is a sum over its words, so prefix sums over stretches of ``STRETCH`` words give the latent vector of every window of
    a grid over the texts of a batch. Window lengths
    rise by a fixed ratio, and an item is held against the windows of the length nearest its own. Windows whose cosine with the item
@@ -39,9 +38,10 @@ BUCKETS = 1 << BUCKET_BITS
 COLUMNS, RANK = 40, 32
 PASSAGE = 48
 RATIO, FIRST = 1.6, 10
-FIT_DOCS = 15_000
 #: words whose latent vectors and bit masks are joined first; lengths and steps of windows are multiples
 STRETCH = 4
+#: places whose vectors are summed at a time
+PART = 1 << 11
 #: cosines that are worked out at a time
 CELLS = 1 << 22
 
@@ -58,11 +58,25 @@ def _passages(batch: pa.RecordBatch):
         count = np.diff(per)
         first = np.concatenate([[0], np.cumsum(-(-count // PASSAGE))])
         row = np.repeat(np.arange(len(count)), count)
-        number = first[row] + (np.arange(len(h)) - per[row]) // PASSAGE
-        key, tf = np.unique((number << BUCKET_BITS) | _bucket(h), return_counts=True)
+        key = ((first[row] + (np.arange(len(h)) - per[row]) // PASSAGE) << BUCKET_BITS) | _bucket(h)
+        key = np.sort(key.astype(np.uint32) if first[-1] < 1 << (32 - BUCKET_BITS) else key)
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        tf, key = np.diff(np.append(new, len(key))), key[new].astype(np.int64)
         yield key >> BUCKET_BITS, key & (BUCKETS - 1), tf, int(first[-1])
 
 
+def _summed(rows: np.ndarray, at: np.ndarray, weight: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Weighted sums of the rows at ``at`` over the runs that begin at ``first``, some ``PART`` places at a time so that they stay in the cache."""
+    out = np.empty((len(first), rows.shape[1]), np.float32)
+    cut = np.unique(np.append(np.searchsorted(first, np.arange(0, len(at), PART)), len(first)))
+    for x, y in zip(cut, cut[1:], strict=False):
+        lo, hi = first[x], first[y] if y < len(first) else len(at)
+        part = rows.take(at[lo:hi], axis=0)
+        part *= weight[lo:hi, None]
+        np.add.reduceat(part, first[x:y] - lo, axis=0, out=out[x:y])
+    return out
+
+
 def _distinct(batch: pa.RecordBatch):
     """Buckets of each distinct pair of passage and bucket, and the number of passages of each part: ``_passages`` without counts."""
     for part in slices(batch, "text"):
@@ -97,27 +111,24 @@ class Space:
         return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", seed: int = 3, fit_docs: int = FIT_DOCS) -> Space | None:
-    """The latent space: frequencies over all passages, singular vectors over those of about fit_docs documents."""
+def fit(docs: DataFrame, text_col: str = "text", seed: int = 3) -> Space | None:
+    """The latent space: frequencies and singular vectors over all passages."""
     texts = docs.select(F.col(text_col).alias("text"))
 
     def count(batches):
-        df, n, rows = np.zeros(BUCKETS, np.int64), 0, 0
+        df, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            rows += batch.num_rows
             for bucket, k in _distinct(batch):
                 df += np.bincount(bucket, minlength=BUCKETS)
                 n += k
         own = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(own, [-1, -2])), pa.array(np.append(df[own], [n, rows]))], names=["bucket", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(own, -1)), pa.array(np.append(df[own], n))], names=["bucket", "df"])
 
     found = texts.mapInArrow(lean(count), "bucket long, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toPandas()
     df = dict(zip(found["bucket"], found["df"], strict=True))
-    n, total = df.pop(-1, 0), df.pop(-2, 0)
+    n = df.pop(-1, 0)
     if not n:
         return None
-    if total > fit_docs:
-        texts = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(fit_docs / total * (1 << 30)))
     idf = np.log1p(float(n)) * np.ones(BUCKETS)
     idf[list(df)] = np.log((1 + n) / (1 + np.array(list(df.values()), float))) + 1e-3
     rng = np.random.default_rng(seed)
@@ -133,12 +144,11 @@ def fit(docs: DataFrame, text_col: str = "text", seed: int = 3, fit_docs: int =
                     continue
                 value = tf.astype(np.float32) * weight[bucket]
                 value /= np.sqrt(np.bincount(passage, value * value, k)).astype(np.float32)[passage]
-                starts = np.searchsorted(passage, np.arange(k))
-                y = np.add.reduceat(omega[bucket] * value[:, None], starts, axis=0)
-                order = np.argsort(bucket, kind="stable")
+                y = _summed(omega, bucket, value, np.searchsorted(passage, np.arange(k)))
+                order = np.argsort(bucket.astype(np.uint16), kind="stable")
                 ordered = bucket[order]
                 first = np.flatnonzero(np.diff(ordered, prepend=-1))
-                out[ordered[first]] += np.add.reduceat(y[passage[order]] * value[order][:, None], first, axis=0)
+                out[ordered[first]] += _summed(y, passage[order], value[order], first)
         own = np.flatnonzero(out.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(out[own, k]) for k in range(COLUMNS))], names=["bucket", *(f"y{k}" for k in range(COLUMNS))])
 
@@ -349,9 +359,9 @@ class Matcher:
                 out[key] = (a - int(per[r]), b - a, cosine, *got)
 
 
-def matchers(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", text_col: str = "text", item_block: int = 4096, fit_docs: int = FIT_DOCS, copy: float = 0.8, share: float = 0.6, answer: float = 0.6, least: int = 8):
+def matchers(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", text_col: str = "text", item_block: int = 4096, copy: float = 0.8, share: float = 0.6, answer: float = 0.6, least: int = 8):
     """One broadcast matcher per block of items."""
-    space = fit(docs, text_col, fit_docs=fit_docs)
+    space = fit(docs, text_col)
     rows = items.select(F.col(item_id).alias("k"), F.col(item_text).alias("t"))
     total = rows.count()
     if space is None or not total:

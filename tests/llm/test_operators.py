@@ -188,6 +188,25 @@ def test_paraphrases_at_the_least_share(spark, sf, docs):
     assert len(every) > 100 and len(found & every) >= 0.95 * len(every)
 
 
+def test_latent_space_is_of_all_rows(spark):
+    """Singular vectors over more rows than a sample would hold: those of a plain TF-IDF matrix of every passage."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.4, int(rng.integers(1, 12))) % 3000) for _ in range(16_000)]
+    space = decon.fit(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4))
+    buckets = [decon._bucket(kit.phrase_hash(t)) for t in texts]
+    df = np.bincount(np.concatenate([np.unique(b) for b in buckets]), minlength=decon.BUCKETS)
+    assert np.allclose(space.frequency, df / df.sum())
+    idf = np.where(df > 0, np.log((1 + len(texts)) / (1 + df)) + 1e-3, np.log1p(len(texts)))
+    test = np.linalg.qr(np.random.default_rng(3).normal(size=(decon.BUCKETS, decon.COLUMNS)))[0]
+    y = np.zeros((decon.BUCKETS, decon.COLUMNS))
+    for b in buckets:
+        own, tf = np.unique(b, return_counts=True)
+        a = tf * idf[own] / np.linalg.norm(tf * idf[own])
+        y[own] += a[:, None] * (a @ test[own])
+    want = idf[:, None] * decon.singular(y, test)
+    assert np.linalg.norm(space.project @ space.project.T[:, :200] - want @ want.T[:, :200]) < 0.01 * np.linalg.norm(want @ want.T[:, :200])
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=70), st.lists(st.integers(0, 4), max_size=40))
 def test_subsequence(a, b):
