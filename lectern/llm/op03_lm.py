@@ -5,18 +5,19 @@ A trigram model with absolute discounting D, interpolated with bigrams and the u
     p(c | a b) = max(n(abc) - D, 0) / n(ab) + l(ab) * p(c | b)
     p(c | b)   = max(n(bc) - D, 0) / n(b) + l(b) * p(c),         p(c) = (n(c) + 0.5) / (N + 0.5 (V + 1))
 
-where l is what the stored probabilities of a context leave over, so that every distribution sums to one over all V known words and one
-unknown. The first word of a text has p(c); the second has a begin mark as a. N-grams of all words of all training rows are stored.
+where l is what the discounts of a context leave over (D times its distinct followers, divided by its places), so that every distribution
+sums to one over all V known words and one unknown. The first word of a text has p(c); the second has a begin mark as a. N-grams of all words of all training rows are stored.
 
 * All that a place (a, b, c) needs but n(c) can be counted where all places with the same middle word b meet, so one exchange serves both
   orders. Places are sent in blobs: about every ``BATCH`` tokens a task sorts its places and packs those of one shard as compressed columns.
   A shard has about ``SHARD`` places, so shards grow with the tokens and not with the cluster; beyond ``FAN`` shards they are dealt in
   two steps, so a task never sends more than ``FAN`` blobs a batch.
-* A word with more than ``unit`` places is split by a hash of the word before it, and its bigram level is conditioned on that class; a pair (a, b)
-  with more than ``unit`` places is split by the two words before it. Both depend on exact counts, never on the layout. A triple that
-  alone has so many places is sent without its texts: its counts go to the shard, its term comes back to all texts by a broadcast.
+* The places of a word with more than ``unit`` of them are dealt to classes by a hash of the word before it, those of a pair (a, b) with more
+  than ``unit`` by the word itself. That is a matter of layout: the model is the same. What such a word's bigrams and such a pair's totals are
+  over all classes is counted first, in a pass over the texts of its own, and sent to each class. A triple that alone has so many places is not
+  sent: all its counts are known by then, and its term is broadcast to the texts.
 * A shard keeps its counts as a trie: units, their contexts (unit, a) and bigrams (unit, c), and the trigrams (context, c). Every level is a rising
-  sequence in Elias-Fano form, with monotone pointers to the ranges of the next one, and 8-bit codes of the smoothed probabilities. The
+  sequence in Elias-Fano form, with monotone pointers to the ranges of the next one, and short codes of the counts, which lose nothing. The
   levels are read where they lie, in an anonymous memory map: a directory of ones per 256 bits answers select, and
   successor search goes from a context's range to the place in it. Nothing is unpacked, and no file is written.
 * Words are 64-bit hashes; the at most ``vocabulary`` most frequent ones (16 bytes each, broadcast) travel as numbers. n(c) of other words is
@@ -47,8 +48,8 @@ BATCH, SHARD, TASK, FAN = 1 << 21, 1 << 20, 6, 4096
 #: a word or pair with more places is split; units of a whole corpus are at most so many
 UNIT, UNITS = 1 << 20, 1 << 20
 VOCABULARY = 1 << 20
-#: a triple that a batch has so often may be one that needs a broadcast
-WIDE = 64
+#: a triple with more places than so many units needs a broadcast
+WIDE = 1
 #: distinct words that a task holds before it passes them on
 WORDS = 1 << 20
 END, BEGIN, TOKENS, TEXTS = (np.uint64(0x5EED0FE4D0FE4D01 + 2 * k) for k in range(4))
@@ -173,13 +174,10 @@ class EliasFano:
         return place, there
 
 
-def _quantised(chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A book of at most 256 probabilities, and the code of each."""
-    logs = np.log2(chance)
-    book = np.unique(logs.astype(np.float32)) if len(logs) else np.zeros(1, np.float32)
-    if len(book) > 256:  # half the codes where most values are, half at even distances
-        book = np.unique(np.concatenate([np.quantile(logs, np.linspace(0, 1, 128)), np.linspace(book[0], book[-1], 128)]).astype(np.float32))
-    return np.exp2(book.astype(float)), np.searchsorted((book[1:] + book[:-1]) / 2, logs).astype(np.uint8)
+def _coded(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct counts, and the code of each in as few bytes as they allow."""
+    book, code = np.unique(count, return_inverse=True)
+    return book, code.astype("<u1" if len(book) <= 1 << 8 else "<u2" if len(book) <= 1 << 16 else "<u4")
 
 
 def _firsts(*columns: np.ndarray) -> np.ndarray:
@@ -195,38 +193,40 @@ class Trie:
     """Units, contexts, bigrams and trigrams of a shard."""
 
     @staticmethod
-    def pack(unit: np.ndarray, a: np.ndarray, c: np.ndarray, n: np.ndarray, width: int) -> tuple[bytes, tuple[np.ndarray, ...]]:
-        """unit, a, c: sorted and distinct, n: how often each was seen; words are numbers below ``width``. The levels, and each trigram's
-        unit, context and bigram in them."""
-        first_unit, first_context = _firsts(unit), _firsts(unit, a)
-        ends = lambda first, size: np.diff(np.append(first, size))
-        root = np.repeat(np.arange(len(first_unit)), ends(first_unit, len(unit)))
-        context = np.repeat(np.arange(len(first_context)), ends(first_context, len(unit)))
-        total = lambda x, first: np.add.reduceat(x, first) if len(first) else np.zeros(0, x.dtype)
-        order = np.argsort(root * width + c, kind="stable")
-        pair = (root * width + c)[order]
-        first_pair = _firsts(pair)
-        bigram = np.empty(len(order), np.int64)
-        bigram[order] = np.repeat(np.arange(len(first_pair)), ends(first_pair, len(pair)))
-        pair, seen = pair[first_pair], total(n[order], first_pair)
-        owner = pair // width
-        sizes = total(n, first_unit)
-        book2, code2 = _quantised((seen - DISCOUNT) / sizes[owner])
-        book3, code3 = _quantised((n - DISCOUNT) / total(n, first_context)[context])
-        first_of_unit = _firsts(owner)
-        left2, left3 = 1 - total(book2[code2], first_of_unit), 1 - total(book3[code3], first_context)
+    def pack(unit: np.ndarray, a: np.ndarray, c: np.ndarray, n: np.ndarray, width: int, follow: tuple, spread: tuple) -> tuple[bytes, tuple[np.ndarray, ...]]:
+        """unit, a, c: sorted and distinct, n: how often each was seen; words are numbers below ``width``. follow: unit, c and n of all bigrams of units
+        whose word is dealt to several; spread: unit, a, places and distinct followers of contexts that are. The levels, and each trigram's unit,
+        context and bigram in them."""
+        roots = np.unique(np.concatenate([unit, follow[0]]))
+        root = np.searchsorted(roots, unit)
+        apart = np.isin(roots, follow[0])[root] if len(follow[0]) else np.zeros(len(unit), bool)
+        key = root * width + c
+        pair, where = np.unique(key[~apart], return_inverse=True)
+        seen = np.append(np.bincount(where, n[~apart], len(pair)).astype(np.int64), follow[2])
+        pair = np.append(pair, np.searchsorted(roots, follow[0]) * width + follow[1])
+        order = np.argsort(pair)
+        pair, seen = pair[order], seen[order]
+        bigram, first_of_unit = np.searchsorted(pair, key), _firsts(pair // width)
+        key, others = root * width + a, np.searchsorted(roots, spread[0]) * width + spread[1]
+        contexts = np.unique(np.append(key, others))
+        context, others = np.searchsorted(contexts, key), np.searchsorted(contexts, others)
+        size, kinds = np.bincount(context, n, len(contexts)), np.bincount(context, minlength=len(contexts)).astype(float)
+        size[others], kinds[others] = spread[2], spread[3]
+        sizes = np.add.reduceat(seen, first_of_unit).astype(float) if len(pair) else np.zeros(0)
+        (book2, code2), (book3, code3) = _coded(seen), _coded(n)
         levels = [
-            EliasFano.pack(unit[first_unit]),
-            EliasFano.pack(np.append(np.searchsorted(first_context, first_unit), len(first_context))),
-            EliasFano.pack(root[first_context] * width + a[first_context]),
-            EliasFano.pack(np.append(first_context, len(unit))),
+            EliasFano.pack(roots),
+            EliasFano.pack(np.searchsorted(contexts // width, np.arange(len(roots) + 1))),
+            EliasFano.pack(contexts),
+            EliasFano.pack(np.searchsorted(context, np.arange(len(contexts) + 1))),
             EliasFano.pack(context * width + c),
             EliasFano.pack(np.append(first_of_unit, len(pair))),
             EliasFano.pack(pair),
         ]
-        columns = [book2.astype("<f8"), code2, np.maximum(left2, 1e-9).astype("<f4"), book3.astype("<f8"), code3, np.maximum(left3, 1e-9).astype("<f4")]
+        left = lambda kinds, size: (DISCOUNT * kinds / size).astype("<f8")
+        columns = [book2.astype("<i8"), code2, sizes, left(np.diff(np.append(first_of_unit, len(pair))), sizes), book3.astype("<i8"), code3, size.astype("<f8"), left(kinds, size)]
         raw = [x.tobytes() for x in columns]
-        packed = b"".join([struct.pack("<Q", width), *levels, struct.pack("<6Q", *map(len, raw)), *(r + bytes(-len(r) % 8) for r in raw)])
+        packed = b"".join([struct.pack("<Q", width), *levels, struct.pack("<8Q", *map(len, raw)), struct.pack("<2Q", code2.itemsize, code3.itemsize), *(r + bytes(-len(r) % 8) for r in raw)])
         return packed, (root, context, bigram)
 
     def __init__(self, data: np.ndarray):
@@ -236,12 +236,18 @@ class Trie:
             level, at = EliasFano.view(data, at)
             levels.append(level)
         self.units, self.to_contexts, self.contexts, self.to_trigrams, self.trigrams, self.to_bigrams, self.bigrams = levels
-        sizes = struct.unpack("<6Q", data[at : at + 48].tobytes())
-        at, columns = at + 48, []
-        for size, kind in zip(sizes, ("<f8", "u1", "<f4") * 2, strict=True):
+        *sizes, wide2, wide3 = struct.unpack("<10Q", data[at : at + 80].tobytes())
+        at, columns = at + 80, []
+        for size, kind in zip(sizes, ("<i8", f"<u{wide2}", "<f8", "<f8", "<i8", f"<u{wide3}", "<f8", "<f8"), strict=True):
             columns.append(data[at : at + size].view(kind))
             at += size + -size % 8
-        self.book2, self.code2, self.left2, self.book3, self.code3, self.left3 = columns
+        self.book2, self.code2, self.size2, self.left2, self.book3, self.code3, self.size3, self.left3 = columns
+
+    def _share2(self, bigram: np.ndarray, root: np.ndarray) -> np.ndarray:
+        return (self.book2[self.code2[bigram]] - DISCOUNT) / self.size2[root]
+
+    def _share3(self, trigram: np.ndarray, context: np.ndarray) -> np.ndarray:
+        return (self.book3[self.code3[trigram]] - DISCOUNT) / self.size3[context]
 
     @staticmethod
     def _child(level: EliasFano, pointers: EliasFano, node: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,8 +259,8 @@ class Trie:
 
     def stored(self, root: np.ndarray, context: np.ndarray, bigram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """x and y, as in ``query``, of the trigrams in the trie, in their order."""
-        left = self.left3[context].astype(float)
-        return self.book3[self.code3] + left * self.book2[self.code2[bigram]], left * self.left2[root]
+        left = self.left3[context]
+        return self._share3(np.arange(len(context)), context) + left * self._share2(bigram, root), left * self.left2[root]
 
     def query(self, unit: np.ndarray, a: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """x and y of each place: its probability is x + y * p(c). Runs of equal units and contexts are looked up once."""
@@ -269,7 +275,7 @@ class Trie:
         own = np.flatnonzero(there[run])
         node, word = root[run][own], c[own]
         place, found = self._child(self.bigrams, self.to_bigrams, node, node * self.width + word)
-        x[own[found]], y[own] = self.book2[self.code2[place[found]]], self.left2[node]
+        x[own[found]], y[own] = self._share2(place[found], node[found]), self.left2[node]
         first = _firsts(unit, a)
         inner = np.flatnonzero(there[run[first]])
         node = root[run[first[inner]]]
@@ -281,7 +287,7 @@ class Trie:
         place, found = self._child(self.trigrams, self.to_trigrams, node, node * self.width + c[own])
         x[own] *= left
         y[own] *= left
-        x[own[found]] += self.book3[self.code3[place[found]]]
+        x[own[found]] += self._share3(place[found], node[found])
         return x, y
 
 
@@ -340,12 +346,15 @@ class Vocabulary:
     distinct: int
     #: into how many classes a word, the begin mark and any other word is split
     parts: np.ndarray = field(default_factory=lambda: np.ones(2, np.int32))
-    #: split pairs (a, b) as sorted codes, their first class and their number of classes
+    #: split pairs (a, b) as sorted codes, their first class and their number of classes, their places and distinct followers in training rows
     pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     pair_first: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     pair_parts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    #: hashes of triples that go without their texts, sorted
+    pair_size: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    pair_kinds: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    #: hashes of triples that are not sent, sorted, and their log probabilities
     wide: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    wide_terms: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     @property
     def begin(self) -> int:
@@ -359,6 +368,10 @@ class Vocabulary:
         at[self.hashes[at] != h] = -1
         return at
 
+    def named(self, c: np.ndarray) -> np.ndarray:
+        """The numbers of words given by their number or, if they have none, by their hash: else -1."""
+        return np.where((c >= 0) & (c < self.begin), c, -1)
+
     def unigram(self, c: np.ndarray) -> np.ndarray:
         return (c + 0.5) / (self.total + 0.5 * (self.distinct + 1))
 
@@ -369,17 +382,29 @@ class Vocabulary:
         order = np.argsort(codes)
         self.pairs, self.pair_parts = codes[order], -(-counts[order] // unit)
         b = self.pairs & 0xFFFFFFFF
-        first = _firsts(b) if len(b) else np.zeros(0, np.int64)
-        before = np.cumsum(self.pair_parts) - self.pair_parts
         # a word's own classes come first, then those of its pairs
-        self.pair_first = self.parts[b] + before - np.repeat(before[first], np.diff(np.append(first, len(b))))
+        by_word = np.argsort(b, kind="stable")
+        before, own = np.cumsum(self.pair_parts[by_word]) - self.pair_parts[by_word], b[by_word]
+        first = _firsts(own)
+        self.pair_first = np.empty(len(b), np.int64)
+        self.pair_first[by_word] = self.parts[own] + before - np.repeat(before[first], np.diff(np.append(first, len(b))))
+
+    def classes(self, word: int) -> int:
+        """Into how many classes the places of a word are dealt, those of its split pairs included."""
+        return int(self.parts[word] + self.pair_parts[(self.pairs & 0xFFFFFFFF) == word].sum())
+
+    def pair(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each pair among the split ones, and whether it is one."""
+        code = (a.astype(np.int64) << 32) | b
+        at = np.minimum(np.searchsorted(self.pairs, code), max(len(self.pairs) - 1, 0))
+        return at, self.pairs[at] == code if len(self.pairs) else np.zeros(len(code), bool)
 
 
 @dataclass
 class Places:
     """Places as columns: number of the middle word, its class, the word before, the word itself, and the row, counted within the columns.
 
-    Other words' numbers begin after the begin mark's and lead to ``rare``, sorted hashes. The last two rows stand for places without text.
+    Other words' numbers begin after the begin mark's and lead to ``rare``, sorted hashes.
     """
 
     b: np.ndarray
@@ -400,15 +425,14 @@ class Places:
         first = _firsts(b, g)
         step = np.diff(a, prepend=a[:1] * 0)
         step[first] = a[first]
-        rest = rows >= len(self.uids) - 2
         columns = [np.diff(b, prepend=b[:1] * 0), g, step, c, row]  # steps may be negative: modulo 2**32
         planes = [np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for x in columns]
-        raw = [self.uids[rows].tobytes(), (self.train[rows] + 2 * rest).astype(np.uint8).tobytes(), self.rare[used - base].tobytes()]
+        raw = [self.uids[rows].tobytes(), self.train[rows].astype(np.uint8).tobytes(), self.rare[used - base].tobytes()]
         return zstandard.ZstdCompressor(3).compress(struct.pack("<3Q", len(own), len(rows), len(used)) + b"".join(raw + planes))
 
     @classmethod
     def unpack(cls, blob: bytes) -> Places:
-        """The same columns; uids of places without text are followed by no others."""
+        """The same columns."""
         data = zstandard.ZstdDecompressor().decompress(blob)
         n, k, r = struct.unpack("<3Q", data[:24])
         at = 24
@@ -426,11 +450,7 @@ class Places:
         first = _firsts(b, g)
         upto = np.cumsum(step, dtype=np.int32)
         a = upto - np.repeat(upto[first] - step[first], np.diff(np.append(first, n))) if n else step
-        # the two rows without text come last, whichever of them occur
-        plain = int((train < 2).sum())
-        last = {0: plain, 1: plain + 1}
-        to = np.array([i if t < 2 else last[0 if t & 1 else 1] for i, t in enumerate(train.tolist())], np.int32)
-        return cls(b, g, a, c, to[row], np.append(uids[:plain], [0, 0]), np.append(train[:plain] == 1, [True, False]), rare)
+        return cls(b, g, a, c, row, uids, train == 1, rare)
 
 
 def _back(x: np.ndarray, place: np.ndarray, k: int, fill) -> np.ndarray:
@@ -447,29 +467,29 @@ def _triple(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def context(v: Vocabulary, h: np.ndarray, number: np.ndarray, at: np.ndarray, wide: bool = False):
-    """Middle word, its class and the word before of each token (row offsets ``at``), and if asked for the hash of triples of split words, else 0."""
+    """Middle word, the class that its probabilities are conditioned on (0, as they depend on no layout) and the word before of each token (row
+    offsets ``at``), and if asked for the hash of triples of split words, else 0."""
     place = np.arange(len(h), dtype=np.int32) - np.repeat(at[:-1].astype(np.int32), np.diff(at))
     b, a = _back(number, place, 1, v.begin), _back(number, place, 2, v.begin)
-    parts = v.parts[np.minimum(b, v.begin + 1)]
-    g, triple = np.zeros(len(h), np.int32), np.zeros(len(h) if wide else 0, np.uint64)
+    triple = np.zeros(len(h) if wide else 0, np.uint64)
+    if wide:
+        hot = np.flatnonzero((v.parts[np.minimum(b, v.begin + 1)] > 1) & (b != v.begin))
+        triple[hot] = _triple(np.where(place[hot] > 1, h[hot - 2], BEGIN), h[hot - 1], h[hot])
+    return b, np.zeros(len(h), np.int32), a, triple
+
+
+def layout(v: Vocabulary, h: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The class that each token's place is dealt to: of the word before, of the word itself after the begin mark and a split pair."""
+    g, parts = np.zeros(len(h), np.int32), v.parts[np.minimum(b, v.begin + 1)]
     hot = np.flatnonzero(parts > 1)
     if len(hot):
-        parts = parts[hot].astype(np.uint64)
-        before = {k: np.where(place[hot] >= k, h[np.maximum(hot - k, 0)], BEGIN) for k in (1, 2, 3, 4)}
-        begins = b[hot] == v.begin
-        with np.errstate(over="ignore"):
-            # what follows the begin mark has no history: its classes are of the word itself, and it is never counted
-            own = (np.where(begins, mix(h[hot]), mix(before[2])) % parts).astype(np.int64)
-            if len(v.pairs):
-                code = (a[hot].astype(np.int64) << 32) | b[hot]
-                pair = np.minimum(np.searchsorted(v.pairs, code), len(v.pairs) - 1)
-                there = v.pairs[pair] == code
-                inner = mix(mix(before[3]) + before[4]) % v.pair_parts[pair].astype(np.uint64)
-                own = np.where(there, v.pair_first[pair] + inner.astype(np.int64), own)
-            g[hot] = own
-            if wide:
-                triple[hot] = np.where(begins, np.uint64(0), _triple(before[2], before[1], h[hot]))
-    return b, g, a, triple
+        before = np.where(a[hot] == v.begin, BEGIN, h[np.maximum(hot - 2, 0)])
+        own = (mix(np.where(b[hot] == v.begin, h[hot], before)) % parts[hot].astype(np.uint64)).astype(np.int64)
+        if len(v.pairs):
+            at, there = v.pair(a[hot], b[hot])
+            own = np.where(there, v.pair_first[at] + (mix(h[hot]) % v.pair_parts[at].astype(np.uint64)).astype(np.int64), own)
+        g[hot] = own
+    return g
 
 
 def _shard(name: np.ndarray, g: np.ndarray, shards: int) -> np.ndarray:
@@ -477,35 +497,99 @@ def _shard(name: np.ndarray, g: np.ndarray, shards: int) -> np.ndarray:
         return (mix(name + (g.astype(np.uint64) + np.uint64(1)) * _ODD) % np.uint64(shards)).astype(np.int64)
 
 
-def _names(v: Vocabulary, rare: np.ndarray) -> np.ndarray:
-    return np.concatenate([v.hashes, [BEGIN], rare])
+def _followers(docs: DataFrame, shared, pairs: bool) -> DataFrame:
+    """key, c, n, t: how often, in all rows and in training rows, the word c (its number, else its hash) follows a split word or the begin mark (by number) or, for ``pairs``, a
+    split pair (by its place among them)."""
 
+    def merged(found):
+        key, c, n, t = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((c, key))
+        key, c = key[order], c[order]
+        first = _firsts(key, c)
+        n, t = (np.add.reduceat(x[order], first, dtype=np.int32) if len(first) else x for x in (n, t))
+        return key[first], c[first], n, t
 
-def _often(docs: DataFrame, shared) -> DataFrame:
-    """kind, code, n: how often pairs of the given words stand (kind 0), and triples of them that a run of rows has ``WIDE`` times (kind 1)."""
+    def emit(key, c, n, t):
+        return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(c), pa.array(n.astype(np.int64)), pa.array(t.astype(np.int64))], names=["key", "c", "n", "t"])
 
     def run(batches):
-        v = shared.value
+        v, found, held = shared.value, [], 0
         for batch in batches:
-            found = []
-            for _, h, at in _tokens(batch):
+            for part, h, at in _tokens(batch):
                 number = v.numbers(h)
-                hot = np.flatnonzero(number >= 0)
-                hot = hot[(hot > 0) & (number[hot - 1] >= 0)]
-                row = np.searchsorted(at, hot, "right") - 1
-                pair = hot[hot - 1 >= at[row]]
-                third = pair[(pair + 1 < len(h)) & (pair + 1 < at[np.searchsorted(at, pair, "right")])]
-                third = third[number[third + 1] >= 0]
-                found.append(((number[pair - 1].astype(np.int64) << 32) | number[pair], _triple(h[third - 1], h[third], h[third + 1])))
-            for kind in (0, 1):
-                code, n = np.unique(np.concatenate([f[kind] for f in found]) if found else np.zeros(0, np.int64), return_counts=True)
-                keep = n >= (WIDE if kind else 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), kind, np.int32)), pa.array(code[keep].view(np.int64)), pa.array(n[keep].astype(np.int64))], names=["kind", "code", "n"])
+                number[number < 0] = v.begin + 1
+                b, _, a, _ = context(v, h, number, at)
+                if pairs:
+                    key, own = v.pair(a, b)
+                else:
+                    split = lambda x: v.parts[np.minimum(x, v.begin + 1)] > 1  # noqa: E731, B023
+                    key, own = b, np.where(b == v.begin, split(number), split(b))
+                own = np.flatnonzero(own)
+                row = np.searchsorted(at, own, "right") - 1
+                c = np.where(number[own] < v.begin, number[own], h[own].view(np.int64))
+                found.append((key[own], c, np.ones(len(own), np.int32), part.column("train").to_numpy(zero_copy_only=False).astype(np.int32)[row]))
+                held += len(own)
+                if held >= WORDS:
+                    found, held = [merged(found)], 0
+                    if len(found[0][0]) >= WORDS:
+                        yield emit(*found.pop())
+        if found:
+            yield emit(*merged(found))
 
-    return docs.select("text").mapInArrow(lean(run), "kind int, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
+    return written(docs.select("text", "train").mapInArrow(lean(run), "key int, c long, n long, t long").groupBy("key", "c").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "followers")
 
 
 _BLOB = "shard int, blob binary"
+#: how a blob of bigrams begins; those of places have the mark of their compression
+_FOLLOW = b"F"
+
+
+def _bigrams(followers: DataFrame, shared, shards: int) -> DataFrame:
+    """shard and blob: all bigrams of a split word with their counts, for each of its classes."""
+
+    def run(batches):
+        v = shared.value
+
+        def emit(held):
+            key, c, t = (np.concatenate(x) for x in zip(*held, strict=True))
+            word, count = int(key[0]), v.classes(int(key[0]))
+            to = _shard(np.full(count, v.hashes[word]), np.arange(count), shards)
+            number = v.named(c)
+            order = np.argsort(number, kind="stable")
+            c, t, number = c[order], t[order], number[order]
+            other = int((number < 0).sum())
+            planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes() for x in (np.diff(number[other:].astype(np.int64), prepend=0), t)]
+            body = zstandard.ZstdCompressor(3).compress(struct.pack("<2Q", len(c), other) + c[:other].tobytes() + b"".join(planes))
+            for g in range(count):
+                yield pa.RecordBatch.from_arrays([pa.array([int(to[g])], pa.int32()), pa.array([_FOLLOW + struct.pack("<2Q", word, g) + body], pa.binary())], names=["shard", "blob"])
+
+        held = []
+        for batch in batches:
+            key, c, t = (batch.column(x).to_numpy() for x in ("key", "c", "t"))
+            first = _firsts(key)
+            for x, y in zip(first, np.append(first[1:], len(key)), strict=True):
+                if held and held[0][0][0] != key[x]:
+                    yield from emit(held)
+                    held = []
+                held.append((key[x:y], c[x:y], t[x:y]))
+        if held:
+            yield from emit(held)
+
+    return followers.select("key", "c", "t").repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), _BLOB)
+
+
+def _unfollow(blob: bytes, v: Vocabulary) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Word, class, hashes and counts of its followers."""
+    word, g = struct.unpack("<2Q", blob[1:17])
+    data = zstandard.ZstdDecompressor().decompress(blob[17:])
+    n, other = struct.unpack("<2Q", data[:16])
+    whole = lambda at, k: np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * k, at).reshape(8, k).T).view(np.int64).ravel()
+    at = 16 + 8 * other
+    return word, g, np.append(np.frombuffer(data, np.uint64, other, 16), v.hashes[np.cumsum(whole(at, n - other))]), whole(at + 8 * (n - other), n)
+
+
+def _names(v: Vocabulary, rare: np.ndarray) -> np.ndarray:
+    return np.concatenate([v.hashes, [BEGIN], rare])
 
 
 def _units(b: np.ndarray, g: np.ndarray, width: int) -> np.ndarray:
@@ -554,13 +638,14 @@ def _places(docs: DataFrame, shared, shards: int, per: int, tokens: int = BATCH)
         other = np.flatnonzero(number < 0)
         rare, place = np.unique(h[other], return_inverse=True)
         number[other] = v.begin + 1 + place
-        b, g, a, triple = context(v, h, number, at, len(v.wide) > 0)
-        uids = np.append(np.concatenate([p.column("uid").to_numpy() for p, *_ in parts]), [0, 0])
-        train = np.append(np.concatenate([p.column("train").to_numpy(zero_copy_only=False).astype(bool) for p, *_ in parts]), [True, False])
+        b, _, a, triple = context(v, h, number, at, len(v.wide) > 0)
+        g = layout(v, h, b, a)
+        uids = np.concatenate([p.column("uid").to_numpy() for p, *_ in parts])
+        train = np.concatenate([p.column("train").to_numpy(zero_copy_only=False).astype(bool) for p, *_ in parts])
         row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
         if len(v.wide):
-            none = v.wide[np.minimum(np.searchsorted(v.wide, triple), len(v.wide) - 1)] == triple
-            row = np.where(none, np.where(train[row], len(at) - 1, len(at)), row).astype(np.int32)
+            sent = v.wide[np.minimum(np.searchsorted(v.wide, triple), len(v.wide) - 1)] != triple
+            b, g, a, number, row = (x[sent] for x in (b, g, a, number, row))
         return Places(b, g, a, number, row, uids, train, rare)
 
     def run(batches):
@@ -598,36 +683,59 @@ def _solve(blobs: list[bytes], v: Vocabulary):
     """Builds a shard's trie and scores its places.
 
     kind 0: uid, its sums of log probabilities (x) and of base scores (y) over k words of the vocabulary; kind 1: uid, another word h that stands
-    k times with probability x + y p(h); kind 2: the hash of a triple without texts and its log probability.
+    k times with probability x + y p(h).
     """
     base = v.begin + 1
-    parts = [Places.unpack(blobs.pop()) for _ in range(len(blobs))]
-    rare = np.unique(np.concatenate([p.rare for p in parts]))
+    parts, follow = [], []
+    while blobs:
+        blob = blobs.pop()
+        if blob[:1].to_pybytes() == _FOLLOW:
+            follow.append(_unfollow(blob.to_pybytes(), v))
+        else:
+            parts.append(Places.unpack(blob))
+        del blob
+    if not parts:
+        return
+    hashes = np.concatenate([np.zeros(0, np.uint64), *(h for *_, h, _ in follow)])
+    numbers = v.numbers(hashes)
+    rare = np.unique(np.concatenate([*(p.rare for p in parts), hashes[numbers < 0]]))
     width = base + len(rare)
-    uids, uid = np.unique(np.concatenate([p.uids[:-2] for p in parts]), return_inverse=True)
+    uids, uid = np.unique(np.concatenate([p.uids for p in parts]), return_inverse=True)
     uid, done = uid.astype(np.int32), 0
     for p in parts:
         table = np.concatenate([np.arange(base, dtype=np.int32), (base + np.searchsorted(rare, p.rare)).astype(np.int32)])
         p.b, p.a, p.c = table[p.b], table[p.a], table[p.c]
         p.train = p.train[p.row] & (p.b != v.begin)
-        k = len(p.uids) - 2
-        p.row = np.append(uid[done : done + k], np.array([-1, -1], np.int32))[p.row]
+        k = len(p.uids)
+        p.row = uid[done : done + k][p.row]
         done += k
     b, g, a, c, owner, train = (np.concatenate([getattr(p, x) for p in parts]) for x in ("b", "g", "a", "c", "row", "train"))
-    del parts
-    unit = _units(b, g, width)
+    del parts, p, table
+    unit = _units(np.append(b, np.array([word for word, *_ in follow], b.dtype)), np.append(g, np.array([k for _, k, *_ in follow], g.dtype)), width)
+    unit, units = unit[: len(b)], unit[len(b) :]
     order = _order(unit, a, c, width)
     unit, a, c, owner, train = unit[order], a[order], c[order], owner[order], train[order]
     first = _firsts(unit, a, c)
     number = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(unit))))
     seen = np.add.reduceat(train, first, dtype=np.int64)
-    unit, a, c = unit[first], a[first].astype(np.int64), c[first].astype(np.int64)
+    unit, a, c, b = unit[first], a[first].astype(np.int64), c[first].astype(np.int64), b[order[first]]
+    del order, train, g
     known = seen > 0
-    packed, places = Trie.pack(unit[known], a[known], c[known], seen[known], width)
+    # what the classes of a word and of a pair have together
+    each = np.array([len(h) for *_, h, _ in follow], np.int64)
+    numbers = np.where(numbers < 0, base + np.searchsorted(rare, hashes), numbers).astype(np.int64)
+    counts = np.concatenate([np.zeros(0, np.int64), *(t for *_, t in follow)])
+    head = _firsts(unit, a)
+    at, there = v.pair(a[head], b[head])
+    there[there] = v.pair_size[at[there]] > 0
+    at, head = at[there], head[there]
+    spread = (unit[head], a[head], v.pair_size[at], v.pair_kinds[at])
+    packed, places = Trie.pack(unit[known], a[known], c[known], seen[known], width, (np.repeat(units, each), numbers, counts), spread)
     trie = Trie(mapped(packed))
-    del packed, train
+    del packed, b
     x, y = np.zeros(len(unit)), np.ones(len(unit))
     x[known], y[known] = trie.stored(*places)
+    del places
     others = np.flatnonzero(~known)
     for at in range(0, len(others), 1 << 17):
         own = others[at : at + (1 << 17)]
@@ -635,7 +743,6 @@ def _solve(blobs: list[bytes], v: Vocabulary):
     counted = c < len(v.counts)
     p = v.unigram(v.counts[np.minimum(c, len(v.counts) - 1)] if len(v.counts) else np.zeros(len(c)))
     term, plain_term = np.log10(x + y * p), np.log10(p)
-    bare = np.unique(number[owner < 0])
 
     def batch(kind, key, h=None, px=None, py=None, k=None):
         size = len(key)
@@ -643,24 +750,15 @@ def _solve(blobs: list[bytes], v: Vocabulary):
         return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), pa.array(key, pa.int64()), fill(h, pa.int64()), fill(px, pa.float64()), fill(py, pa.float64()), fill(k, pa.int64())], schema=_TERMS)
 
     plain = counted[number]
-    plain &= owner >= 0
     own, at = owner[plain], number[plain]
     k = np.bincount(own, minlength=len(uids))
     some = k > 0
     yield batch(0, uids[some], px=np.bincount(own, term[at], len(uids))[some], py=np.bincount(own, plain_term[at], len(uids))[some], k=k[some])
-    other = np.flatnonzero(~counted[number] & (owner >= 0))
+    other = np.flatnonzero(~plain)
     if len(other):
         key, k = np.unique(owner[other].astype(np.int64) * len(unit) + number[other], return_counts=True)
         own = key % len(unit)
         yield batch(1, uids[key // len(unit)], rare[c[own] - base].view(np.int64), x[own], y[own], k)
-    if len(bare):
-        name, at = _names(v, rare), order[first[bare]]
-        yield batch(2, _class_triple(_triple(name[a[bare]], name[b[at]], name[c[bare]]), g[at]).view(np.int64), px=term[bare])
-
-
-def _class_triple(triple: np.ndarray, g: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mix(triple + (g.astype(np.uint64) + np.uint64(1)) * _ODD)
 
 
 def _terms(places: DataFrame, shared) -> DataFrame:
@@ -703,20 +801,19 @@ def _terms(places: DataFrame, shared) -> DataFrame:
     return places.mapInArrow(lean(run), "kind int, uid long, h long, x double, y double, k long")
 
 
-def _wide_terms(docs: DataFrame, shared, hashes: np.ndarray, terms: np.ndarray) -> DataFrame:
-    """uid, and its sums of log probabilities and base scores over k places whose triples went without their texts."""
-    order = np.argsort(hashes)
-    table = docs.sparkSession.sparkContext.broadcast((hashes[order], terms[order]))
+def _wide_terms(docs: DataFrame, shared) -> DataFrame:
+    """uid, and its sums of log probabilities and base scores over k places whose triples were not sent."""
 
     def run(batches):
-        v, (names, term) = shared.value, table.value
+        v = shared.value
         for batch in batches:
             for part, h, at in _tokens(batch):
                 number = v.numbers(h)
-                _, g, _, triple = context(v, h, np.where(number < 0, v.begin + 1, number).astype(np.int32), at, True)
-                own = np.flatnonzero(v.wide[np.minimum(np.searchsorted(v.wide, triple), len(v.wide) - 1)] == triple)
+                *_, triple = context(v, h, np.where(number < 0, v.begin + 1, number).astype(np.int32), at, True)
+                found = np.minimum(np.searchsorted(v.wide, triple), len(v.wide) - 1)
+                own = np.flatnonzero(v.wide[found] == triple)
                 score = np.zeros((3, len(h)))
-                score[0, own] = term[np.searchsorted(names, _class_triple(triple[own], g[own]))]
+                score[0, own] = v.wide_terms[found[own]]
                 score[1, own] = np.log10(v.unigram(v.counts[number[own]]))
                 score[2, own] = 1
                 x, y, k = (np.add.reduceat(z, at[:-1]) for z in score)
@@ -725,6 +822,44 @@ def _wide_terms(docs: DataFrame, shared, hashes: np.ndarray, terms: np.ndarray)
     return docs.select("uid", "text").mapInArrow(lean(run), "uid long, x double, y double, k long")
 
 
+def _spread(v: Vocabulary, docs: DataFrame, unit: int) -> DataFrame:
+    """Splits pairs and finds wide triples, with all that their classes need to know; returns the followers of split words."""
+    spark = docs.sparkSession
+    followers = _followers(docs, spark.sparkContext.broadcast(v), False)
+    often = followers.filter(F.col("n") > unit).toPandas()
+    a, b, n = often["key"].to_numpy(np.int64), v.named(often["c"].to_numpy(np.int64)), often["n"].to_numpy(np.int64)
+    own = (b >= 0) & (v.parts[b] > 1)
+    v.split_pairs((a[own] << 32) | b[own], n[own], unit)
+    if not len(v.pairs):
+        return followers
+    thirds = _followers(docs, spark.sparkContext.broadcast(v), True)
+    sums = lambda df: df.groupBy("key").agg(F.sum("t").alias("t"), F.count_if(F.col("t") > 0).alias("k")).toPandas()
+    whole = sums(thirds)
+    v.pair_size, v.pair_kinds = np.zeros(len(v.pairs), np.int64), np.zeros(len(v.pairs), np.int64)
+    v.pair_size[whole["key"]], v.pair_kinds[whole["key"]] = whole["t"], whole["k"]
+    wide = thirds.filter(F.col("n") > WIDE * unit).toPandas()
+    number = v.named(wide["c"].to_numpy(np.int64))
+    wide, c = wide[number >= 0], number[number >= 0]
+    if len(wide):
+        pair, t = wide["key"].to_numpy(np.int64), wide["t"].to_numpy(np.int64)
+        a, b = v.pairs[pair] >> 32, v.pairs[pair] & 0xFFFFFFFF
+        asked = spark.createDataFrame(sorted(set(zip(b.tolist(), wide["c"].tolist(), strict=True))), "key int, c long")
+        low = {(r["key"], r["c"]): r["t"] for r in followers.join(F.broadcast(asked), ["key", "c"]).collect()}
+        seen = np.array([low[x] for x in zip(b.tolist(), wide["c"].tolist(), strict=True)], np.int64)
+        each = sums(followers.join(F.broadcast(asked.select("key").distinct()), "key")).set_index("key").loc[b]
+        size, kinds, pairs, pair_kinds = each["t"].to_numpy(), each["k"].to_numpy(), v.pair_size[pair], v.pair_kinds[pair]
+
+        def share(n, kinds, size, lower):
+            return np.where(size > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * lower) / np.maximum(size, 1), lower)
+
+        p = share(t, pair_kinds, pairs, share(seen, kinds, size, v.unigram(v.counts[c])))
+        name = np.append(v.hashes, BEGIN)
+        hashes = _triple(name[a], name[b], v.hashes[c])
+        order = np.argsort(hashes)
+        v.wide, v.wide_terms = hashes[order], np.log10(p)[order]
+    return followers
+
+
 def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, unit: int = UNIT, shard: int = SHARD) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score of each row, the model learned where ``train`` holds."""
     spark = df.sparkSession
@@ -743,18 +878,14 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 
     unit = max(unit, -(-tokens // UNITS))
     v.split(unit, size)
-    hot = np.flatnonzero(v.parts[:-2] > 1)
-    if len(hot):
-        often = _often(docs, spark.sparkContext.broadcast(Vocabulary(v.hashes[hot], v.counts[hot], v.total, v.distinct))).filter(F.col("n") > unit).toPandas()
-        pairs, wide = often[often["kind"] == 0], often[often["kind"] == 1]
-        code = pairs["code"].to_numpy(np.int64)
-        v.split_pairs((hot[code >> 32] << 32) | hot[code & 0xFFFFFFFF], pairs["n"].to_numpy(np.int64), unit)
-        v.wide = np.sort(wide["code"].to_numpy(np.int64).view(np.uint64))
+    followers = _spread(v, docs, unit) if (v.parts[:-2] > 1).any() else None
     shared = spark.sparkContext.broadcast(v)
     shards = max(1, -(-tokens // shard))
     places = _places(docs, shared, shards, -(-shards // FAN))
     if shards > FAN:
         places = _dealt_again(places, shared, shards)
+    if followers is not None:
+        places = places.unionByName(_bigrams(followers.filter((F.col("key") != v.begin) & (F.col("t") > 0)), shared, shards))
     places = evenly(places, F.floor(F.col("shard") / TASK), -(-shards // TASK)).sortWithinPartitions("shard")
     solved = written(_terms(places, shared), "terms")
 
@@ -767,8 +898,7 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     rows = docs.select("uid", "doc_id", "train")
     sums = plain(solved.filter("kind = 0")).unionByName(other).unionByName(rows.select("uid", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), none.alias("n"), none.alias("known"), F.lit(1).cast("long").alias("same")))
     if len(v.wide):
-        found = solved.filter("kind = 2").select("uid", "x").toPandas()
-        sums = sums.unionByName(plain(_wide_terms(docs, shared, found["uid"].to_numpy(np.int64).view(np.uint64), found["x"].to_numpy(float))))
+        sums = sums.unionByName(plain(_wide_terms(docs, shared)))
     sums = sums.groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("x", "y", "n", "known", "same")])
     share = lambda c: F.col(c) / F.col("same")
     return rows.join(sums, "uid").select("doc_id", "train", share("n").cast("long").alias("n_tokens"), share("known").cast("long").alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"), share("y").alias("base_score"), share("x").alias("score"))

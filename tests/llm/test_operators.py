@@ -340,6 +340,22 @@ def test_split_words_pairs_and_triples(spark, monkeypatch):
     assert all(spread[d] == pytest.approx(got[d], rel=1e-9) for d in got)
 
 
+@pytest.mark.parametrize("vocabulary", [200, 3])
+def test_splits_do_not_change_the_model(spark, vocabulary):
+    """Words, pairs and triples with far more places than a unit, also at the beginning and only in rows held out: the plain trigram model."""
+    rng = np.random.default_rng(3)
+    texts = ["a line that every text has " + " ".join(rng.choice(["the", "of", "and", "x", "y"], 25)) + f" w{rng.integers(60)}" for _ in range(240)]
+    texts += ["the new phrase of rows held out the of w1 the"] * 80
+    held = [i % 4 == 1 or i >= 240 for i in range(len(texts))]
+    df = spark.createDataFrame(list(zip(range(len(texts)), texts, held, strict=True)), "doc_id long, text string, held boolean")
+    want, _ = plain_scores([(t.split() + [0], h) for t, h in zip(texts, held, strict=True)])
+    for options in ({}, {"unit": 60, "shard": 900}, {"unit": 17, "shard": 300}):
+        got = {r.doc_id: r for r in lm.score(df.repartition(3), ~F.col("held"), vocabulary=vocabulary, **options).collect()}
+        for d, (base, score, known) in enumerate(want):
+            assert (got[d].n_tokens, got[d].n_known) == (len(texts[d].split()) + 1, known), (d, options)
+            assert got[d].base_score == pytest.approx(base, rel=1e-9) and got[d].score == pytest.approx(score, rel=1e-9), (d, options)
+
+
 # ---- 4
 
 
