@@ -4,7 +4,9 @@ import hashlib
 import re
 
 import corpus_pipeline
+import numpy as np
 from lectern.llm import op01_langid as langid
+from lectern.llm import op02_decontaminate as decon
 from lectern.llm import op07_mixing as mixing
 from pyspark.sql import functions as F
 
@@ -55,3 +57,15 @@ def test_stages_on_odd_rows(spark, odd, sf):
         assert len(kept) <= odd.count(), name
         if name == "exact_dedup":
             assert len({(r.doc_id, r.text) for r in kept}) == len(kept)
+
+
+def test_decontamination_learns_from_all_rows(spark, sf, monkeypatch):
+    """Rows that a sample would leave out count for the space that the stage searches in."""
+    docs = spark.range(16_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("a"), F.concat(F.lit("w"), F.col("id") % 500), F.concat(F.lit("v"), F.col("id") % 70)).alias("text"))
+    own, spaces = decon.fit, []
+    monkeypatch.setattr(decon, "fit", lambda *a, **k: spaces.append(own(*a, **k)) or spaces[-1])
+    for rows in (docs, docs.unionByName(docs)):
+        corpus_pipeline.decontamination(spark, rows, sf)
+    # vectors are divided by singular values, which twice the passages raise by the root of two
+    once, twice = (np.linalg.norm(x.project) for x in spaces)
+    assert 1.2 < once / twice < 1.6
