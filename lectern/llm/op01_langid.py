@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from .textkit import CHUNK, LOWER, buffers, lean, slices, trim
 
+#: bytes of texts that are predicted at a time: a worker's arrays take some 45 bytes for each
+AT_ONCE = 1 << 17
 _ORDERS = (2, 3, 4)
 _ODD = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 _KEEP = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in LOWER], np.uint8)
@@ -243,7 +245,7 @@ def detect(df: DataFrame, model: LangModel | None, id_col: str = "doc_id", text_
     def run(batches):
         m = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", AT_ONCE):
                 raw, off = buffers(part.column("text"))
                 known = has_letter(raw, off) if m is not None else np.zeros(part.num_rows, bool)
                 labels, score, rejected = np.full(part.num_rows, "und", object), np.zeros(part.num_rows), np.ones(part.num_rows, bool)
@@ -264,7 +266,7 @@ def accepted(df: DataFrame, model: LangModel | None, text_col: str = "text") ->
     def run(batches):
         m = shared.value
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, AT_ONCE):
                 raw, off = buffers(part.column(text_col))
                 keep = has_letter(raw, off) if m is not None else np.zeros(part.num_rows, bool)
                 if keep.any():

@@ -19,6 +19,7 @@ The margins are raked ``rounds`` times; with a ``tolerance`` for as long as a ma
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,7 +124,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     f = factor(tokens, weights, rate)
     cells["chance"] = np.where(tokens > 0, np.minimum(1, f * weights), rate)
     cells["weight"] = np.where(tokens > 0, np.maximum(1, f * weights), 1.0)
-    table = spark.createDataFrame(cells[[*MARGINS, "chance", "weight"]])
+    # from an Arrow table no executor has to start Python workers of another kind, which would stay
+    table = spark.createDataFrame(pa.Table.from_pandas(cells[[*MARGINS, "chance", "weight"]], preserve_index=False))
     if len(cells) <= BROADCAST_CELLS:
         table = F.broadcast(table)
     out = rows.join(table, list(MARGINS))

@@ -5,11 +5,13 @@ import hashlib
 import html
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -145,6 +147,27 @@ def test_language_chunks(monkeypatch):
     assert np.allclose(whole[2], t[plain].mean(0), atol=1e-4)
 
 
+def test_prediction_takes_little_memory(spark, monkeypatch):
+    """A worker's arrays stay small, however large its batch is, and rows get what they get one by one."""
+    rng = np.random.default_rng(4)
+    model = langid.LangModel(list("abcd"), rng.normal(0, 0.1, (1 << 16, 4)).astype(np.float32), np.zeros(4, np.float32), 0.01, 0.4, 16)
+    texts = ["".join(map(chr, rng.integers(97, 123, 1000))) for _ in range(2500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500)), pa.array(texts)], names=["doc_id", "text"])
+    df, runs = spark.createDataFrame([(0, "")], "doc_id long, text string"), []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: runs.append(run))
+    langid.accepted(df, model)
+    langid.detect(df, model)
+    got = []
+    for run in runs:
+        tracemalloc.start()
+        got.append(pa.Table.from_batches(list(run([batch]))).to_pydict())
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 16 << 20
+    alone = [p[0] for p in (model.predict(*kit.buffers(pa.array([t])))[1] for t in texts)]
+    assert got[1]["score"] == alone and got[0]["doc_id"] == [i for i, p in enumerate(alone) if p >= model.threshold]
+
+
 # ---- 2
 
 
@@ -689,6 +712,11 @@ def test_mixing(spark, odd, sf, docs):
     assert {r.source for r in few.collect()} <= {"a", "b", "(none)", "(other)"}
 
 
+def test_mixing_starts_no_python_workers(spark, sf):
+    plan = mixing.mix(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan and "ExistingRDD" not in plan
+
+
 def test_raking_to_a_tolerance():
     rng = np.random.default_rng(3)
     tokens, codes = rng.random(60) ** 4, [rng.integers(0, 4, 60), rng.integers(0, 5, 60)]
