@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import ctypes
 import gc
+from contextlib import suppress
 from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -266,11 +268,26 @@ def lean(run):
     return out
 
 
+def trim_jvm(spark: SparkSession) -> None:
+    """Has the driver's JVM give freed pages of its C heaps back to the system, where it can (HotSpot from 17.0.9 on): planning many steps leaves them scattered."""
+    sc = spark.sparkContext
+    jvm, new = sc._jvm, sc._gateway.new_array
+    kinds = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+    types, args = new(jvm.java.lang.Class, len(kinds)), new(jvm.java.lang.Object, len(kinds))
+    for i, kind in enumerate(kinds):
+        types[i] = jvm.java.lang.Class.forName(kind)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    with suppress(Py4JJavaError):
+        # by the public interface: the server's own class is not open to reflection
+        jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps: it does so when the driver's garbage is collected, else after half an hour."""
     gc.collect()
     trim()
     spark.sparkContext._jvm.System.gc()
+    trim_jvm(spark)
 
 
 def crc_mod(column: str, k: int) -> Column:

@@ -1,10 +1,12 @@
 """Each operator on awkward rows and against a plain version on a small table."""
 
+import gc
 import gzip
 import hashlib
 import html
 import math
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -966,6 +968,27 @@ def test_covered(streams):
     assert pages_.covered(tokens, page, 4).tolist() == want
 
 
+# ---- memory of the driver
+
+
+def test_release_trims_the_jvm(spark):
+    """What the driver's JVM freed in its C heaps goes back to the system after a written step."""
+    jvm = spark.sparkContext._jvm
+    held = lambda: int(re.search(r"Pss_Anon:\s+(\d+)", open(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup").read())[1]) / 1024  # noqa: E731, SIM115
+    kit.release(spark)
+    parts = [jvm.java.nio.ByteBuffer.allocateDirect(1 << 16) for _ in range(2000)]
+    last = parts.pop()  # above the others: only the heap's top goes back by itself
+    del parts
+    for _ in range(3):
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(1)
+    before = held()
+    kit.release(spark)
+    assert before - held() > 60
+    assert last.capacity() == 1 << 16
+
+
 # ---- SQL
 
 
