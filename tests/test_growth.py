@@ -2,11 +2,13 @@
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from lectern.functions import flat
+from lectern.functions import flat, storage
 from lectern.functions import kernels as K
 from lectern.functions.spans import Touching
-from lectern.operators import align, rules
+from lectern.operators import align, issues, rules
+from lectern.plans.queries import QUERIES
 from tests.test_step2 import PAIR
 
 
@@ -35,3 +37,13 @@ def test_issues_are_rows_of_one_pass(spark, monkeypatch):
     got = two.collect()
     assert [r.ordinal for r in sorted(got, key=lambda r: (r.pair_id, r.ordinal)) if r.pair_id == "p3"] == list(range(len(K.word_issues("rey  grande de españa " * 3, "rey de  espana ,, " * 3))))
     assert all(r.overlaps_step1 == sorted({t for t, a, b in ones[r.pair_id] if max(a, r.start) < min(b, max(r.end, r.start + 1))}) for r in got)
+
+
+def test_dense_matrix_holds_every_character(spark, sf):
+    rows = storage.settled(issues.confusion_matrix(align.alignment_issues(spark.createDataFrame([("p", "s", "casa Élan ñu çb", "Casa élan nú cb")], PAIR))))
+    dense = issues.dense_matrix(rows)
+    assert {"C U+0043", "é", "n", "ú", "Ø"} <= set(dense.columns)
+    whole = QUERIES["dense_confusion_matrix"](spark, sf)
+    n = whole.agg(sum((F.sum(f"`{c}`") for c in whole.columns[2:]), F.lit(0))).first()[0]
+    assert n == QUERIES["confusion_matrix"](spark, sf).agg(F.sum("n")).first()[0]
+    assert len({c.lower() for c in whole.columns}) == len(whole.columns)
