@@ -126,6 +126,10 @@ def style_metrics(df: DataFrame) -> DataFrame:
     return sums.join(table, "style")
 
 
+#: What the summary reads; other columns needn't be worked out for it.
+SUMMARY_COLUMNS = ("ref_chars_norm", "ref_tokens_norm", "line_count", "edits", "cer_norm", "wer_norm")
+
+
 def corpus_summary(df: DataFrame) -> DataFrame:
     """One row: sizes, mean and median error."""
     med = order_statistics(df.withColumn("_all", F.lit(1)), ["_all"], ["cer_norm"], med=median()).select(F.col("med").alias("median_cer"))

@@ -431,6 +431,10 @@ def metrics(spark, sf):
     return align.document_metrics(pairs(spark, sf))
 
 
+def summary(spark, sf):
+    return risk.corpus_summary(settled(metrics(spark, sf).select(*risk.SUMMARY_COLUMNS)))
+
+
 @query()
 def doc_alignment_metrics(spark, sf):
     return rounded(metrics(spark, sf))
@@ -472,7 +476,7 @@ def style_cer(spark, sf):
 
 @query(_EDITS_SQL + f"\nselect count(*) as docs, sum(ref_chars_norm)::bigint as ref_chars_norm, sum(edits)::bigint as edits, (select sum({_WORDS.format('gt')})::bigint from pairs) as tokens, round(avg(cer_norm), 6) as mean_cer, round(median(cer_norm), 6) as median_cer from e")
 def corpus_cer(spark, sf):
-    return rounded(risk.corpus_summary(settled(metrics(spark, sf))).select("docs", "ref_chars_norm", "edits", "tokens", "mean_cer", "median_cer"))
+    return rounded(summary(spark, sf).select("docs", "ref_chars_norm", "edits", "tokens", "mean_cer", "median_cer"))
 
 
 @query(_EDITS_SQL + ", k as (select *, row_number() over (partition by style order by cer_norm desc, pair_id) as rank from e)\nselect style, pair_id, round(cer_norm, 6) as value, rank::int as rank from k where rank <= 10")
@@ -582,7 +586,7 @@ def style_rows(spark, sf):
 
 @query()
 def corpus_summary(spark, sf):
-    return rounded(risk.corpus_summary(settled(metrics(spark, sf))))
+    return rounded(summary(spark, sf))
 
 
 @query()
